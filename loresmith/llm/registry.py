@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loresmith.llm import packing
+from loresmith.llm import packing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (packing,):
+for _module in (packing, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
