@@ -30,7 +30,7 @@ from loresmith.llm.store import Stash
 
 WINDOW = 8
 STATS = (
-    "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "doc_id long, row_key long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "x0 double, x1 double, x2 double, x3 double, x4 double, x5 double"
 )
 P = 6
@@ -106,12 +106,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = np.array([text_counts(t.as_py()) for t in b.column(3)], np.int64).reshape(-1, 9)
+            c = np.array([text_counts(t.as_py()) for t in b.column(4)], np.int64).reshape(-1, 9)
             x = vector(c.astype(float))
-            cols = [b.column(0), b.column(1), b.column(2), *(pa.array(c[:, i]) for i in range(5)), *(pa.array(x[:, i].copy()) for i in range(P))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"x{i}" for i in range(P))])
+            cols = [*(b.column(i) for i in range(4)), *(pa.array(c[:, i]) for i in range(5)), *(pa.array(x[:, i].copy()) for i in range(P))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"x{i}" for i in range(P))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(run, STATS)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(run, STATS)
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -193,7 +193,10 @@ def estimates(stash: Stash, stats: DataFrame) -> DataFrame:
 
 
 def judge(spark: SparkSession, docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
-    """Counts, base_failed, distance and kept of every row of ``docs`` (doc_id, text, lang, source)."""
+    """Counts, base_failed, distance and kept of every row of ``docs`` (doc_id, text, lang, source).
+
+    row_key is the xxhash64 of doc_id and text, by which verdicts find their rows again.
+    """
     stash = Stash(spark, "quality")
     stats = stash.put(measure(docs), "stats")
     model = estimates(stash, stats)
@@ -212,11 +215,11 @@ def judge(spark: SparkSession, docs: DataFrame, *, cutoff: float = CUTOFF) -> Da
     judged = _distance(stats.join(groups, ["_l", "_s"]).select("*", "_m.mu", "_m.inv", "_m.scale"))
     judged = judged.withColumn("distance", F.col("d2") / F.col("scale"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("distance") <= cutoff)).alias("kept"), "distance", *(f"x{i}" for i in range(P)))
+    return judged.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("distance") <= cutoff)).alias("kept"), "distance")
 
 
 def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop(*(f"x{i}" for i in range(P)))
+    return judge(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
 
 
 QUERIES = {"op3_quality_outliers": op3_quality_outliers}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loresmith.llm import packing, simhash
+from loresmith.llm import packing, quality, simhash, templates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (packing, simhash):
+for _module in (packing, quality, simhash, templates):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
