@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loresmith.llm import licenses, packing, quality, simhash, templates
+from loresmith.llm import licenses, packing, quality, simhash, templates, webpages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (licenses, packing, quality, simhash, templates):
+for _module in (licenses, packing, quality, simhash, templates, webpages):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
