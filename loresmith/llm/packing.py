@@ -30,8 +30,8 @@ from loresmith.llm.store import Stash
 END_ID = 1
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Words in a generation of those whose ids a worker remembers.
+REMEMBERED = 700_000
 #: Pieces in a partition, sequences that a partition gives back for exchange, partitions that exchange.
 PER_PARTITION, RELEASED, FAN_IN = 50_000, 48, 8
 
@@ -42,31 +42,73 @@ class WordIds:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    white-space-separated words in turn; each distinct word is encoded once.
+    white-space-separated words in turn. A worker encodes a word once and keeps the ids through its
+    tasks, in two generations: when the newer one is full, the older one is forgotten. New words are
+    encoded many at a time, with a mark between them that is one token; words that hold the mark
+    are encoded alone.
     """
 
+    MARK = "\u00b6"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        mark = self._ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, mark = [], self.MARK.encode()
+        for w in words:
+            if self.mark is None or mark in w:
+                self.known[w] = self._ids(w.decode()).tobytes()
+            else:
+                plain.append(w)
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = self._ids(f" {self.MARK} ".join(w.decode() for w in part))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
+            raw, start = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("the mark is not a token of its own in this vocabulary")
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.known[w], start = raw[start:end], end + 4
 
     def __call__(self, text: str) -> bytes:
-        words, known = text.encode().split(), self.known
+        words = text.encode().split()
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in dict.fromkeys(words):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
 
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This worker's encoder for a vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
+
+
 def vocabulary_path(vocabulary: str) -> str:
     """A file's own path, or the place of a public vocabulary of that name on this machine."""
     if os.path.isabs(vocabulary):
@@ -80,7 +122,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VOCAB
     """Token pieces of ``docs``: (doc_id, piece, start, length, ids_crc32[, ids binary])."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(vocabulary_path(vocabulary))
+        encode = word_ids(vocabulary_path(vocabulary))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
