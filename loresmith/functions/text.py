@@ -149,3 +149,8 @@ def completeness_score(*fields: Column) -> Column:
 
 def quality_score(source, community, recency, specificity, action, completeness) -> Column:
     return 0.25 * source + 0.20 * community + 0.15 * recency + 0.20 * specificity + 0.15 * action + 0.05 * completeness
+
+
+def age_days_between(start: Column, end: Column) -> Column:
+    """Whole days of 86,400 seconds from one time to another."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000)).cast("long")

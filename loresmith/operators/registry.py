@@ -33,7 +33,7 @@ def fold_in_order(services: DataFrame) -> DataFrame:
 
     import pandas as pd
 
-    spell = services.groupBy(F.lower("name").alias("low")).agg(F.min("ord").alias("ord"))
+    spell = services.groupBy(F.lower("name").alias("low")).agg(F.min("ord").alias("ord")).withColumn("whole", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known, out = {}, []
@@ -46,7 +46,7 @@ def fold_in_order(services: DataFrame) -> DataFrame:
             out.append((low, c))
         return pd.DataFrame(out, columns=["low", "canonical_name"])
 
-    return spell.groupBy(F.lit(1)).applyInPandas(run, "low string, canonical_name string")
+    return spell.groupBy("whole").applyInPandas(run, "low string, canonical_name string")
 
 
 def tiers(services: DataFrame, priority: tuple[str, ...] = lookups.PRIORITY_NAMES) -> DataFrame:
