@@ -24,7 +24,9 @@ class ForumReader(DataSourceReader):
     def partitions(self):
         return [] if self.empty else [Page(os.path.join(self.root, f)) for f in sorted(os.listdir(self.root)) if f.endswith(".json")]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # no pages
+            return
         with open(partition.path, encoding="utf-8") as f:
             children = json.load(f).get("data", {}).get("children", [])
         for child in children[: self.most]:
