@@ -41,21 +41,21 @@ def overlap_chunks(c: Column, size: int = 8000, overlap: int = 500, least: int =
     A short text is one chunk without headers. A last chunk under ``least`` joins the one before,
     whose headers and overlap stay as they were.
     """
+    assert least <= size and overlap < size
     n, step = F.length(c), size - overlap
     one = F.array(_chunk(c, F.lit(0), n, F.lit(0), F.lit(1), F.lit(0), F.lit(0), F.array().cast("array<string>")))
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
     total = (F.floor((n - size) / step) + 1 + F.when((n - size) % step > 0, 1).otherwise(0)).cast("int")
-    # the first start whose chunk would be too short ends the list
-    short = F.filter(starts, lambda s: (s > 0) & (F.least(s + size, n) - s < least))
-    kept = F.when(F.size(short) > 0, F.filter(starts, lambda s: s < short[0])).otherwise(starts)
+    last = F.floor((n - 1) / step).cast("int")  # the last start before the end
+    short = F.greatest(F.lit(1), (F.floor((n - least) / step) + 1).cast("int"))  # the first start too near to it
+    kept = F.least(short, last + 1)
 
-    def at(s: Column, i: Column) -> Column:
-        joined = (F.size(short) > 0) & (i == F.size(kept) - 1)
+    def at(i: Column) -> Column:
+        s = i * step
         own_end = F.least(s + size, n)
-        end = F.when(joined, F.least(short[0] + size, n)).otherwise(own_end)
+        end = F.when((i == kept - 1) & (short <= last), F.least(short * step + size, n)).otherwise(own_end)
         return _chunk(F.substring(c, s + 1, end - s), s, end, i, total, F.when(i > 0, overlap).otherwise(0), F.when(own_end < n, overlap).otherwise(0), headers(F.substring(c, s + 1, own_end - s)))
 
-    return F.when(n <= size, one).otherwise(F.transform(kept, at))
+    return F.when(n <= size, one).otherwise(F.transform(F.sequence(F.lit(0), kept - 1), at))
 
 
 def _chunk(text, start, end, index, total, before, after, heads) -> Column:

@@ -46,7 +46,7 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
     """A document tree <category>/<slug>/<file>: one row a file, empty ones too."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = r"([^/]+)/([^/]+)/([^/]+)$"
-    return raw.select(*(F.regexp_extract("path", at, i).alias(c) for i, c in ((1, "category"), (2, "slug"), (3, "file"))), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("modified"))
+    return raw.select(*(F.regexp_extract("path", at, i).alias(c) for i, c in ((1, "category"), (2, "slug"), (3, "file"))), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
 
 
 def registry_file(spark: SparkSession, path: str) -> DataFrame:
