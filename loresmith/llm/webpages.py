@@ -1,7 +1,8 @@
 """Main text of web pages, by structure and by nearest-URL page differencing.
 
-Pages are dealt by ranges of (host, path), so that a page's neighbours in URL order within its host
-stream past next to it, whatever share of all pages one host has. A page becomes blocks of text,
+Pages are dealt by ranges of (host, path, page_id), so that a page's neighbours in URL order within
+its host stream past next to it, whatever share of all pages one host has; the first and last page
+of a range also go to the range beside it, as neighbours only. A page becomes blocks of text,
 each marked by the elements around it: page furniture (navigation, headers, footers, sidebars,
 notices, adverts, forms, reader comments), article, or neither. The blocks of a page and of its
 nearest pages are aligned by longest common subsequence; shared lines outside an article are
@@ -16,10 +17,12 @@ gives no rows; other columns are ignored. Pages at the border of a range have on
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,16 +190,56 @@ def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]])
     return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark != FURNITURE and i not in shared)
 
 
+KEY = ["host", "path", "page_id"]
+_LEAST = -(1 << 63)
+
+
+def range_ends(keys: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
+    """First and last key of up to n ranges of about equal size, in order: two keys a range."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first = first or b.slice(0, 1).to_pylist()[0]
+                last = b.slice(b.num_rows - 1, 1).to_pylist()[0]
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([first[k], last[k]]) for k in KEY], names=KEY)
+
+    kind = "host string, path string, page_id long"
+    rows = keys.repartitionByRange(n, *KEY).sortWithinPartitions(*KEY).mapInArrow(ends, kind).collect()
+    flat = sorted(tuple(r) for r in rows)
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), path.alias("path"))
+    number = F.col("page_id").cast("long")
+    keyed = pages.select(F.coalesce(number, F.lit(_LEAST)).alias("page_id"), number.alias("own_id"), "url", "html", host.alias("host"), path.alias("path"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = range_ends(keyed.select(*KEY), n)
+    firsts, lasts = [a for a, _ in ends], [b for _, b in ends]
+
+    @F.pandas_udf("array<int>")
+    def place(host: pd.Series, path: pd.Series, page_id: pd.Series) -> pd.Series:
+        """2 * range, and 2 * range + 1 for a range that the page is a neighbour to."""
+        out = []
+        for key in zip(host, path, page_id, strict=True):
+            k = max(0, bisect.bisect_right(firsts, key) - 1)
+            to = [2 * k]
+            if key == lasts[k] and k + 1 < len(firsts):
+                to.append(2 * (k + 1) + 1)
+            if key == firsts[k] and k:
+                to.append(2 * (k - 1) + 1)
+            out.append(to)
+        return pd.Series(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (h.as_py() for h in b.column(2)), b.column(3).to_pylist(), strict=True)
+                yield from zip(*(b.column(i).to_pylist() for i in (0, 1)), (h.as_py() for h in b.column(2)), *(b.column(i).to_pylist() for i in (3, 4)), strict=True)
 
         def result(page, before, after):
             near = [q[2] for q in (before, after) if q is not None and q[3] == page[3]]
@@ -209,22 +252,22 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
         before = page = None
         out, held = [], 0
-        for page_id, url, html, host in rows():
-            after = (page_id, url, blocks_of(html or ""), host)
-            if page is not None:
+        for page_id, url, html, host, to in rows():
+            after = (page_id, url, blocks_of(html or ""), (to // 2, host), to % 2)
+            if page is not None and not page[4]:
                 out.append(result(page, before, after))
                 held += out[-1][3]
                 if len(out) >= 2000 or held > 4_000_000:
                     yield send(out)
                     out, held = [], 0
             before, page = page, after
-        if page is not None:
+        if page is not None and not page[4]:
             out.append(result(page, before, None))
         yield send(out)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.select("page_id", "url", "html", "host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    dealt = keyed.withColumn("to", F.explode(place("host", "path", "page_id"))).withColumn("range", F.expr("to div 2").cast("int"))
+    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", *KEY, "to")
+    return dealt.select("own_id", "url", "html", "host", "to").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
