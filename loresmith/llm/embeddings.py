@@ -45,11 +45,13 @@ def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
-def learn(sample: np.ndarray, n_bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, axes by bits): iterative quantisation of unit vectors, as many rotations as give n_bits."""
-    rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
-    x = sample - mean
+def learn(sample: np.ndarray, n_bits: int, seed: int = 7) -> np.ndarray:
+    """Axes by bits: iterative quantisation of unit vectors, as many rotations as give n_bits.
+
+    The vectors are not centred: planes through the origin keep a bit's chance to differ with the
+    angle of two vectors, wherever they lie.
+    """
+    rng, x = np.random.default_rng(seed), sample
     _, _, axes = np.linalg.svd(x.T @ x if len(x) else np.eye(sample.shape[1]))
     axes = axes[:AXES].T
     v, out = x @ axes, []
@@ -59,12 +61,12 @@ def learn(sample: np.ndarray, n_bits: int, seed: int = 7) -> tuple[np.ndarray, n
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, np.concatenate(out, axis=1)[:, :n_bits]
+    return np.concatenate(out, axis=1)[:, :n_bits]
 
 
-def keys_of(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, bits: int) -> np.ndarray:
+def keys_of(x: np.ndarray, axes: np.ndarray, bits: int) -> np.ndarray:
     """(rows, tables) keys of unit vectors."""
-    on = ((x - mean) @ axes >= 0).reshape(len(x), -1, bits)
+    on = (x @ axes >= 0).reshape(len(x), -1, bits)
     return (on @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
 
 
@@ -108,14 +110,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, threshold)
     seen = classes.orderBy(F.xxhash64("cid")).limit(sample).select("v").toPandas()["v"]
-    mean, axes = learn(unit([np.asarray(v, "<f8").tobytes() for v in seen], sizes), bits * tables)
+    axes = learn(unit([np.asarray(v, "<f8").tobytes() for v in seen], sizes), bits * tables)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 raw = [np.asarray(v.as_py(), "<f8").tobytes() for v in part.column(2)]
-                keys = keys_of(unit(raw, sizes), mean, axes, bits)
+                keys = keys_of(unit(raw, sizes), axes, bits)
                 n, row = len(raw), np.repeat(np.arange(len(raw)), tables)
                 code = [k.tobytes() for k in keys]
                 take = lambda c: c.take(pa.array(row))
