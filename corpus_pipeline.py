@@ -13,22 +13,30 @@ from loresmith.llm import packing, quality, simhash, templates
 from loresmith.llm.store import Stash, free_shuffles
 
 
+def _fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or their distance rejects go.
 
     Verdicts are of a row's doc_id and text, so that repeated rows share theirs.
     """
     rejected = quality.judge(spark, docs).where(~F.col("kept")).select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.alias("d").join(rejected, F.xxhash64("d.doc_id", "d.text") == F.col("_row_key"), "left_anti")
+    return docs.alias("d").join(rejected.alias("r"), F.xxhash64("d.doc_id", "d.text") == F.col("r._row_key"), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; so do documents that had words and have none left."""
-    had = "_had_words"
-    out = templates.drop_recurring(docs.withColumn(had, F.col("text").rlike(r"[^\x20\x09-\x0D]")), dropped="_dropped")
-    out = out.where((F.col("_dropped") == 0) | ~F.col(had) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    had, dropped = _fresh("_had_words", docs), _fresh("_dropped", docs)
+    word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    out = templates.drop_recurring(docs.withColumn(had, word), dropped=dropped)
+    out = out.where((F.col(dropped) == 0) | ~F.col(had) | word)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -39,9 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.near_duplicates(spark, docs, shingle=5)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.alias("d").join(gone, F.col("d.doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.alias("d").join(gone.alias("r"), F.col("d.doc_id") == F.col("r._gone"), "left_anti")
+    place = _fresh("_nth", docs)
     nth = F.row_number().over(Window.partitionBy("d.doc_id").orderBy(F.xxhash64("d.text")))
-    return kept.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col("d.doc_id").isNull()).select("d.*")
+    return kept.withColumn(place, nth).where((F.col(place) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
