@@ -43,10 +43,21 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """A document tree <category>/<slug>/<file>: one row a file, empty ones too."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = r"([^/]+)/([^/]+)/([^/]+)$"
-    return raw.select(*(F.regexp_extract("path", at, i).alias(c) for i, c in ((1, "category"), (2, "slug"), (3, "file"))), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
+    """A document tree <category>/<slug>/<file>: one row a file.
+
+    A scan skips files without bytes; those come from the file system's listing.
+    """
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified"))
+    jvm, blank = spark._jvm, []
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            blank.append((f.getPath().toString(), "", f.getModificationTime() / 1000))
+    raw = raw.unionByName(spark.createDataFrame(blank, "path string, content string, modified double").withColumn("modified", F.timestamp_seconds("modified")))
+    tail = r"([^/]+)/([^/]+)/([^/]+)$"
+    return raw.select(*(F.regexp_extract("path", tail, i).alias(c) for i, c in ((1, "category"), (2, "slug"), (3, "file"))), "content", "modified")
 
 
 def registry_file(spark: SparkSession, path: str) -> DataFrame:
