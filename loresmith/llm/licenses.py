@@ -198,4 +198,35 @@ def op4_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_license_set_join": op4_license_set_join}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The scan by plain SQL: every block against every template that shares a word of some n - need + 1."""
+    rows = []
+    for k, (label, text) in enumerate(TEMPLATES):
+        words = sorted(set(words_of(text)), key=lambda w: (-len(w), w))
+        need = math.ceil(THRESHOLD * len(words) - 1e-9)
+        array = lambda ws: "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
+        rows.append(f"({k}, '{label}', {array(words)}, {array(words[: len(words) - need + 1])}, {need})")
+    phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in PHRASES)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    spans = ", ".join(f"({s})" for s in SPANS)
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+  w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS words, list_transform(string_split(low, chr(10)), lambda x: list_distinct(regexp_extract_all(x, '{word}'))) AS lines FROM d),
+  phrases AS (SELECT * FROM (VALUES {phrases}) AS t(phrase, label)),
+  templates AS (SELECT * FROM (VALUES {", ".join(rows)}) AS t(tid, label, twords, prefix, need)),
+  places AS (SELECT doc_id, label, i FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w WHERE contains(low, 'license')) p, phrases WHERE words[i + 1] = phrase[1] AND words[i + 1:i + len(phrase)] = phrase),
+  base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+  blocks AS (SELECT doc_id, unnest(list_filter(lines, lambda x: len(x) > 0)) AS block FROM w
+    UNION ALL SELECT doc_id, list_distinct(flatten(lines[i + 1:i + s])) FROM (SELECT doc_id, lines, s, unnest(range(0, greatest(1, len(lines) - s // 2), s // 2)) AS i FROM w, (VALUES {spans}) AS t(s) WHERE len(lines) >= 2 AND s < 2 * len(lines))),
+  numbered AS (SELECT row_number() OVER () AS b, doc_id, block FROM blocks),
+  held AS (SELECT doc_id, b, label, shared / len(twords) AS c FROM (SELECT doc_id, b, label, twords, need, len(list_filter(twords, lambda x: list_contains(block, x))) AS shared FROM numbered JOIN templates ON list_has_any(block, prefix)) WHERE shared >= need),
+  best AS (SELECT *, max(c) OVER (PARTITION BY b) AS top FROM held),
+  named AS (SELECT doc_id, list(DISTINCT label) AS labels, max(top) AS score FROM best WHERE c = top GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(named.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(named.score, 0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op4_license_set_join": _oracle()}
