@@ -202,4 +202,11 @@ def op7_itq_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_itq_embedding_dedup": op7_itq_embedding_dedup}
-ORACLES: dict[str, str] = {}
+#: Brute force: every pair of a label, and all that chains of links reach.
+ORACLES = {
+    "op7_itq_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+  links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+  reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, min(y) AS component_id, v.vec_id = min(y) AS kept FROM v JOIN reach ON x = v.vec_id GROUP BY v.vec_id"""
+}
