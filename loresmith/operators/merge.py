@@ -34,7 +34,7 @@ def merge_by_service(items: DataFrame) -> DataFrame:
     distinct = items.groupBy(key, "list_name", "item").agg(F.min("ord").alias("ord"))
     lists = distinct.groupBy("service_key").agg(
         *(F.array_sort(F.collect_list(F.when(F.col("list_name") == n, F.col("item")))).alias(n) for n in LISTS[:3]),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("list_name") == "settings", F.struct("ord", "item")))), lambda x: x["item"]).alias("settings"),
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("list_name") == "settings") & F.col("item").isNotNull(), F.struct("ord", "item")))), lambda x: x["item"]).alias("settings"),
     )
     return heads.join(lists, "service_key")
 
