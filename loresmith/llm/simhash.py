@@ -7,6 +7,13 @@ segment is free of errors while the next one, in a circle, has one at most; so a
 bits of a segment with a fuzzy key of the next, and a fingerprint has at most 18 keys. Fingerprints
 that meet under a key are verified by their differing bits.
 
+Two forms share this. By ``distance``: fingerprints of 64 bits link at up to two differing bits,
+exactly. By ``similarity``: sketches of twice 64 bits link at ``sketch_bits`` differing bits, the
+mean for shingle sets of that Jaccard similarity and a margin; a key is then a fuzzy key of a
+segment with a fuzzy key of another one of its half, which tolerates two errors in each surely and
+more of them often. A pair at the similarity itself meets with a chance of about nine in ten, a
+closer one more surely; texts without a common passage are tens of bits away from linking.
+
 Equal fingerprints are one row before any of this. Under a key with more than ``BUCKET`` distinct
 fingerprints no pairs are formed; those fingerprints are linked exactly by the 65 points within
 one bit of each: two fingerprints differ in at most two bits if and only if they share such a
@@ -19,6 +26,7 @@ null, an empty table gives no rows, other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +45,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Distinct fingerprints under one key up to which they are compared with each other.
 BUCKET = 64
 MAX_DISTANCE = 2
+#: Margin in standard deviations over the mean number of differing bits at a similarity.
+MARGIN = 1.75
 
 
 def remainders(words: np.ndarray) -> np.ndarray:
@@ -217,25 +227,165 @@ def _checked(stars: DataFrame, points: DataFrame, distance: int) -> DataFrame:
     ).select("a", "b")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): documents grouped by chains of near fingerprints.
+# --- by similarity
 
-    component_id is the smallest doc_id of the group. ``shingle``: words in a shingle.
-    """
-    stash = Stash(spark, "simhash")
-    prints = stash.put(fingerprints(docs, shingle), "prints")
-    distinct = stash.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(stash, link_fingerprints(stash, distinct, distance))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+def sketch_bits(similarity: float) -> int:
+    """Differing bits of 128 up to which sketches link, for sets of that Jaccard similarity."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(128 * p + MARGIN * math.sqrt(128 * p * (1 - p)))
+
+
+def sketch(text: str | None, shingle: int) -> tuple[int, int]:
+    """Two unsigned 64-bit SimHashes of the distinct word shingles; an even vote goes by the smallest hash."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)} or {digest(b" ".join(words), 42)}
+    h = np.array(sorted(found), np.uint64)
+    again = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    again ^= again >> np.uint64(32)
+    out = []
+    for x in (h, again):
+        bits, ones = x.view(np.uint8), np.zeros(64, np.int64)
+        for at in range(0, len(bits), 8 * 65536):
+            ones += np.unpackbits(bits[at : at + 8 * 65536].reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        tie = np.unpackbits(x[:1].view(np.uint8), bitorder="little").astype(bool)
+        out.append(int.from_bytes(np.packbits((2 * ones > len(h)) | ((2 * ones == len(h)) & tie), bitorder="little").tobytes(), "little"))
+    return out[0], out[1]
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, a, b): both halves of the sketch and a number for the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.array([sketch(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "a", "b"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a long, b long")
+    return rows.select("doc_id", F.xxhash64("a", "b").alias("fp"), "a", "b")
+
+
+def pair_keys(prints: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): half, pair of segments, a fuzzy key of each."""
+    parts = [((prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64) for low, bits in SEGMENTS]
+    fuzzy = [fuzzy_keys(p) for p in parts]
+    rows, keys = [], []
+    for i in range(3):
+        (r1, k1), (r2, k2) = fuzzy[i], fuzzy[(i + 1) % 3]
+        n2 = np.bincount(r2, minlength=len(prints))
+        begin = np.cumsum(n2) - n2
+        row = np.repeat(r1, n2[r1])
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n2[r1]) - n2[r1], n2[r1])
+        rows.append(row)
+        keys.append(((half * 3 + i) << 24) | (np.repeat(k1, n2[r1]) << 12) | k2[begin[row] + nth])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _reach(a: np.ndarray, b: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links that connect what is within ``bits`` bits: each found row is compared with those not found yet."""
+    left, out = np.arange(len(fp)), []
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            i = frontier.pop()
+            near = np.bitwise_count(a[left] ^ a[i]).astype(np.int16) + np.bitwise_count(b[left] ^ b[i]) <= bits
+            if near.any():
+                hit = left[near]
+                out += [(int(fp[i]), int(fp[j])) for j in hit]
+                frontier += hit.tolist()
+                left = left[~near]
+    return out
+
+
+def link_sketches(stash: Stash, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (x, y) among distinct sketches (fp, a, b) that meet under a key and are within the bits."""
+    bits = sketch_bits(similarity)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                fp, a, b = (batch.column(i).slice(at, 2000).to_numpy() for i in range(3))
+                for half, x in enumerate((a, b)):
+                    row, key = pair_keys(x.view(np.uint64), half)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row]), pa.array(a[row]), pa.array(b[row])], names=["key", "fp", "a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(key, fp, a, b):
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[start, len(key)])
+            links = []
+            for i in np.flatnonzero(size > BUCKET):
+                one = slice(start[i], start[i] + size[i])
+                links += _reach(a[one], b[one], fp[one], bits)
+            at, step, x, y = np.flatnonzero(np.repeat((size > 1) & (size <= BUCKET), size)), 1, [], []
+            while len(at):
+                at = at[at + step < len(key)]
+                at = at[key[at] == key[at + step]]
+                near = at[np.bitwise_count(a[at] ^ a[at + step]).astype(np.int16) + np.bitwise_count(b[at] ^ b[at + step]) <= bits]
+                x.append(fp[near])
+                y.append(fp[near + step])
+                step += 1
+            if x:
+                links += _spanning(np.concatenate(x), np.concatenate(y))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["x", "y"])
+
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        rows = 0
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols[2], cols[3] = cols[2].view(np.uint64), cols[3].view(np.uint64)
+            for h, c in zip(held, cols, strict=True):
+                h.append(c)
+            rows += batch.num_rows
+            if rows < 50_000:
+                continue
+            whole = [np.concatenate(h) for h in held]
+            tail = int(np.searchsorted(whole[0], whole[0][-1]))  # the last key may go on
+            if tail:
+                yield send(*(w[:tail] for w in whole))
+            held, rows = [[w[tail:]] for w in whole], 0
+        if held[0]:
+            yield send(*(np.concatenate(h) for h in held))
+
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = distinct.select("fp", "a", "b").mapInArrow(emit, "key int, fp long, a long, b long").repartition(n, "key").sortWithinPartitions("key")
+    return stash.put(met.mapInArrow(meet, "x long, y long").distinct(), "met")
+
+
+def _grouped(stash: Stash, prints: DataFrame, distinct: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    roots = components(stash, links, a, b)
+    named = distinct.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stash.put(named, "named")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = named.join(lowest, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float | None = 0.8, distance: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): documents grouped by chains of near fingerprints.
+
+    component_id is the smallest doc_id of the group. ``shingle``: words in a shingle. By default
+    sketches link at a Jaccard similarity; with ``distance``, 64-bit fingerprints of all shingles,
+    repeats included, link at up to so many bits (two at most).
+    """
+    stash = Stash(spark, "simhash")
+    if distance is not None:
+        prints = stash.put(fingerprints(docs, shingle), "prints")
+        distinct = stash.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        return _grouped(stash, prints, distinct, link_fingerprints(stash, distinct, distance), "a", "b")
+    prints = stash.put(sketches(docs, shingle), "prints")
+    distinct = stash.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("a").alias("a"), F.first("b").alias("b")), "distinct")
+    return _grouped(stash, prints, distinct, link_sketches(stash, distinct, similarity), "x", "y")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: three-word shingles, links at two bits."""
-    found = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3)
+    found = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, distance=MAX_DISTANCE)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

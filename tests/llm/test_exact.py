@@ -169,6 +169,55 @@ def test_links_of_crowded_keys(spark, bucket, monkeypatch):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
+def brute_sketch(text, k):
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return 0
+    hs = sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))})
+    out = 0
+    for half in range(2):
+        if half:
+            full = (1 << 64) - 1
+            hs = [(h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full for h in hs]
+            hs = [h ^ h >> 32 for h in hs]
+        ones = [sum(h >> b & 1 for h in hs) for b in range(64)]
+        out |= sum(1 << b for b in range(64) if 2 * ones[b] > len(hs) or 2 * ones[b] == len(hs) and hs[0] >> b & 1) << 64 * half
+    return out
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+@pytest.mark.parametrize("bucket", [64, 4])
+def test_similarity_form(spark, bucket, monkeypatch):
+    """Near copies of known similarity among others: no link beyond the bits, and nearly all at the similarity."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, base = [], []
+    for i in range(60):
+        words = [word() for _ in range(300)]
+        base.append(len(rows))
+        rows.append(" ".join(words))
+        for edits in (2, 4, 6):
+            w = list(words)
+            for at in rng.sample(range(300), edits):
+                w[at] = word()
+            rows.append(" ".join(w))
+    rows += [rows[0], "", "one two"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, df).collect()}
+    want = groups_of({i: brute_sketch(t, 5) for i, t in enumerate(rows)}, simhash.sketch_bits(0.8))
+    assert all(want[i] == want[g] for i, g in got.items())
+    sets = [shingles(t) for t in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
 # --- quality
 
 
@@ -450,8 +499,11 @@ def test_pipeline_stages(spark, documents):
     c.register("documents", kept.select("doc_id", "text").toPandas())
     want = {i: t for i, _, t in c.sql(templates.ORACLES["op5_log_template_lines"]).fetchall()}
     assert {r["doc_id"]: r["text"] for r in lined.collect()} == {i: t for i, t in want.items() if t.split()}
-    single = corpus_pipeline.near_dedup(spark, lined, DIR)
-    prints = {r["doc_id"]: brute_fingerprint(r["text"], 5) for r in lined.collect()}
-    assert {r["doc_id"] for r in single.collect()} == set(groups_of(prints, 2).values())
+    texts = {r["doc_id"]: r["text"] for r in lined.collect()}
+    stay = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, lined, DIR).collect()}
+    groups = collections.defaultdict(set)
+    for r in simhash.near_duplicates(spark, lined).collect():
+        groups[r["component_id"]].add(r["doc_id"])
+    assert stay == set(groups) == {min(g) for g in groups.values()} and set().union(*groups.values()) == set(texts)
     packed = corpus_pipeline.run(spark, DIR)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(groups_of(prints, 2).values())
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == stay
