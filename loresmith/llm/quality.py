@@ -38,7 +38,7 @@ P = 6
 FLOOR = np.array([0.10, 0.25, 1.50, 0.25, 0.25, 1.00])
 #: Share of rows that an estimate rests on, concentration steps, bins of the logarithm of the squared distance.
 SHARE, STEPS, BINS = 0.75, 4, 40
-LEAST_ROWS = 100
+LEAST_ROWS, SALTS = 100, 32
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = 150.0
 #: 0.5 quantile of chi-squared with P degrees of freedom.
@@ -212,7 +212,10 @@ def judge(spark: SparkSession, docs: DataFrame, *, cutoff: float = CUTOFF) -> Da
         .join(model.where("k1 = ''").alias("c"), F.lit(True), "left")
         .select("_l", "_s", F.when(F.col("a.n").isNotNull(), at("a")).when(F.col("b.n").isNotNull(), at("b")).when(F.col("c.n").isNotNull(), at("c")).otherwise(wide).alias("_m"))
     )
-    judged = _distance(stats.join(groups, ["_l", "_s"]).select("*", "_m.mu", "_m.inv", "_m.scale"))
+    # a group may hold a third of all rows: its estimate goes to SALTS places
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    stats = stats.withColumn("_salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
+    judged = _distance(stats.join(groups, ["_l", "_s", "_salt"]).select("*", "_m.mu", "_m.inv", "_m.scale"))
     judged = judged.withColumn("distance", F.col("d2") / F.col("scale"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("distance") <= cutoff)).alias("kept"), "distance")
