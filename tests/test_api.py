@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loresmith import api, settings
 from loresmith.functions import lookups
-from loresmith.operators import extract, merge
+from loresmith.operators import extract, merge, render
 from loresmith.sources import state, tables
 
 
@@ -43,6 +43,14 @@ def test_exports(base):
     assert base.manifest().count() == 2 and base.findings("2025-08-13").where("severity = 'error' and rule != 'missing_file'").count() == 0
 
 
+def test_trees_round_trip(spark, base, tmp_path):
+    want = sorted(tuple(r) for r in base.tree.select("category", "slug", "file", "content").collect())
+    render.write_files(base.tree, str(tmp_path / "wide"))
+    assert sorted(tuple(r) for r in render.read_files(spark, str(tmp_path / "wide")).collect()) == want
+    assert render.publish(base.tree, str(tmp_path / "models")) == len(want)
+    assert sorted(tuple(r)[:4] for r in tables.corpus(spark, str(tmp_path / "models")).collect()) == want
+
+
 def test_parameter_arrays(spark):
     p = '[{"name": "t", "default_value": 0.7, "recommended_range": "0-1", "description": "d"}]'
     df = spark.createDataFrame([(p,)], "p string")
