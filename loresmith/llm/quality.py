@@ -1,9 +1,11 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Every text becomes counts, and the counts a vector of transformed statistics. For each language and
-source, and for each language as their parent, concentration steps look for the half of the rows
+source, and for each language as their parent, concentration steps look for the ``SHARE`` of the rows
 with the smallest covariance determinant: the covariance of the rows chosen gives Mahalanobis
-distances, the nearest rows are chosen next. A step is one grouped sum over all rows: rows are
+distances, the nearest rows are chosen next. They start from the coordinate-wise medians, once with
+the rows' own spread and once with the narrowest that is allowed, and the smaller determinant
+wins. A step is one grouped sum over all rows: rows are
 binned by distance, moments are summed by bin on the map side, and the bins nearest to the centre
 that hold the wanted share give the next estimate. No group is ever gathered: a task sees at most
 the bins of one group. A row is rejected when its distance, scaled so that the median matches a
@@ -115,7 +117,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-MODEL = "k1 string, k2 string, n long, mu array<double>, inv array<double>, scale double"
+MODEL = "k1 string, k2 string, start int, n long, mu array<double>, inv array<double>, log_det double"
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -156,40 +158,41 @@ def _moments(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
 
 
 def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """From the bins of one group: the estimate on the nearest rows, and the scale of distances before it."""
+    """From the bins of one group and start: the estimate on the nearest rows."""
     pdf = pdf.sort_values("bin")
     total, cum = int(pdf["n"].sum()), pdf["n"].cumsum().to_numpy()
     last = int(np.searchsorted(cum, SHARE * total))
     _, mu, cov = _moments(pdf.iloc[: last + 1])
-    middle = float(pdf["bin"].iloc[int(np.searchsorted(cum, 0.5 * total))])
-    scale = max(1.0, (2.0 ** ((middle + 0.5) / BINS) - 1) / MEDIAN)
-    return pd.DataFrame({"k1": [pdf["k1"].iloc[0]], "k2": [pdf["k2"].iloc[0]], "n": [total], "mu": [mu.tolist()], "inv": [_inverse(cov)], "scale": [scale]})
+    log_det = float(np.linalg.slogdet(cov + np.diag(FLOOR**2))[1])
+    return pd.DataFrame({"k1": [pdf["k1"].iloc[0]], "k2": [pdf["k2"].iloc[0]], "start": [int(pdf["start"].iloc[0])], "n": [total], "mu": [mu.tolist()], "inv": [_inverse(cov)], "log_det": [log_det]})
+
+
+def _scale(pdf: pd.DataFrame) -> pd.DataFrame:
+    """From the counts of one group's bins: how far its median distance is from a normal sample's."""
+    pdf = pdf.sort_values("bin")
+    middle = float(pdf["bin"].iloc[int(np.searchsorted(pdf["n"].cumsum().to_numpy(), 0.5 * pdf["n"].sum()))])
+    return pd.DataFrame({"k1": [pdf["k1"].iloc[0]], "k2": [pdf["k2"].iloc[0]], "scale": [max(0.05, (2.0 ** ((middle + 0.5) / BINS) - 1) / MEDIAN)]})
 
 
 def estimates(stash: Stash, stats: DataFrame) -> DataFrame:
     """(k1, k2, n, mu, inv, scale) of each group, language and the table with enough rows."""
     keyed = _keys(stats.select("lang", "source", *(f"x{i}" for i in range(P))))
-    # the start: coordinate-wise medians, spread by the interquartile range
     quart = keyed.groupBy("k1", "k2").agg(
         F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(P))
     ).where(F.col("n") >= LEAST_ROWS)
-    inv = [F.lit(0.0) if i != j else 1 / (F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + float(FLOOR[i] ** 2)) for i, j in PAIRS]
-    model = stash.put(quart.select("k1", "k2", "n", F.array(*(F.col(f"p{i}")[1] for i in range(P))).alias("mu"), F.array(*inv).alias("inv"), F.lit(1.0).alias("scale")), "model")
+    spread = lambda i, start: F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + float(FLOOR[i] ** 2) if start == 0 else F.lit(float(FLOOR[i] ** 2))
+    starts = F.array(*(F.struct(F.lit(k).alias("start"), F.array(*(F.lit(0.0) if i != j else 1 / spread(i, k) for i, j in PAIRS)).alias("inv")) for k in range(2)))
+    model = quart.select("k1", "k2", F.explode(starts).alias("s"), F.array(*(F.col(f"p{i}")[1] for i in range(P))).alias("mu"))
+    model = stash.put(model.select("k1", "k2", "s.start", "mu", "s.inv"), "model")
+    binned = lambda m, *c: _distance(keyed.join(m.select("k1", "k2", *c, "mu", "inv"), ["k1", "k2"])).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * BINS))
     for _ in range(STEPS):
-        binned = _distance(keyed.join(model.select("k1", "k2", "mu", "inv"), ["k1", "k2"])).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * BINS))
-        new = stash.put(_sums(binned, "k1", "k2", "bin").groupBy("k1", "k2").applyInPandas(_concentrate, MODEL), "model")
+        new = stash.put(_sums(binned(model, "start"), "k1", "k2", "start", "bin").groupBy("k1", "k2", "start").applyInPandas(_concentrate, MODEL), "model")
         stash.drop(model)
         model = new
-    binned = _distance(keyed.join(model.select("k1", "k2", "mu", "inv"), ["k1", "k2"])).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * BINS))
-
-    def scaled(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        middle = float(pdf["bin"].iloc[int(np.searchsorted(pdf["n"].cumsum().to_numpy(), 0.5 * pdf["n"].sum()))])
-        return pd.DataFrame({"k1": [pdf["k1"].iloc[0]], "k2": [pdf["k2"].iloc[0]], "scale": [max(0.05, (2.0 ** ((middle + 0.5) / BINS) - 1) / MEDIAN)]})
-
-    counts = binned.groupBy("k1", "k2", "bin").agg(F.count(F.lit(1)).alias("n"))
-    scale = counts.groupBy("k1", "k2").applyInPandas(scaled, "k1 string, k2 string, scale double")
-    return stash.put(model.drop("scale").join(scale, ["k1", "k2"]), "model")
+    best = stash.put(model.groupBy("k1", "k2").agg(*(F.min_by(c, F.struct("log_det", "start")).alias(c) for c in ("n", "mu", "inv"))), "best")
+    counts = binned(best).groupBy("k1", "k2", "bin").agg(F.count(F.lit(1)).alias("n"))
+    scale = counts.groupBy("k1", "k2").applyInPandas(_scale, "k1 string, k2 string, scale double")
+    return stash.put(best.join(scale, ["k1", "k2"]), "model")
 
 
 def judge(spark: SparkSession, docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
