@@ -19,7 +19,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +34,10 @@ from loresmith.llm.packing import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches in a generation of those whose ids a worker remembers; threads of the library in a task.
-REMEMBERED, THREADS = 500_000, 2
+#: Stretches in a generation of those whose ids a worker remembers; threads of the library in a task; texts in a batch.
+REMEMBERED, THREADS, BATCH = 800_000, 2, 1024
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are compared as little-endian 32-bit words")
 #: Types of pieces and models in the protobuf (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -151,16 +155,24 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.model = parse(raw)
         self.tokenizer = rebuild(self.model)
         self.bare = Tokenizer(self.tokenizer.model)  # for stretches that are normalised already
+        self.split = Tokenizer(self.tokenizer.model)  # for many of them, a line each
+        self.split.pre_tokenizer = Split("\n", "isolated")
         inner = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED) and (MARK in p.lstrip(MARK) or "\n" in p)]
         self.stretch = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n") if not inner else None
         self.plain = not self.model.charsmap and not self.model.remove_extra and self.model.escape
         self.tied = self._tied() if self.model.kind == BPE else None
+        # stops at which no piece ends together with a letter before: tokens of their own there
+        crossed = {p[-1] for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED) and len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
+        self.stops = {c: self._batch([c])[0] for c in ".," if c not in crossed} if self.stretch is not None else {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        newline = [i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE and p == "<0x0A>"]
+        self.number_of_newline = newline[0] if newline and self.model.byte_fallback and self.stretch is not None else None
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces
         ]
@@ -229,6 +241,22 @@ class Codec:
                     out[i] = self._agenda(t)
         return out
 
+    def _learn(self, stretches: list[str]) -> None:
+        """Remember the ids of new stretches: a thousand to a line-parted text, and such texts in a batch."""
+        end = self.number_of_newline
+        plain, lone = (stretches, []) if end is not None else ([], stretches)
+        joined = "\n".join(plain)
+        if "\n\n" in f"\n{joined}\n" or self.tied is not None and self.tied.search(joined):
+            odd = {s for s in plain if s == "\n" or self.tied is not None and self.tied.search(s)}
+            plain, lone = [s for s in plain if s not in odd], [*lone, *odd]
+        groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        for group, e in zip(groups, self.split.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == end), len(ids)) * 4
+            raw = ids.tobytes()
+            self.known.update(zip(group, map(raw.__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist())), strict=True))
+        self.known.update(zip(lone, self._batch(lone), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         normal = [self.normalise(t) for t in texts]
@@ -237,16 +265,18 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         parts = [self.stretch.findall(t) for t in normal]
-        known, older, new = self.known, self.older, []
+        new: set[str] = set()
         for p in parts:
-            for s in p:
-                if s not in known:
-                    known[s] = older.get(s)
-                    if known[s] is None:
-                        new.append(s)
-        for at in range(0, len(new), 20_000):
-            known.update(zip(new[at : at + 20_000], self._batch(new[at : at + 20_000]), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+            new.update(p)
+        new.difference_update(self.known)
+        ended = {x: x[:-1] for x in new if x[-1] in self.stops and x[-2:-1].isalpha()}
+        plain = new.difference(ended).union(ended.values()).difference(self.known)
+        again = plain.intersection(self.older)
+        self.known.update((x, self.older[x]) for x in again)
+        self._learn(list(plain - again))
+        self.known.update((x, self.known[base] + self.stops[x[-1]]) for x, base in ended.items())
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -281,11 +311,11 @@ def encode(docs: DataFrame, *, model: str = MODEL, verify: bool = True, keep_ids
         own, other = codec(vocabulary_path(model))
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for at in range(0, b.num_rows, 256):
-                texts = [t.as_py() or "" for t in b.column(1).slice(at, 256)]
+            for at in range(0, b.num_rows, BATCH):
+                texts = [t.as_py() or "" for t in b.column(1).slice(at, BATCH)]
                 found = own.encode(texts)
                 for text, ids in zip(texts, found, strict=True):
-                    same = np.array(other.encode(text, out_type=int), "<u4").tobytes() == ids if verify else None
+                    same = array("I", other.encode(text, out_type=int)).tobytes() == ids if verify else None
                     for c, v in zip(cols[1:], (len(ids) // 4, zlib.crc32(ids), same, own.decode(ids) == text, ids if keep_ids else None), strict=True):
                         c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
