@@ -191,6 +191,7 @@ def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]])
 
 
 KEY = ["host", "path", "page_id"]
+RANGES = 8
 _LEAST = -(1 << 63)
 
 
@@ -219,7 +220,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     number = F.col("page_id").cast("long")
     keyed = pages.select(F.coalesce(number, F.lit(_LEAST)).alias("page_id"), number.alias("own_id"), "url", "html", host.alias("host"), path.alias("path"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = range_ends(keyed.select(*KEY), n)
+    ends = range_ends(keyed.select(*KEY), RANGES * n)  # several to a partition, so that partitions are alike
     firsts, lasts = [a for a, _ in ends], [b for _, b in ends]
 
     @F.pandas_udf("array<int>")
