@@ -43,28 +43,51 @@ class WordIds:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     white-space-separated words in turn. A worker encodes a word once and keeps the ids through its
-    tasks, in two generations: when the newer one is full, the older one is forgotten. New words are
+    tasks, in two generations: when the newer one is full, the older one is forgotten. Words are taken
+    in lower case, and without a full stop or comma after a letter, which is a token of its own. New words are
     encoded many at a time, with a mark between them that is one token; words that hold the mark
     are encoded alone.
     """
 
-    MARK = "\u00b6"
+    #: The first of these that is one token is the mark.
+    MARKS = "\u2605\u2606\u2665\u2022\u2192\u00a7\u00b6"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = self.merges = None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = Split(" ", "removed")
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        mark = self._ids(self.MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.stops = {ord(c): self._ids(c).tobytes() for c in ".,"}
+        found = [(c, int(i[0])) for c in self.MARKS if len(i := self._ids(c)) == 1]
+        self.mark_text, self.mark = found[0] if found else ("", None)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, mark = [], self.MARK.encode()
+        # lower-case ASCII letters are one stretch to the tokenizer and pass its normaliser as they are:
+        # the merges alone give their tokens, the last of which ends a word
+        letters = [w for w in words if w.isalpha() and w.islower()] if self.ends is not None else []
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = np.array(self.merges.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            to = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(to) != len(part):
+                raise ValueError("a word of letters is not one stretch in this vocabulary")
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *to[:-1].tolist()], to.tolist())), strict=True))
+        words = [w for w in words if not (w.isalpha() and w.islower())] if self.ends is not None else words
+        plain, mark = [], self.mark_text.encode()
         for w in words:
             if self.mark is None or mark in w:
                 self.known[w] = self._ids(w.decode()).tobytes()
@@ -72,31 +95,35 @@ class WordIds:
                 plain.append(w)
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            ids = self._ids(f" {self.MARK} ".join(w.decode() for w in part))
+            ids = self._ids(f" {self.mark_text} ".join(w.decode() for w in part))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            raw, start = ids.tobytes(), 0
             if len(ends) != len(part):
                 raise ValueError("the mark is not a token of its own in this vocabulary")
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w], start = raw[start:end], end + 4
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist())), strict=True))
 
-    def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for w in dict.fromkeys(words):
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        raw = [t.encode() for t in texts]
+        # the tokenizer lowers case, but not of its special tokens' names
+        words = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        new: set[bytes] = set()
+        for w in words:
+            new.update(w)
+        new.difference_update(self.known)
+        # a stop after a letter is a token of its own
+        ended = {w: w[:-1] for w in new if w[-1] in self.stops and len(w) > 1 and 97 <= w[-2] <= 122}
+        plain = new.difference(ended).union(ended.values()).difference(self.known)
+        again = plain.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self._learn(list(plain - again))
+        self.known.update((w, self.known[base] + self.stops[w[-1]]) for w, base in ended.items())
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -126,8 +153,10 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VOCAB
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            found = (ids for at in range(0, len(texts), 512) for ids in encode.many(texts[at : at + 512]))
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
                     row = (doc, k, at, len(part) // 4, zlib.crc32(part), bytes(part) if keep_ids else None)

@@ -87,7 +87,8 @@ def test_piece_ids_are_the_tokenizers(documents):
 
     path = packing.vocabulary_path(packing.VOCABULARY)
     t, own = Tokenizer.from_file(path), packing.WordIds(path)
-    odd = ["", "a¶b ¶ c", "<|endoftext|> x<|startoftext|>y", "It's   I'M\n\tdon't 1234 日本語 é é ß İ", "  nb sp", "a\x00b \x1c \x85"]
+    assert own.mark is not None
+    odd = ["", "a¶b ¶ c", "a★b ★ c ☆", "X.Y. A, b., c,. É. ß, it's. THE. <|ENDOFTEXT|>. <|", "<|endoftext|> x<|startoftext|>y", "It's   I'M\n\tdon't 1234 日本語 é é ß İ", "  nb sp", "a\x00b \x1c \x85"]
     for text in [*list(documents.values())[:80], *odd]:
         assert np.frombuffer(own(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
