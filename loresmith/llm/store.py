@@ -57,6 +57,9 @@ def free_shuffles(spark: SparkSession) -> None:
     until the disks are full.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside us: what it frees is gone a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
