@@ -180,14 +180,11 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
     """The text of a page, given the blocks of the pages nearest to it by URL."""
-    kept = [b for b in blocks if b[0] != FURNITURE]
-    if any(mark == ARTICLE for mark, _ in kept):
-        return "\n".join(t for mark, t in kept if mark == ARTICLE)
     lines = [t for _, t in blocks]
     shared: set[int] = set()
     for other in near:
         shared |= common(lines, [t for _, t in other])
-    return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark != FURNITURE and i not in shared)
+    return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark == ARTICLE or mark != FURNITURE and i not in shared)
 
 
 KEY = ["host", "path", "page_id"]

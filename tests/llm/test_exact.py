@@ -417,6 +417,14 @@ def test_differencing(spark):
     assert got == {**{i: f"Own text {i} & more" for i in range(4)}, 9: "Site name"}
 
 
+def test_differencing_beside_articles():
+    """A page with an article loses what its neighbours share outside it, and nothing else."""
+    page = "<div>Site name</div><article class=teaser>Teaser</article><div>Body {0}</div><div>All about us</div><nav>Menu</nav>"
+    a, b = (webpages.blocks_of(page.format(i)) for i in "ab")
+    assert webpages.main_text(a, [b]) == "Teaser\nBody a"
+    assert webpages.main_text(a, []) == "Site name\nTeaser\nBody a\nAll about us"
+
+
 def test_common_is_longest():
     rng = random.Random(2)
     for _ in range(200):
