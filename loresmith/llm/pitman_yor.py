@@ -122,8 +122,8 @@ def by_word(w: np.ndarray, buckets: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def _alone(d: float) -> np.ndarray:
-    """[c, t]: chance that one of c customers at t tables of a dish sits alone."""
+def _stirling(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """[c, t]: logarithms of the generalised Stirling numbers, and the chance that one of c customers at t tables sits alone."""
     logs = np.full((STIRLING + 1, STIRLING + 1), -np.inf)
     logs[0, 0] = 0.0
     out = np.zeros((STIRLING + 1, STIRLING + 1))
@@ -133,13 +133,39 @@ def _alone(d: float) -> np.ndarray:
             stay = logs[c - 1, t] + np.log(np.maximum(c - 1 - d * t, 0))
             logs[c, t] = np.logaddexp(logs[c - 1, t - 1], stay)
             out[c, t] = np.exp(logs[c - 1, t - 1] - logs[c, t])
-    return out
+    return logs, out
+
+
+def _alone(d: float) -> np.ndarray:
+    """[c, t]: chance that one of c customers at t tables of a dish sits alone."""
+    return _stirling(d)[1]
+
+
+@lru_cache(4)
+def _saddle(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of customers a table less one, and of a table's chance to be a lone customer's, along the saddle points.
+
+    The numbers are coefficients of powers of f(z) = (1 - (1 - z)^d) / d; at the point where z f'(z) / f(z)
+    is the customers a table, their ratio is z / f(z).
+    """
+    y = np.r_[-np.geomspace(200, 0.01, 6000), np.log1p(-np.geomspace(0.0099, 1e-7, 2000))]  # log(1 - z)
+    z, f = -np.expm1(y), -np.expm1(d * y) / d
+    ratio = z * np.exp((d - 1) * y) / f
+    order = np.argsort(ratio)
+    return np.log(np.maximum(ratio - 1, 1e-12))[order], np.log(z / f)[order]
+
+
+def _alone_large(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """By saddle points, for many customers: exact at one table and at one customer a table."""
+    less = np.maximum(t - 1.0, 1e-9)
+    x, y = _saddle(d)
+    return np.where(t <= 1, 0.0, less / (c - 1) * np.exp(np.interp(np.log(np.maximum((c - 1) / less - 1, 1e-12)), x, y)))
 
 
 def alone(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """As above for any counts: beyond the table, all but one table have sizes by the discount's law."""
+    """As above for any counts: beyond the table by saddle points."""
     small = c <= STIRLING
-    out = np.minimum(1.0, d * (t - 1) / np.maximum(c, 1))
+    out = _alone_large(np.maximum(c, 2), t, d)
     out[small] = _alone(d)[c[small], t[small]]
     return out
 
@@ -153,6 +179,102 @@ def gibbs_step(rng, c, t, parent, tables, d, theta) -> np.ndarray:
     return rest + back
 
 
+def draw_tables(rng, c, t, parent, tables, d, theta) -> np.ndarray:
+    """Tables of every dish (two customers at least) drawn anew, given the other dishes' tables: all its customers at once.
+
+    The chance of t tables is in proportion to S(c, t) parent^t (theta + d others) ... (theta + d (others + t - 1)).
+    tables: T of each dish's restaurant.
+    """
+    out = np.array(t, np.int64)
+    parent = np.broadcast_to(np.asarray(parent, float), out.shape)
+    base = theta + d * (tables - t)
+    small = np.flatnonzero(c <= STIRLING)
+    logs = _stirling(d)[0]
+    for at in np.array_split(small, max(1, len(small) // 100_000)):
+        if not len(at):
+            continue
+        n = c[at]
+        end = np.cumsum(n)
+        k = np.arange(end[-1]) - np.repeat(end - n, n)  # tables less one
+        own = np.repeat(np.arange(len(at)), n)
+        step = np.log((base[at][own] + d * k) * parent[at][own])
+        run = np.cumsum(step)
+        run -= np.repeat(run[end - n] - step[end - n], n)
+        run += logs[n[own], k + 1]
+        w = np.exp(run - np.repeat(np.maximum.reduceat(run, end - n), n))
+        upto = np.cumsum(w)
+        before = upto[end - n] - w[end - n]
+        pick = np.searchsorted(upto, before + rng.random(len(at)) * (upto[end - 1] - before))
+        out[at] = np.clip(pick - (end - n), 0, n - 1) + 1
+    at = np.flatnonzero(c > STIRLING)
+    if len(at):
+        out[at] = _draw_large(rng, c[at].astype(float), parent[at], base[at], d)
+    return out
+
+
+def _slope(t, c, parent, base, d) -> np.ndarray:
+    """log of the chance of t tables over that of t - 1; t from 2 on, not always whole."""
+    up = np.log((base + d * (t - 1)) * parent) + np.log1p(-np.minimum(_alone_large(c, t - 1, d), 1 - 1e-12))
+    return up - np.log(np.maximum(c - 1 - d * (t - 1), 1e-9) * np.maximum(_alone_large(c, t, d), 1e-300))
+
+
+POINTS = 96
+
+
+def _draw_large(rng, c, parent, base, d) -> np.ndarray:
+    """The same for dishes of many customers: whole where the chances spread over few counts, else by points between."""
+    lo, hi = np.full(len(c), 2.0), c.copy()
+    for _ in range(48):  # the chances have one peak: their slope falls
+        mid = (lo + hi) / 2
+        up = _slope(mid, c, parent, base, d) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    peak = (lo + hi) / 2
+    wide = np.maximum(1.0, 0.3 * np.sqrt(peak))
+    a, b = np.maximum(peak - wide, 2.0), np.minimum(peak + wide, c)
+    fall = (_slope(a, c, parent, base, d) - _slope(b, c, parent, base, d)) / np.maximum(b - a, 1e-9)
+    sd = np.clip(1 / np.sqrt(np.maximum(fall, 1e-12)), 1.0, np.maximum(peak, 4.0))
+    stride = np.ceil(np.maximum(14 * sd, POINTS) / POINTS)
+    first = np.clip(np.floor(peak - stride * POINTS / 2), 1, None)
+    t = first[:, None] + stride[:, None] * np.arange(POINTS)
+    fits = t <= c[:, None]
+    inner = np.minimum(t[:, 1:] - (stride[:, None] - 1) / 2, c[:, None])
+    steps = stride[:, None] * _slope(np.maximum(inner, 2.0), c[:, None], parent[:, None], base[:, None], d)
+    run = np.where(fits, np.cumsum(np.c_[np.zeros(len(c)), steps], axis=1), -np.inf)
+    upto = np.cumsum(np.exp(run - run.max(axis=1, keepdims=True)), axis=1)
+    pick = (upto < (rng.random(len(c)) * upto[:, -1])[:, None]).sum(axis=1)
+    found = first + stride * pick + np.where(stride > 1, np.floor((rng.random(len(c)) - 0.5) * stride), 0)
+    return np.clip(found, 1, c).astype(np.int64)
+
+
+SEATING = 32
+
+
+def sit_down(c, ctx, n, parent, d, theta, more=None) -> np.ndarray:
+    """A first seating: tables expected when all customers of n restaurants come in turn, in steps of growing length.
+
+    ctx: each dish's restaurant; more: a restaurant's tables in all over those seen here.
+    """
+    out, many = np.minimum(c, 1), np.flatnonzero(c > 1)
+    if not len(many):
+        return out
+    lone = np.bincount(ctx[c == 1], minlength=n)
+    more = np.ones(n) if more is None else np.broadcast_to(more, n)
+    c, ctx, parent = c[many], ctx[many], np.broadcast_to(parent, len(out))[many]
+    before, t, total = 0.0, np.zeros(len(c)), np.zeros(n)
+    for share in np.geomspace(1 / c.max(), 1, SEATING):
+        sat, now = np.maximum(c * before, 1), c * share
+        come = np.maximum(now - sat, 0)
+        start, guess, then = np.maximum(t, np.minimum(now, 1)), t, total
+        for _ in range(2):  # once by the tables before the step, once by those amid it
+            new = (theta + d * (total + then) / 2 * more)[ctx] * parent
+            rest = np.maximum(sat + come / 2 - d * (start + np.maximum(guess, start)) / 2, 1 - d)
+            guess = np.minimum(start + come * new / (new + rest), np.maximum(now, start))
+            then = np.bincount(ctx, guess, n) + lone * share
+        before, t, total = share, guess, then
+    out[many] = np.clip(np.rint(t), 1, c)
+    return out
+
+
 # --- batches: the types of many texts, by bucket
 
 
@@ -284,12 +406,18 @@ class Bucket:
         if parent is None:
             yield t, (T + beyond)[self.ctx]
             return
+        more = 1 + beyond / np.maximum(T, 1)
+        t = sit_down(self.c, self.ctx, len(self.contexts), parent[0], D, THETA, more)
+        T = np.bincount(self.ctx, t, len(self.contexts))
+        if totals is not None and is_heavy.any():
+            still = totals[at[is_heavy], 2] == totals[at[is_heavy], 1]  # only the first seating is known: the others' tables grew as ours
+            beyond[is_heavy] = np.where(still, T[is_heavy] * (more[is_heavy] - 1), beyond[is_heavy])
         rng, many = np.random.default_rng(seed), np.flatnonzero(self.c > 1)
         cm, xm = self.c[many], self.ctx[many]
         for s in range(samples):
             p = parent[s % len(parent)][many]
             for _ in range(GAP if s else BURN):
-                now = gibbs_step(rng, cm, t[many], p, (T + beyond)[xm], D, THETA)
+                now = draw_tables(rng, cm, t[many], p, (T + beyond)[xm], D, THETA)
                 T += np.bincount(xm, now - t[many], len(T))
                 t[many] = now
             yield t, (T + beyond)[self.ctx]
@@ -363,9 +491,11 @@ def root_states(told: DataFrame, buckets: int) -> DataFrame:
         t, many, rng = np.minimum(k, 1), np.flatnonzero(k > 1), np.random.default_rng(wb)
         known = int((c > 0).sum())
         base, samples = 1.0 / (known * buckets + 1), []
+        if len(k):
+            t = sit_down(k, np.zeros(len(k), np.int64), 1, base, ROOT_D, ROOT_THETA, float(buckets))
         for s in range(ROOT_SAMPLES):
             for _ in range(GAP if s else BURN):
-                t[many] = gibbs_step(rng, k[many], t[many], base, np.full(len(many), float(t.sum()) * buckets), ROOT_D, ROOT_THETA)
+                t[many] = draw_tables(rng, k[many], t[many], base, np.full(len(many), float(t.sum()) * buckets), ROOT_D, ROOT_THETA)
             samples.append(t.astype("<u4").tobytes())
         sums = [float(np.frombuffer(x, "<u4").sum()) for x in samples]
         return wb, [r[1] for r in rows], [len(x) for x in ws], inverse.astype("<u4").tobytes(), c.astype("<u4").tobytes(), k.astype("<u4").tobytes(), samples, int(c.sum()), known, int(k.sum()), sums

@@ -473,6 +473,56 @@ def test_predictive_sums_to_one():
     assert abs(root.sum() - 1) < 1e-9
 
 
+def one_restaurant(c):
+    """A bucket of one context with these customers."""
+    x = object.__new__(pitman_yor.Bucket)
+    x.c, x.ctx, x.contexts = c, np.zeros(len(c), np.int64), np.array([7], np.uint64)
+    return x
+
+
+def test_seating_grows_with_customers():
+    """Tables of a frequent context: as many as the restaurant that its customers were drawn from, and as in the long run."""
+    d, theta, v, n, rng = pitman_yor.D, pitman_yor.THETA, 2000, 100_000, random.Random(5)
+    h = 1 / np.arange(1, v + 1) / (1 / np.arange(1, v + 1)).sum()
+    served = iter(np.searchsorted(np.cumsum(h), np.random.default_rng(1).random(n)).clip(0, v - 1).tolist())
+    size, dish, seats, c = [], [], [], np.zeros(v, np.int64)
+    for i in range(n):
+        j = -1
+        if rng.random() * (theta + i) >= theta + d * len(size):  # an old table, by its size less the discount
+            while j < 0 or rng.random() * size[j] < d:
+                j = seats[int(rng.random() * i)]
+        if j < 0:
+            j = len(size)
+            size.append(0)
+            dish.append(next(served))
+        size[j] += 1
+        seats.append(j)
+        c[dish[j]] += 1
+    place = pitman_yor.Placement(1, {})
+    *_, (got, _) = one_restaurant(c).seat(place, np.zeros((0, 3)), np.stack([h, h]), 1, seed=1)
+    *_, (later, _) = one_restaurant(c).seat(place, np.zeros((0, 3)), np.stack([h, h]), 100, seed=2)
+    assert ((got >= np.minimum(c, 1)) & (got <= c)).all()
+    assert abs(got.sum() / len(size) - 1) < 0.1 and abs(got.sum() / later.sum() - 1) < 0.05
+
+
+def test_tables_are_drawn_by_their_chances():
+    """Means of small dishes by the Stirling-weighted chances, and of large ones by the long run of single steps."""
+    d, theta, rng = 0.8, 1.0, np.random.default_rng(4)
+    logs = pitman_yor._stirling(d)[0]
+    for c, h, others in ((2, 0.3, 5), (20, 0.05, 40), (96, 0.2, 80)):
+        k = np.arange(1, c + 1)
+        p = logs[c, 1:][:c] + np.cumsum(np.log((theta + d * (others + k - 1)) * h))
+        p = np.exp(p - p.max())
+        got = pitman_yor.draw_tables(rng, np.full(20_000, c), np.ones(20_000, int), h, np.full(20_000, others + 1.0), d, theta)
+        assert abs(got.mean() - (p * k).sum() / p.sum()) < 0.03 * got.mean()
+    c, h, others, n = 400, 0.1, 300, 500
+    t = np.full(n, 40)
+    for _ in range(4000):
+        t = pitman_yor.gibbs_step(rng, np.full(n, c), t, h, others + t, d, theta)
+    got = pitman_yor.draw_tables(rng, np.full(n, c), t, h, np.full(n, float(others)) + t, d, theta)
+    assert abs(got.mean() / t.mean() - 1) < 0.05 and abs(got.std() / t.std() - 1) < 0.2
+
+
 def test_alone_matches_enumeration():
     """Chance that one of c customers at t tables sits alone, over all partitions."""
     d, c = 0.8, 5
