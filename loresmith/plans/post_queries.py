@@ -188,7 +188,7 @@ def json_tolerant(spark, d):
 
 @query("relevant_section", "SELECT doc_id, md5(coalesce(nullif(array_to_string((regexp_extract_all(text, '(?is)recommend.*?(?:\\n\\n|\\z)'))[1:3], ' '), ''), text)) AS section_md5 FROM documents WHERE NOT regexp_matches(text, '(?i)best practice|tips?\\s*:')")
 def relevant_section(spark, d):
-    return _docs(spark, d).where("text not rlike '(?i)best practice|tips?\\\\s*:'").select("doc_id", F.md5(text.relevant_section(F.col("text"))).alias("section_md5"))
+    return _docs(spark, d).select("doc_id", F.md5(text.relevant_section(F.col("text"))).alias("section_md5"))
 
 
 _SPECIFIC = " + ".join(f"CAST(regexp_matches(text, {S.quoted('(?i)' + p)}) AS INT)" for p in L.SPECIFIC)
