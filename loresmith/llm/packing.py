@@ -14,14 +14,17 @@ empty table gives no rows, and other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,97 +33,180 @@ from loresmith.llm.store import Stash
 END_ID = 1
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
-#: Words in a generation of those whose ids a worker remembers.
-REMEMBERED = 700_000
+#: Words in a generation of those whose ids a worker remembers; bytes of text encoded together.
+REMEMBERED, AT_ONCE = 1_000_000, 16_000_000
+_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 #: Pieces in a partition, sequences that a partition gives back for exchange, partitions that exchange.
 PER_PARTITION, RELEASED, FAN_IN = 50_000, 48, 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def gathered(numbers: np.ndarray, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of numbered words one after the other, and where each word's end; word k is flat[begin[k] : begin[k] + size[k]]."""
+    size = size[numbers]
+    ends = np.cumsum(size)
+    at = np.repeat(begin[numbers] - ends + size, size)
+    at += np.arange(len(at))
+    return flat[at], ends
+
+
 class WordIds:
-    """Token ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    white-space-separated words in turn. A worker encodes a word once and keeps the ids through its
-    tasks, in two generations: when the newer one is full, the older one is forgotten. Words are taken
-    in lower case, and without a full stop or comma after a letter, which is a token of its own. New words are
-    encoded many at a time, with a mark between them that is one token; words that hold the mark
-    are encoded alone.
+    """Token ids of texts, a worker's memory of words included.
+
+    A tokenizer whose file says that it composes, folds white space and lowers case, cuts at one
+    pattern, and merges each cut piece by itself (ends of words being tokens of their own) gives a
+    text the ids of its white-space-separated words in turn, and a word those of its pieces. Such a
+    tokenizer is asked for a distinct piece once; texts are cut, numbered and gathered as arrays.
+    Any other tokenizer encodes the texts as they are. Which of both holds is read from the file, and
+    tried on ``PROBE``, when a worker starts.
+
+    Words are remembered through a worker's tasks, in two generations: when the newer one is full,
+    the older one is forgotten.
     """
 
-    #: The first of these that is one token is the mark.
-    MARKS = "\u2605\u2606\u2665\u2022\u2192\u00a7\u00b6"
+    PROBE = "It's 3.5 m\u00b2 na\u00efve -- they'll r\u00c9sum\u00e9, e-mail a_b@c.org ('tis) \u4e2d\u6587 42nd!? \U0001f600x </w> It's"
+    #: Texts that hold one of these are not lowered before they are cut: names of special tokens, and marks that compose.
+    AS_IT_IS = "<\\||[\u0300-\u036f]"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = self.merges = None
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        if suffix:
-            self.merges = Tokenizer(self.tokenizer.model)
-            self.merges.pre_tokenizer = Split(" ", "removed")
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.stops = {ord(c): self._ids(c).tobytes() for c in ".,"}
-        found = [(c, int(i[0])) for c in self.MARKS if len(i := self._ids(c)) == 1]
-        self.mark_text, self.mark = found[0] if found else ("", None)
+        self.by_pieces = False
+        if self._prepare(json.loads(self.tokenizer.to_str())):
+            self.by_pieces = True
+            self._forget()
+            self.by_pieces = self.many([self.PROBE])[0] == self._ids(self.PROBE).tobytes()
+
+    def _prepare(self, file: dict) -> bool:
+        """Whether the tokenizer's file describes one that works by pieces; keeps what cuts and merges them."""
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        def steps(part: dict | None, inner: str) -> list[dict]:
+            return [] if part is None else part.get(inner, [part])
+
+        suffix = file["model"].get("end_of_word_suffix")
+        norms, cuts = steps(file["normalizer"], "normalizers"), steps(file["pre_tokenizer"], "pretokenizers")
+        plain = (
+            file["model"]["type"] == "BPE" and suffix and not file["model"].get("dropout") and [n["type"] for n in norms] == ["NFC", "Replace", "Lowercase"]
+            and norms[1]["pattern"] == {"Regex": r"\s+"} and norms[1]["content"] == " " and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and "Regex" in cuts[0]["pattern"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+            and all(t["special"] and "<|" in t["content"] for t in file["added_tokens"])
+        )
+        if not plain:
+            return False
+        self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return True
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.older = None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        # lower-case ASCII letters are one stretch to the tokenizer and pass its normaliser as they are:
-        # the merges alone give their tokens, the last of which ends a word
-        letters = [w for w in words if w.isalpha() and w.islower()] if self.ends is not None else []
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            ids = np.array(self.merges.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            to = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(to) != len(part):
-                raise ValueError("a word of letters is not one stretch in this vocabulary")
-            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *to[:-1].tolist()], to.tolist())), strict=True))
-        words = [w for w in words if not (w.isalpha() and w.islower())] if self.ends is not None else words
-        plain, mark = [], self.mark_text.encode()
-        for w in words:
-            if self.mark is None or mark in w:
-                self.known[w] = self._ids(w.decode()).tobytes()
+    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Remember words that are not known, by their ids one after the other."""
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember new words."""
+        if self.older is not None:
+            known, *arrays = self.older
+            number = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            again = [w for w, n in zip(words, number.tolist(), strict=True) if n >= 0]
+            ids, ends = gathered(number[number >= 0], *arrays)
+            self._keep(again, ids, np.diff(ends, prepend=0))
+            words = [w for w, n in zip(words, number.tolist(), strict=True) if n < 0]
+        plain = [w for w in words if w.isascii() and "<|" not in w]
+        self._cut(plain, " ".join(plain).lower())
+        odd = [w for w in words if not w.isascii() and "<|" not in w]
+        # some may hold white space beyond ASCII, or letters that change in number: those have forms of their own
+        form = self.tokenizer.normalizer.normalize_str
+        for at in range(0, len(odd), 4000):
+            part = odd[at : at + 4000]
+            forms = form(" ".join(part))
+            if forms.count(" ") == len(part) - 1:
+                self._cut(part, forms)
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = self._ids(f" {self.mark_text} ".join(w.decode() for w in part))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            if len(ends) != len(part):
-                raise ValueError("the mark is not a token of its own in this vocabulary")
-            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist())), strict=True))
+                for w in part:
+                    self._cut([w], form(w), one=True)
+        for w in words:
+            if "<|" in w:
+                ids = self._ids(w)
+                self._keep([w], ids, np.array([len(ids)]))
+
+    def _cut(self, words: list[str], forms: str, *, one: bool = False) -> None:
+        """Remember words by their pieces; forms: their normal forms with a space between. one: a single word, spaces or not."""
+        if not words:
+            return
+        pieces = self.cut(forms)
+        new = list(set(pieces).difference(self.known))
+        ids = [self.merges.encode_batch_fast([" ".join(new[at : at + 4000])], add_special_tokens=False)[0].ids for at in range(0, len(new), 4000)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(i, "<u4") for i in ids)])
+        to = np.flatnonzero(self.ends[ids]) + 1  # the last token of a piece ends a word
+        if len(to) != len(new):
+            raise ValueError("a piece is not one stretch of tokens in this vocabulary")
+        self._keep(new, ids, np.diff(to, prepend=0))
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        ids, ends = gathered(number, self.flat, self.begin, self.size)
+        ends = np.r_[0, ends]
+        if one:
+            size = np.array([ends[-1]])
+        else:  # pieces cover all but white space: words end where so many characters do
+            covered = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            upto = np.cumsum(np.fromiter(map(len, forms.split(" ")), np.int64, len(words)))
+            last = np.searchsorted(covered, upto)
+            if (covered[last] != upto).any():
+                raise ValueError("the pieces do not cover the words in this vocabulary")
+            size = np.diff(ends[last + 1], prepend=0)
+        if self.known.keys().isdisjoint(words):
+            self._keep(words, ids, size)
+        else:  # words that are pieces are known by now
+            fresh = np.fromiter((w not in self.known for w in words), bool, len(words))
+            self._keep([w for w, f in zip(words, fresh.tolist(), strict=True) if f], ids[np.repeat(fresh, size)], size[fresh])
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's end."""
+        if not self.by_pieces:
+            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([len(i) for i in ids], dtype=np.int64)
+        if len(self.known) > REMEMBERED:
+            older = (self.known, self.flat, self.begin, self.size)
+            self._forget()
+            self.older = older
+        # copied: Arrow lowers a slice by the whole buffer's offsets
+        texts = pc.fill_null(texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))), "")
+        lowered = pc.if_else(pc.match_substring_regex(texts, self.AS_IT_IS), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(lowered)
+        flat = words.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        number = np.fromiter((self.known.get(w, -1) for w in names), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            unknown = [names[i] for i in new.tolist()]
+            self._learn(unknown)
+            number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        ids, ends = gathered(number[flat.indices.to_numpy()], self.flat, self.begin, self.size)
+        to = words.offsets.to_numpy()
+        return ids, np.r_[0, ends][to[1:] - to[0]]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        raw = [t.encode() for t in texts]
-        # the tokenizer lowers case, but not of its special tokens' names
-        words = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        new: set[bytes] = set()
-        for w in words:
-            new.update(w)
-        new.difference_update(self.known)
-        # a stop after a letter is a token of its own
-        ended = {w: w[:-1] for w in new if w[-1] in self.stops and len(w) > 1 and 97 <= w[-2] <= 122}
-        plain = new.difference(ended).union(ended.values()).difference(self.known)
-        again = plain.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        self._learn(list(plain - again))
-        self.known.update((w, self.known[base] + self.stops[w[-1]]) for w, base in ended.items())
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        """Ids of each text, as little-endian unsigned 32-bit bytes."""
+        ids, ends = self.ids_of(pa.array(texts, pa.large_string()))
+        return [ids[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
@@ -145,6 +231,33 @@ def vocabulary_path(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
+def _stretches(encode: WordIds, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of each text as bytes: short texts are encoded together, a long one in parts that end at white space."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // AT_ONCE
+    at = 0
+    while at < len(texts):
+        if sizes[at] > 2 * AT_ONCE:
+            text, parts, begin = texts[at].as_py(), [], 0
+            while begin < len(text):
+                to = begin + AT_ONCE
+                if to < len(text):
+                    space = _SPACE.search(text, to)
+                    to = space.start() if space and space.start() - begin < 4 * AT_ONCE else len(text)
+                parts.append(encode(text[begin:to]))
+                begin = to
+            yield b"".join(parts)
+            at += 1
+            continue
+        to = at + 1
+        while to < len(texts) and group[to] == group[at] and sizes[to] <= 2 * AT_ONCE:
+            to += 1
+        ids, ends = encode.ids_of(texts.slice(at, to - at))
+        for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield ids[i:j].tobytes()
+        at = to
+
+
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
     """Token pieces of ``docs``: (doc_id, piece, start, length, ids_crc32[, ids binary])."""
 
@@ -153,9 +266,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VOCAB
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            found = (ids for at in range(0, len(texts), 512) for ids in encode.many(texts[at : at + 512]))
-            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), _stretches(encode, batch.column(1)), strict=True):
                 ids = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
