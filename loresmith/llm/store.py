@@ -50,6 +50,16 @@ class Stash:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def partitions_for(df: DataFrame, size: int) -> int:
+    """Partitions of about ``size`` bytes of what ``df`` reads, by the plan's statistics; the session's number at least.
+
+    Rows that come from no file have no size (Spark then says 2^63 - 1): the session's number.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if read >= 1 << 60 else max(least, -(-read // size))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner remove the shuffle files of finished jobs now.
 

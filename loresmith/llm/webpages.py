@@ -22,11 +22,14 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loresmith.llm.store import partitions_for
+
 FURNITURE, PLAIN, ARTICLE = 0, 1, 2
 #: Elements of HTML by what they do (fixed values).
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -145,6 +148,53 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
+#: Bits of rows kept at once while two pages are aligned; beyond it the longer one is halved first.
+ALIGNED_BITS = 200_000_000
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of a, a number whose bit j is 0 where the longest common subsequence with b[: j + 1] is longer than with b[:j]."""
+    full = (1 << len(b)) - 1
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    row = full
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a and each prefix of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of a longest common subsequence with b, in memory bounded by both lengths and ALIGNED_BITS."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > ALIGNED_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _aligned(a[:half], b[:cut]) + [half + i for i in _aligned(a[half:], b[cut:])]
+    rows, out = list(_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> j - 1 & 1:
+                j -= 1
+                out.append(i)
+    return out[::-1]
+
+
 def common(a: list[str], b: list[str]) -> set[int]:
     """Positions in ``a`` of a longest common subsequence with ``b``."""
     lo = 0
@@ -155,40 +205,26 @@ def common(a: list[str], b: list[str]) -> set[int]:
         hi += 1
     out = {*range(lo), *range(len(a) - hi, len(a))}
     either = set(a[lo : len(a) - hi]) & set(b[lo : len(b) - hi])
+    number = {line: k for k, line in enumerate(either)}
     x = [i for i in range(lo, len(a) - hi) if a[i] in either]
-    y = [j for j in range(lo, len(b) - hi) if b[j] in either]
-    if not x:
-        return out
-    # lengths by rows, kept whole: pages have few lines that both hold
-    table = [[0] * (len(y) + 1)]
-    for i in x:
-        row, up = [0], table[-1]
-        for k, j in enumerate(y):
-            row.append(up[k] + 1 if a[i] == b[j] else max(up[k + 1], row[-1]))
-        table.append(row)
-    i, j = len(x), len(y)
-    while i and j:
-        if a[x[i - 1]] == b[y[j - 1]]:
-            out.add(x[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] >= table[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    y = [number[line] for line in b[lo : len(b) - hi] if line in either]
+    out.update(x[i] for i in _aligned([number[a[i]] for i in x], y))
     return out
 
 
-def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
-    """The text of a page, given the blocks of the pages nearest to it by URL."""
+def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> tuple[str, int]:
+    """The text of a page, given the blocks of the pages nearest to it by URL, and how many of its lines they share."""
     lines = [t for _, t in blocks]
     shared: set[int] = set()
     for other in near:
         shared |= common(lines, [t for _, t in other])
-    return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark == ARTICLE or mark != FURNITURE and i not in shared)
+    return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark == ARTICLE or mark != FURNITURE and i not in shared), len(shared)
 
 
 KEY = ["host", "path", "page_id"]
-RANGES = 8
+#: Ranges to a partition; stored bytes of pages to a partition.
+RANGES, PARTITION_BYTES = 4, 32_000_000
+TEXTS = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_near long"
 _LEAST = -(1 << 63)
 
 
@@ -211,12 +247,15 @@ def range_ends(keys: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
+    """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
+
+    n_lines, n_shared, n_near: lines of the page, those that a neighbour shares, and neighbours compared.
+    """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     number = F.col("page_id").cast("long")
     keyed = pages.select(F.coalesce(number, F.lit(_LEAST)).alias("page_id"), number.alias("own_id"), "url", "html", host.alias("host"), path.alias("path"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(pages, PARTITION_BYTES)
     ends = range_ends(keyed.select(*KEY), RANGES * n)  # several to a partition, so that partitions are alike
     firsts, lasts = [a for a, _ in ends], [b for _, b in ends]
 
@@ -241,12 +280,13 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
         def result(page, before, after):
             near = [q[2] for q in (before, after) if q is not None and q[3] == page[3]]
-            text = main_text(page[2], near)
-            return page[0], page[1], text, len(text)
+            text, shared = main_text(page[2], near)
+            return page[0], page[1], text, len(text), len(page[2]), shared, len(near)
 
         def send(out):
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in TEXTS.split(", ")])
 
         before = page = None
         out, held = [], 0
@@ -265,7 +305,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     dealt = keyed.withColumn("to", F.explode(place("host", "path", "page_id"))).withColumn("range", F.expr("to div 2").cast("int"))
     dealt = dealt.repartition(n, "range").sortWithinPartitions("range", *KEY, "to")
-    return dealt.select("own_id", "url", "html", "host", "to").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return dealt.select("own_id", "url", "html", "host", "to").mapInArrow(run, TEXTS)
 
 
 def op10_html_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
