@@ -8,13 +8,13 @@ bits of a segment with a fuzzy key of the next, and a fingerprint has at most 18
 that meet under a key are verified by their differing bits.
 
 Two forms share this. By ``distance``: fingerprints of 64 bits link at up to two differing bits,
-exactly. By ``similarity``: sketches of twice 64 bits link at ``sketch_bits`` differing bits, the
-mean for shingle sets of that Jaccard similarity and a margin; a key is then a fuzzy key of a
+exactly. By ``similarity``: sketches of twice 64 bits are candidates at ``sketch_bits`` differing bits,
+the mean for shingle sets of that Jaccard similarity and a margin; a key is then a fuzzy key of a
 segment with a fuzzy key of another one of its half, which tolerates two errors in each surely and
 more of them often. A pair at the similarity itself meets with a chance of about nine in ten, a
-closer one more surely; texts without a common passage are tens of bits away from linking.
+closer one more surely. Candidates link only if their shingle sets have the similarity, counted out.
 
-Equal fingerprints are one row before any of this. Under a key with more than ``BUCKET`` distinct
+Equal fingerprints, or equal shingle sets, are one row before any of this. Under a key with more than ``BUCKET`` distinct
 fingerprints no pairs are formed; those fingerprints are linked exactly by the 65 points within
 one bit of each: two fingerprints differ in at most two bits if and only if they share such a
 point, and all that share a point are linked by a star.
@@ -46,7 +46,7 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 BUCKET = 64
 MAX_DISTANCE = 2
 #: Margin in standard deviations over the mean number of differing bits at a similarity.
-MARGIN = 1.75
+MARGIN = 2.5
 
 
 def remainders(words: np.ndarray) -> np.ndarray:
@@ -231,21 +231,27 @@ def _checked(stars: DataFrame, points: DataFrame, distance: int) -> DataFrame:
 
 
 def sketch_bits(similarity: float) -> int:
-    """Differing bits of 128 up to which sketches link, for sets of that Jaccard similarity."""
+    """Differing bits of 128 up to which sketches are candidates, for sets of that Jaccard similarity."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.floor(128 * p + MARGIN * math.sqrt(128 * p * (1 - p)))
 
 
-def sketch(text: str | None, shingle: int) -> tuple[int, int]:
-    """Two unsigned 64-bit SimHashes of the distinct word shingles; an even vote goes by the smallest hash."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, of none has none."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     found = {digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)} or {digest(b" ".join(words), 42)}
-    h = np.array(sorted(found), np.uint64)
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def sketch(h: np.ndarray) -> tuple[int, int]:
+    """Two unsigned 64-bit SimHashes of a shingle set; an even vote goes by the smallest hash."""
+    if not len(h):
+        return 0, 0
     again = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     again ^= again >> np.uint64(32)
     out = []
@@ -258,16 +264,23 @@ def sketch(text: str | None, shingle: int) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def set_id(h: np.ndarray) -> int:
+    """A number for a shingle set."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(h.tobytes(), 7)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, a, b): both halves of the sketch and a number for the whole."""
+    """(doc_id, text_hash, fp, a, b): a number for the shingle set, and both halves of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.array([sketch(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "a", "b"])
+            sets = (shingle_set(t.as_py(), shingle) for t in batch.column(2))
+            found = np.array([(set_id(h), *sketch(h)) for h in sets], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i].copy()) for i in range(3))], names=["doc_id", "text_hash", "fp", "a", "b"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, a long, b long")
-    return rows.select("doc_id", F.xxhash64("a", "b").alias("fp"), "a", "b")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long, a long, b long")
 
 
 def pair_keys(prints: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,60 +299,105 @@ def pair_keys(prints: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _reach(a: np.ndarray, b: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is within ``bits`` bits: each found row is compared with those not found yet."""
-    left, out = np.arange(len(fp)), []
+def _apart(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
+    """Differing bits of the sketches numbered i and j."""
+    return np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j])
+
+
+def _reach(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Pairs that connect what is within ``bits`` bits: each found row is compared with those not found yet.
+
+    Rows go from the one nearest to the bitwise majority of all, which among copies is nearest to their
+    original, so that most pairs are of an original and a copy.
+    """
+    middle = [np.packbits(2 * _ones(x) > len(x), bitorder="little").view(np.uint64)[0] for x in (a, b)]
+    far = np.bitwise_count(a ^ middle[0]).astype(np.int16) + np.bitwise_count(b ^ middle[1])
+    left, x, y = np.argsort(far, kind="stable"), [], []
     while len(left):
         frontier, left = [int(left[0])], left[1:]
-        while frontier and len(left):
-            i = frontier.pop()
-            near = np.bitwise_count(a[left] ^ a[i]).astype(np.int16) + np.bitwise_count(b[left] ^ b[i]) <= bits
+        nth = 0
+        while nth < len(frontier) and len(left):
+            i = frontier[nth]
+            nth += 1
+            near = _apart(a, b, left, i) <= bits
             if near.any():
-                hit = left[near]
-                out += [(int(fp[i]), int(fp[j])) for j in hit]
-                frontier += hit.tolist()
+                hit = left[near].tolist()
+                x += [i] * len(hit)
+                y += hit
+                frontier += hit
                 left = left[~near]
+    return x, y
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """How many of the words have each bit."""
+    out = np.zeros(64, np.int64)
+    for at in range(0, len(x), 65536):
+        out += np.unpackbits(np.ascontiguousarray(x[at : at + 65536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return out
 
 
-def link_sketches(stash: Stash, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Links (x, y) among distinct sketches (fp, a, b) that meet under a key and are within the bits."""
-    bits = sketch_bits(similarity)
+def _across(a: np.ndarray, b: np.ndarray, root: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """All pairs of different roots within ``bits`` bits: rows of the commonest root are only compared with the others."""
+    _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.argsort(size[of], kind="stable")
+    of, x, y = of[order], [], []
+    for k in range(int((of != of[-1]).sum()) if len(of) else 0):
+        near = np.flatnonzero((_apart(a, b, order[k + 1 :], order[k]) <= bits) & (of[k + 1 :] != of[k])) + k + 1
+        x += [int(order[k])] * len(near)
+        y += order[near].tolist()
+    return x, y
+
+
+def candidates(distinct: DataFrame, bits: int, *, across: bool) -> DataFrame:
+    """Pairs (x, y) of shingle sets (fp, a, b, root) that meet under a key and are within ``bits`` bits.
+
+    Not across: pairs that connect all such pairs, nearest first. Across: all such pairs of different roots.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                fp, a, b = (batch.column(i).slice(at, 2000).to_numpy() for i in range(3))
-                for half, x in enumerate((a, b)):
-                    row, key = pair_keys(x.view(np.uint64), half)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row]), pa.array(a[row]), pa.array(b[row])], names=["key", "fp", "a", "b"])
+                cols = [batch.column(i).slice(at, 2000).to_numpy() for i in range(batch.num_columns)]
+                for half in (0, 1):
+                    row, key = pair_keys(cols[1 + half].view(np.uint64), half)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(pa.array(c[row]) for c in cols)], names=["key", *names])
+
+    def pairs(key, fp, a, b, root) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(key)])
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(size > BUCKET):
+            one = slice(start[i], start[i] + size[i])
+            p, q = _across(a[one], b[one], root[one], bits) if across else _reach(a[one], b[one], bits)
+            x.append(start[i] + np.array(p, np.int64))
+            y.append(start[i] + np.array(q, np.int64))
+        at, step = np.flatnonzero(np.repeat((size > 1) & (size <= BUCKET), size)), 1
+        while len(at):
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            near = _apart(a, b, at, at + step) <= bits
+            if across:
+                near &= root[at] != root[at + step]
+            x.append(at[near])
+            y.append(at[near] + step)
+            step += 1
+        x, y = np.concatenate(x), np.concatenate(y)
+        if across:
+            p, q = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
+            found = np.unique(np.stack([p, q], axis=1), axis=0) if len(p) else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, i].copy(), pa.int64()) for i in (0, 1)], names=["x", "y"])
+        order = np.argsort(_apart(a, b, x, y), kind="stable")
+        links = _spanning(fp[x[order]], fp[y[order]])
+        return pa.RecordBatch.from_arrays([pa.array([min(e) for e in links], pa.int64()), pa.array([max(e) for e in links], pa.int64())], names=["x", "y"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(key, fp, a, b):
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[start, len(key)])
-            links = []
-            for i in np.flatnonzero(size > BUCKET):
-                one = slice(start[i], start[i] + size[i])
-                links += _reach(a[one], b[one], fp[one], bits)
-            at, step, x, y = np.flatnonzero(np.repeat((size > 1) & (size <= BUCKET), size)), 1, [], []
-            while len(at):
-                at = at[at + step < len(key)]
-                at = at[key[at] == key[at + step]]
-                near = at[np.bitwise_count(a[at] ^ a[at + step]).astype(np.int16) + np.bitwise_count(b[at] ^ b[at + step]) <= bits]
-                x.append(fp[near])
-                y.append(fp[near + step])
-                step += 1
-            if x:
-                links += _spanning(np.concatenate(x), np.concatenate(y))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["x", "y"])
-
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
         rows = 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
             cols[2], cols[3] = cols[2].view(np.uint64), cols[3].view(np.uint64)
-            for h, c in zip(held, cols, strict=True):
+            for h, c in zip(held, cols + cols[1:2] * (5 - len(cols)), strict=True):  # without roots each is its own
                 h.append(c)
             rows += batch.num_rows
             if rows < 50_000:
@@ -347,40 +405,102 @@ def link_sketches(stash: Stash, distinct: DataFrame, similarity: float) -> DataF
             whole = [np.concatenate(h) for h in held]
             tail = int(np.searchsorted(whole[0], whole[0][-1]))  # the last key may go on
             if tail:
-                yield send(*(w[:tail] for w in whole))
+                yield pairs(*(w[:tail] for w in whole))
             held, rows = [[w[tail:]] for w in whole], 0
         if held[0]:
-            yield send(*(np.concatenate(h) for h in held))
+            yield pairs(*(np.concatenate(h) for h in held))
 
+    names = ["fp", "a", "b", "root"] if across else ["fp", "a", "b"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = distinct.select("fp", "a", "b").mapInArrow(emit, "key int, fp long, a long, b long").repartition(n, "key").sortWithinPartitions("key")
-    return stash.put(met.mapInArrow(meet, "x long, y long").distinct(), "met")
+    met = distinct.select(*names).mapInArrow(emit, "key int, " + ", ".join(f"{c} long" for c in names)).repartition(n, "key").sortWithinPartitions("key")
+    return met.mapInArrow(meet, "x long, y long").distinct()
+
+
+def verified(stash: Stash, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``pairs`` (x, y) with ok: whether the shingle sets have that Jaccard similarity."""
+    ends = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
+    wanted = stash.put(distinct.join(ends, "fp").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "wanted")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *held]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(h) for h in held])].astype(np.int32)), flat)
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), lists], names=["fp", "s"])
+
+        fps, held, n = [], [], 0
+        for batch in batches:
+            for fp, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fps.append(fp)
+                held.append(shingle_set(text.as_py(), shingle))
+                n += len(held[-1])
+                if n > 500_000:
+                    yield send()
+                    fps, held, n = [], [], 0
+        yield send()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").alias("d").join(
+        wanted.alias("w"), (F.xxhash64("d.text") == F.col("w._hash")) & F.col("d._d").eqNullSafe(F.col("w._id"))
+    )
+    held = stash.put(texts.select("w.fp", "d.text").mapInArrow(sets, "fp long, s array<long>"), "sets")
+    held = held.groupBy("fp").agg(F.first("s").alias("s"))  # a repeated row brings its set again
+    both = pairs.join(held.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x").join(held.select(F.col("fp").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    return stash.put(both.select("x", "y", (shared >= similarity * (F.size("sx") + F.size("sy") - shared)).alias("ok")), "verified")
+
+
+def link_sketches(stash: Stash, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (x, y) among distinct shingle sets (fp, a, b, first) that connect all candidates of that similarity.
+
+    Candidates are first connected by as few pairs as it takes, and those are verified. Only among
+    candidates that a failed pair connects can a link be missing: all their pairs across what is
+    linked so far are verified next.
+    """
+    bits = sketch_bits(similarity)
+    met = stash.put(candidates(distinct, bits, across=False), "met")
+    sure = verified(stash, docs, distinct, met, shingle, similarity)
+    links, failed = sure.where("ok").select("x", "y"), sure.where("not ok")
+    if failed.isEmpty():
+        return links
+    near = stash.put(components(stash, met, "x", "y"), "near")
+    doubtful = failed.join(near, F.col("x") == F.col("node")).select("root").distinct()
+    suspects = near.join(doubtful, "root", "left_semi").select(F.col("node").alias("fp"))
+    roots = components(stash, links, "x", "y").withColumnRenamed("node", "fp")
+    suspects = distinct.join(suspects, "fp").join(roots, "fp", "left").select("fp", "a", "b", F.coalesce("root", "fp").alias("root"))
+    rest = stash.put(candidates(stash.put(suspects, "suspects"), bits, across=True), "rest")
+    more = verified(stash, docs, distinct, rest.join(failed, ["x", "y"], "left_anti"), shingle, similarity)
+    return links.unionByName(more.where("ok").select("x", "y"))
 
 
 def _grouped(stash: Stash, prints: DataFrame, distinct: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """``prints`` with the first (least) member of their component."""
     roots = components(stash, links, a, b)
     named = distinct.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stash.put(named, "named")
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+    lowest = named.groupBy("root").agg(F.min("first").alias("least"))
+    groups = named.join(lowest, "root").select("fp", "least")
+    return prints.join(groups, "fp")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, similarity: float | None = 0.8, distance: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id): documents grouped by chains of near fingerprints.
+    """(doc_id, fp, component_id): documents grouped by chains of near copies.
 
     component_id is the smallest doc_id of the group. ``shingle``: words in a shingle. By default
-    sketches link at a Jaccard similarity; with ``distance``, 64-bit fingerprints of all shingles,
-    repeats included, link at up to so many bits (two at most).
+    texts link at a Jaccard similarity of their shingle sets, and two columns follow: text_hash (of a
+    row's text) and first, whether the row's doc_id and text are those of the group's first member
+    (by doc_id, null last, then text_hash). With ``distance``, 64-bit fingerprints of all shingles, repeats
+    included, link at up to so many bits (two at most).
     """
     stash = Stash(spark, "simhash")
     if distance is not None:
         prints = stash.put(fingerprints(docs, shingle), "prints")
         distinct = stash.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-        return _grouped(stash, prints, distinct, link_fingerprints(stash, distinct, distance), "a", "b")
+        return _grouped(stash, prints, distinct, link_fingerprints(stash, distinct, distance), "a", "b").select("doc_id", "fp", F.col("least").alias("component_id"))
     prints = stash.put(sketches(docs, shingle), "prints")
-    distinct = stash.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("a").alias("a"), F.first("b").alias("b")), "distinct")
-    return _grouped(stash, prints, distinct, link_sketches(stash, distinct, similarity), "x", "y")
+    member = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    distinct = stash.put(prints.groupBy("fp").agg(F.min(member).alias("first"), F.first("a").alias("a"), F.first("b").alias("b")), "distinct")
+    found = _grouped(stash, prints, distinct, link_sketches(stash, docs, distinct, shingle, similarity), "x", "y")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return found.select("doc_id", "fp", F.col("least.doc_id").alias("component_id"), "text_hash", first.alias("first"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
