@@ -34,7 +34,7 @@ END_ID = 1
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 #: Words in a generation of those whose ids a worker remembers; bytes of text encoded together.
-REMEMBERED, AT_ONCE = 1_000_000, 16_000_000
+REMEMBERED, AT_ONCE = 600_000, 6_000_000
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 #: Pieces in a partition, sequences that a partition gives back for exchange, partitions that exchange.
 PER_PARTITION, RELEASED, FAN_IN = 50_000, 48, 8
@@ -189,9 +189,11 @@ class WordIds:
             self.older = older
         # copied: Arrow lowers a slice by the whole buffer's offsets
         texts = pc.fill_null(texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))), "")
-        lowered = pc.if_else(pc.match_substring_regex(texts, self.AS_IT_IS), texts, pc.ascii_lower(texts))
-        words = pc.ascii_split_whitespace(lowered)
+        texts = pc.if_else(pc.match_substring_regex(texts, self.AS_IT_IS), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(texts)
+        to = words.offsets.to_numpy()
         flat = words.flatten().dictionary_encode()
+        del texts, words
         names = flat.dictionary.to_pylist()
         number = np.fromiter((self.known.get(w, -1) for w in names), np.int64, len(names))
         new = np.flatnonzero(number < 0)
@@ -199,8 +201,8 @@ class WordIds:
             unknown = [names[i] for i in new.tolist()]
             self._learn(unknown)
             number[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        del names
         ids, ends = gathered(number[flat.indices.to_numpy()], self.flat, self.begin, self.size)
-        to = words.offsets.to_numpy()
         return ids, np.r_[0, ends][to[1:] - to[0]]
 
     def many(self, texts: list[str]) -> list[bytes]:
