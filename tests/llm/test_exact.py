@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,12 +88,48 @@ def test_piece_ids_are_the_tokenizers(documents):
 
     path = packing.vocabulary_path(packing.VOCABULARY)
     t, own = Tokenizer.from_file(path), packing.WordIds(path)
-    assert own.mark is not None
+    assert own.by_pieces
     odd = ["", "a¶b ¶ c", "a★b ★ c ☆", "X.Y. A, b., c,. É. ß, it's. THE. <|ENDOFTEXT|>. <|", "<|endoftext|> x<|startoftext|>y", "It's   I'M\n\tdon't 1234 日本語 é é ß İ", "  nb sp", "a\x00b \x1c \x85"]
     for text in [*list(documents.values())[:80], *odd]:
         assert np.frombuffer(own(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_odd_texts(monkeypatch):
+    """Marks that compose, white space beyond ASCII, special names, contractions, and the memory's two generations."""
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path(packing.VOCABULARY)
+    odd = ["J\u030c h\u0331 T\u0308x", "a\u00a0b\u2003c", "x<|endoftext|>y <|EndOfText|> B", "it's IT'S x'sabc 'tis !!'s", "\u0130stanbul \u03a3\u03a3 stra\u00dfe", "12\u00b2\u0664", "</w> w>", "", "\t \n", "\u00c5ngstr\u00f6m, A\u030angstro\u0308m.", "\ufb01ne \u212a \u1e9e"]
+    odd += [" ".join(odd), "word " * 3000]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice("aB' .\u00e9\u0301\u00a07<|>\n\u4e2d") for _ in range(200)) for _ in range(60)]
+    for kept in (10, 1_000_000):
+        monkeypatch.setattr(packing, "REMEMBERED", kept)
+        encode, plain = packing.WordIds(path), Tokenizer.from_file(path)
+        assert encode.by_pieces
+        for _ in range(2):
+            for at in range(0, len(odd), 7):
+                part = odd[at : at + 7]
+                assert [np.frombuffer(x, "<u4").tolist() for x in encode.many(part)] == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+
+
+def test_other_vocabularies_are_encoded_as_they_are(spark, documents, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    encode, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    texts = [t or "" for t in list(documents.values())[:40]]
+    assert not encode.by_pieces and [np.frombuffer(x, "<u4").tolist() for x in encode.many(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_texts_are_encoded_in_parts(documents, monkeypatch):
+    encode = packing.WordIds(packing.vocabulary_path(packing.VOCABULARY))
+    texts = pa.array([None, *documents.values(), "", "x" * 5000])
+    whole = list(packing._stretches(encode, texts))
+    monkeypatch.setattr(packing, "AT_ONCE", 300)
+    assert list(packing._stretches(encode, texts)) == whole and len(whole) == len(texts)
+
+
 # --- SimHash
 
 
@@ -170,24 +207,6 @@ def test_links_of_crowded_keys(spark, bucket, monkeypatch):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
-def brute_sketch(text, k):
-    import xxhash
-
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    hs = sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))})
-    out = 0
-    for half in range(2):
-        if half:
-            full = (1 << 64) - 1
-            hs = [(h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full for h in hs]
-            hs = [h ^ h >> 32 for h in hs]
-        ones = [sum(h >> b & 1 for h in hs) for b in range(64)]
-        out |= sum(1 << b for b in range(64) if 2 * ones[b] > len(hs) or 2 * ones[b] == len(hs) and hs[0] >> b & 1) << 64 * half
-    return out
-
-
 def shingles(text, k=5):
     w = text.lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
@@ -212,11 +231,40 @@ def test_similarity_form(spark, bucket, monkeypatch):
     rows += [rows[0], "", "one two"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, df).collect()}
-    want = groups_of({i: brute_sketch(t, 5) for i, t in enumerate(rows)}, simhash.sketch_bits(0.8))
-    assert all(want[i] == want[g] for i, g in got.items())
     sets = [shingles(t) for t in rows]
     pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    want = {i: i for i in range(len(rows))}  # smallest reachable by pairs of the similarity
+    for _ in rows:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert all(want[i] == want[g] for i, g in got.items())
+
+
+def test_similar_below_the_threshold_stay_apart(spark, monkeypatch):
+    """Families whose members are near the threshold: a group is never joined by a pair below it."""
+    monkeypatch.setattr(simhash, "MARGIN", 6.0)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(25):
+        words = [word() for _ in range(200)]
+        for edits in (0, 3, 5, 7, 9, 11):
+            w = list(words)
+            for at in rng.sample(range(200), edits):
+                w[at] = word()
+            rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, df).collect()}
+    sets = [shingles(t) for t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if alike(a, b) >= 0.8]
+    want = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(set(want.values())) > 40 and all(want[i] == want[g] for i, g in got.items())
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
 
 
 # --- quality
@@ -241,7 +289,7 @@ def test_outliers_by_labels(spark):
     d = "/root/testdata/sf0.01"
     j = quality.op3_quality_outliers(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
     by = {(r["quality"], r["kept"]): r["count"] for r in j.groupBy("quality", "kept").count().collect()}
-    assert by.get((1, False), 0) <= 0.01 * by[1, True] and by.get((0, True), 0) <= 0.05 * by[0, False]
+    assert by.get((1, False), 0) <= 0.02 * by[1, True] and by.get((0, True), 0) <= 0.05 * by[0, False]
 
 
 def test_concentration_ignores_outliers(spark):
@@ -252,6 +300,63 @@ def test_concentration_ignores_outliers(spark):
     assert len(m) == 3 and np.abs(np.array(m["1en", "1a"]["mu"])).max() < 0.3
 
 
+def brute_quality(groups):
+    """Plain concentration on whole groups, {key: rows}: the same method without bins."""
+    out = {}
+    ridge = np.diag(quality.FLOOR**2)
+    for key, x in groups.items():
+        q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+        best = None
+        for spread in (((q[2] - q[0]) / 1.349) ** 2 + quality.FLOOR**2, quality.FLOOR**2):
+            mu, inv, last = q[1], np.diag(1 / spread), np.inf
+            for _ in range(100):
+                d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+                near = x[np.argsort(d, kind="stable")[: math.ceil(quality.SHARE * len(x))]]
+                mu, cov = near.mean(axis=0), np.cov(near.T, bias=True) + ridge
+                inv, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+                if last - det < 1e-9:
+                    break
+                last = det
+            if best is None or det < best[0]:
+                best = det, mu, inv
+        _, mu, inv = best
+        d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+        near = x[d <= quality.chi_squared(quality.REWEIGHTED) * np.median(d) / quality.chi_squared(0.5)]
+        mu, inv = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) + ridge)
+        d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+        middle, upper = np.quantile(d, [0.5, 0.75])
+        power = min(1.0, math.log(quality.chi_squared(0.25) / quality.chi_squared(0.5)) / math.log(upper / middle))
+        out[key] = quality.chi_squared(0.5) * (d / middle) ** power
+    return out
+
+
+def test_distances_against_plain_estimates(spark):
+    """The whole query: every row's distance and verdict are those of concentration without bins, but for rounding at the cutoff."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stats = quality.measure(docs).toPandas()
+    x = stats[[f"x{i}" for i in range(quality.P)]].to_numpy()
+    by = stats.groupby(["lang", "source"], dropna=False).indices
+    langs = stats.groupby("lang", dropna=False).indices
+    groups, of = {}, {}
+    for (lang, source), at in by.items():
+        key = (lang, source) if len(at) >= quality.LEAST_ROWS else lang if len(langs[lang]) >= quality.LEAST_ROWS else ""
+        groups[key] = x[by[key]] if isinstance(key, tuple) else x[langs[key]] if key else x
+        of[lang, source] = key
+    places = {k: by[k] if isinstance(k, tuple) else langs[k] if k else np.arange(len(x)) for k in groups}
+    found = brute_quality(groups)
+    want = {}
+    for pair, at in by.items():
+        where = {int(p): i for i, p in enumerate(places[of[pair]])}
+        want.update((int(stats["doc_id"].iloc[p]), float(found[of[pair]][where[int(p)]])) for p in at)
+    got = {r["doc_id"]: r for r in quality.op3_quality_outliers(spark, d).collect()}
+    ratio = np.array([math.log((got[i]["distance"] + 1) / (want[i] + 1)) for i in want])
+    assert len(got) == len(want) and np.quantile(np.abs(ratio), 0.95) < 0.25
+    cut = quality.chi_squared(quality.LEVEL)
+    unlike = [i for i, w in want.items() if not got[i]["base_failed"] and got[i]["kept"] != (w <= cut)]
+    assert len(unlike) <= 0.01 * len(want) and all(0.6 * cut < want[i] < 1.6 * cut for i in unlike)
+
+
 # --- licenses
 
 
@@ -267,21 +372,53 @@ def test_license_scan(spark, documents):
         assert r["n_words"] == len(words) and r["n_base"] == len(places)
         assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert r["base_labels"] == ",".join(sorted({p[1] for p in places})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
-        blocks = {(b["label"], b["line"], b["lines"]) for b in r["blocks"]}
+        blocks = {(b["template"], b["first"], b["words"], round(b["containment"], 9)) for b in r["blocks"]}
         brute = set()
-        for line, lines, block in licenses.blocks_of(text):
-            for label, t in licenses.TEMPLATES:
-                want = set(licenses.words_of(t))
-                if len(want & block) >= math.ceil(licenses.THRESHOLD * len(want) - 1e-9):
-                    brute.add((label, line, lines))
+        raw = [w.encode() for w in words]
+        for k, (_, t, names) in enumerate(licenses.TEMPLATES):
+            own, runs = licenses.words_of(t), []
+            want, span = set(own), math.ceil(licenses.SLACK * len(own))
+            for end in range(len(raw)):
+                window = raw[max(0, end + 1 - span) : end + 1]
+                share = len(want.intersection(window)) / len(want)
+                if raw[end] in want and share >= licenses.THRESHOLD - 1e-9 and set(licenses.words_of(names)) <= set(window):
+                    begin = end + 1 - len(window) + next(j for j, w in enumerate(window) if w in want)
+                    if runs and begin < runs[-1][1]:
+                        runs[-1] = (runs[-1][0], end + 1, max(runs[-1][2], share))
+                    else:
+                        runs.append((begin, end + 1, share))
+            brute |= {(k, x, y - x, round(c, 9)) for x, y, c in runs}
         assert blocks == brute
         named += bool(r["labels"])
     assert named > 3
 
 
-def test_license_windows(spark):
-    t = "x\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction.\ny"
-    assert licenses.scan(spark, spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["labels"] == "mit"
+def labels_of(spark, *texts):
+    rows = licenses.scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["labels"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_license_labels_of_plain_notices(spark):
+    assert labels_of(
+        spark, "Released under the Apache License", "Licensed under CC BY 4.0", "licensed under the GNU General Public License", "licensed under the GNU Lesser General Public License, version 3",
+        "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC-SA 4.0. All rights reserved.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "all the rights of the reserved seats", "Released under the Apache Foundation", None,
+    ) == ["apache", "cc-by", "gpl", "gpl,lgpl", "cc-by-nc", "all-rights-reserved,cc-by-nc-sa", "cc-by-sa", "", "", ""]
+
+
+def test_license_blocks_wrap_and_stand_beside_others(spark):
+    grant = next(t for label, t, _ in licenses.TEMPLATES if label == "mit" and "sublicense" in t)
+    wrapped = "\n".join(["x y z"] * 50 + grant.split() + ["x y z"] * 50)  # one word a line
+    missing = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these are met. All rights reserved."
+    assert labels_of(spark, wrapped, missing) == ["mit", "all-rights-reserved,bsd"]
+
+
+def test_license_scan_against_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    want = c.sql(licenses.ORACLES["op4_license_set_join"])
+    got = licenses.op4_license_set_join(spark, DIR)
+    assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
 
 
 # --- line dedup
@@ -311,29 +448,85 @@ def test_roles_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = chat.op6_transcript_roles(spark, d)
     truth = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("role").alias("truth"))
-    by = {r["held_out"]: r["right"] for r in got.join(truth, ["conv_id", "turn"]).groupBy("held_out").agg(F.avg((F.col("role") == F.col("truth")).cast("int")).alias("right")).collect()}
-    assert by[True] > 0.95 and by[False] > 0.99
+    rows = got.join(truth, ["conv_id", "turn"]).select("role", "truth").collect()
+    assert len(rows) == truth.count() and all(r["role"] == r["truth"] for r in rows)
+    found = chat.held_out_roles(spark.read.parquet(f"{d}/conversations.parquet")).collect()
+    assert sum(r["n"] for r in found if r["truth"] == r["role"]) > 0.95 * sum(r["n"] for r in found) > 50
+
+
+def random_hmm(rng):
+    return chat.Hmm([(b, r, on, rng.randint(0, 15), rng.randint(0, 1), rng.randint(1, 9)) for b in (-1, 0, 1, 2) for r in range(3) for on in (0, 1) for _ in range(4)])
+
+
+def best_path(h, shown):
+    """Over all paths."""
+    total = lambda z: h.start[z[0]] + sum(s[r] for s, r in zip(shown, z, strict=True)) + sum(h.move[a][b] for a, b in itertools.pairwise(z))
+    return list(max(itertools.product(h.states, repeat=len(shown)), key=total))
 
 
 def test_viterbi_is_exact():
     rng = random.Random(1)
-    cells = [(b, r, rng.randint(0, 15), rng.randint(0, 7), rng.randint(0, 1), rng.randint(1, 9)) for b in (None, *chat.ROLES) for r in chat.ROLES for _ in range(4)]
-    h = chat.Hmm(cells)
-    for _ in range(150):
-        shown = [[rng.uniform(-3, 0) for _ in chat.ROLES] for _ in range(rng.randint(1, 7))]
+    h = random_hmm(rng)
+    for _ in range(60):
+        shown = [[rng.uniform(-3, 0) for _ in h.states] for _ in range(rng.randint(1, 6))]
         p, got = chat.Path(h), []
         for s in shown:
             got += p.step(s)
-        got += p.end()
-        total = lambda z: h.start[z[0]] + sum(s[r] for s, r in zip(shown, z, strict=True)) + sum(h.move[a][b] for a, b in itertools.pairwise(z))  # noqa: B023, E731
-        assert got == list(max(itertools.product(range(3), repeat=len(shown)), key=total))
+        assert got + p.end() == best_path(h, shown)
+    # long sequences are decided on the way, as by plain Viterbi
+    shown = [[rng.uniform(-3, 0) for _ in h.states] for _ in range(3000)]
+    p, got, most = chat.Path(h), [], 0
+    for s in shown:
+        got += p.step(s)
+        most = max(most, len(p.back))
+    got += p.end()
+    score, back = [h.start[s] + shown[0][s] for s in h.states], []
+    for x in shown[1:]:
+        back.append([max(h.states, key=lambda q: score[q] + h.move[q][s]) for s in h.states])  # noqa: B023
+        score = [score[back[-1][s]] + h.move[back[-1][s]][s] + x[s] for s in h.states]
+    want = [max(h.states, key=lambda s: score[s])]
+    for k in back[::-1]:
+        want.append(k[want[-1]])
+    assert got == want[::-1] and most < 300
+
+
+def test_turns_against_all_paths(spark):
+    """The whole query: every conversation's turns are those of the best of all state paths of its lines."""
+    rng = random.Random(6)
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.randint(1, 3)):
+            lines = [rng.choice(["", "User: ", "Bot: ", ""]) + "x" * rng.randint(0, 60) + rng.choice(["", "?"]) for _ in range(rng.randint(1, 2))]
+            rows.append((conv, turn, rng.choice([None, "user", "assistant", "zzz", "System"]), "\n".join(lines)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    h = chat.fit(df)
+    got = collections.defaultdict(list)
+    for r in chat.tag(chat.observed(df), h).orderBy("conv_id", "turn", "part").collect():
+        got[r["conv_id"]].append((r["turn"], r["part"], r["role"], r["text"]))
+    for conv, mine in itertools.groupby(rows, key=lambda r: r[0]):
+        lines = [(t, x) for _, t, role, text in mine for x in chat.lines_of(text, chat.role_of(role))]
+        want = []
+        for (t, x), s in zip(lines, best_path(h, [h.shown(x) for _, x in lines]), strict=True):
+            if s % 2 == 0:
+                want.append([t, sum(w[0] == t for w in want), chat.ROLES[s // 2], x.body])
+            else:
+                want[-1][3] += "\n" + x.body
+        assert got[conv] == [(t, p, r, text.strip()) for t, p, r, text in want]
 
 
 def test_raw_transcripts(spark):
-    h = chat.fit(chat.observed(spark.read.parquet(f"{DIR}/conversations.parquet")))
-    t = spark.createDataFrame([(1, "System: be kind\nUser: hi?\n**Assistant:** hello\nQ: why?\nA: because")], "conv_id long, text string")
-    got = [(r["role"], r["text"]) for r in chat.parse_transcripts(t, h).orderBy("turn").collect()]
-    assert got == [("system", "be kind"), ("user", "hi?"), ("assistant", "hello"), ("user", "why?"), ("assistant", "because")]
+    h = chat.fit(spark.read.parquet(f"{DIR}/conversations.parquet"))
+    rows = [
+        (1, "System: be kind\nUser: hi?\n**Assistant:** hello\nQ: why?\nA: because"),
+        (2, "User: first line\nsecond line of the same user\n\nAssistant: reply\nmore reply"),
+        (None, "Human: one\nAI: two"),
+    ]
+    got = collections.defaultdict(list)
+    for r in chat.parse_transcripts(spark.createDataFrame(rows, "conv_id long, text string"), h).orderBy("conv_id", "part").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert got[1] == [("system", "be kind"), ("user", "hi?"), ("assistant", "hello"), ("user", "why?"), ("assistant", "because")]
+    assert got[2] == [("user", "first line\nsecond line of the same user"), ("assistant", "reply\nmore reply")]
+    assert got[None] == [("user", "one"), ("assistant", "two")]
 
 
 # --- embeddings
@@ -421,8 +614,43 @@ def test_differencing_beside_articles():
     """A page with an article loses what its neighbours share outside it, and nothing else."""
     page = "<div>Site name</div><article class=teaser>Teaser</article><div>Body {0}</div><div>All about us</div><nav>Menu</nav>"
     a, b = (webpages.blocks_of(page.format(i)) for i in "ab")
-    assert webpages.main_text(a, [b]) == "Teaser\nBody a"
-    assert webpages.main_text(a, []) == "Site name\nTeaser\nBody a\nAll about us"
+    assert webpages.main_text(a, [b]) == ("Teaser\nBody a", 4)
+    assert webpages.main_text(a, []) == ("Site name\nTeaser\nBody a\nAll about us", 0)
+
+
+def test_pages_are_compared(spark):
+    """Furniture that carries no telling mark goes by differencing alone, on every page with a neighbour."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for h in range(6):
+        lines = [f"Template {h} {k}" for k in range(8)]
+        for k in range(rng.randint(2, 9)):
+            own = [f"Own {h} {k} {j}" for j in range(rng.randint(0, 5))]
+            mixed, left = [], list(own)
+            for x in lines:
+                while left and rng.random() < 0.4:
+                    mixed.append(left.pop(0))
+                mixed.append(x)
+            mixed += left
+            want[len(rows)] = "\n".join(own)
+            rows.append((len(rows), f"http://h{h}.org/{rng.choice('abc')}/{k:03}", "".join(f"<div>{x}</div>" for x in mixed)))
+    got = {r["page_id"]: r for r in webpages.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_near"] >= 1 and r["n_shared"] == 8 for r in got.values())
+
+
+@pytest.mark.parametrize("bits", [200_000_000, 40])
+def test_alignment_of_many_lines(bits, monkeypatch):
+    """Against the textbook table, whole and halved."""
+    monkeypatch.setattr(webpages, "ALIGNED_BITS", bits)
+    rng = random.Random(5)
+    for _ in range(40):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, 60))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        got = webpages._aligned(a, b)
+        assert got == sorted(set(got)) and len(got) == table[-1][-1] and subsequence([a[i] for i in got], b)
 
 
 def test_common_is_longest():
