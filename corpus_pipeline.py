@@ -6,7 +6,7 @@ of ``docs``. ``run`` writes each stage's result in the shared folder and reads i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loresmith.llm import packing, quality, simhash, templates
@@ -41,16 +41,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest doc_id.
+    """One document of each group of near copies stays: the smallest doc_id, null last.
 
-    Rows that share a doc_id count as copies of one document; rows without one stay.
+    Rows of equal doc_id and different text are documents of their own; a repeated row (equal doc_id
+    and text) stays once, with the first of its other columns. Empty texts are copies of each other.
     """
-    groups = simhash.near_duplicates(spark, docs, shingle=5)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.alias("d").join(gone.alias("r"), F.col("d.doc_id") == F.col("r._gone"), "left_anti")
-    place = _fresh("_nth", docs)
-    nth = F.row_number().over(Window.partitionBy("d.doc_id").orderBy(F.xxhash64("d.text")))
-    return kept.withColumn(place, nth).where((F.col(place) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    groups = Stash(spark, "near_dedup").put(simhash.near_duplicates(spark, docs, shingle=5), "groups")
+    key = ("doc_id", "text_hash")
+    gone = groups.where(~F.col("first")).select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
+    again = groups.where("first").groupBy(*key).count().where("count > 1").select(*(F.col(c).alias(f"_{c}") for c in key))
+    same = lambda d: F.col(f"{d}.doc_id").cast("long").eqNullSafe(F.col("r._doc_id")) & (F.xxhash64(f"{d}.text") == F.col("r._text_hash"))
+    kept = docs.alias("d").join(gone.alias("r"), same("d"), "left_anti")
+    whole = F.first(F.struct(*(F.col(f"k.`{c}`") for c in docs.columns))).alias("_row")
+    one = kept.alias("k").join(again.alias("r"), same("k"), "left_semi").groupBy("k.doc_id", "k.text").agg(whole).select("_row.*")
+    return kept.alias("k").join(again.alias("r"), same("k"), "left_anti").unionByName(one)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
