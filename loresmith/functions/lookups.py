@@ -49,37 +49,37 @@ PATTERN_CATEGORIES = (
 
 # --- fixed values: spellings of services, in order of declaration
 VARIATIONS = (
-    ("elevenlabs", ("eleven labs", "elevenlabs", "eleven-labs")),
-    ("heygen", ("heygen", "hey gen", "hey-gen")),
-    ("stablediffusion", ("stable diffusion", "stablediffusion", "stable-diffusion")),
-    ("midjourney", ("midjourney", "mid journey", "mid-journey")),
-    ("characterai", ("character.ai", "character ai", "characterai", "character-ai")),
-    ("githubcopilot", ("github copilot", "githubcopilot", "github-copilot", "copilot")),
-    ("openai", ("openai", "open ai", "open-ai")),
-    ("anthropic", ("anthropic", "claude")),
-    ("huggingface", ("huggingface", "hugging face", "hugging-face", "hf")),
-    ("scaleai", ("scale ai", "scaleai", "scale-ai", "scale.ai")),
-    ("replicastudios", ("replica studios", "replicastudios", "replica-studios")),
-    ("playht", ("play.ht", "playht", "play-ht")),
-    ("wellsaidlabs", ("wellsaid", "wellsaid labs", "wellsaidlabs")),
-    ("deepbrain", ("deepbrain", "deep brain", "deep-brain", "deep brain ai")),
-    ("synthesia", ("synthesia",)),
-    ("did", ("d-id", "did")),
-    ("runway", ("runway", "runway ml", "runwayml")),
-    ("pika", ("pika", "pika labs", "pikalabs")),
-    ("leonardo", ("leonardo", "leonardo ai", "leonardoai", "leonardo.ai")),
-    ("ideogram", ("ideogram", "ideogram ai", "ideogramai", "ideogram.ai")),
-    ("cursor", ("cursor", "cursor ai", "cursorai")),
-    ("codeium", ("codeium",)),
-    ("luma", ("luma", "luma ai", "lumaai", "luma labs", "lumalabs")),
-    ("kaiber", ("kaiber", "kaiber ai", "kaiberai", "kaiber.ai")),
-    ("genmo", ("genmo", "genmo ai", "genmoai", "genmo.ai")),
-    ("haiper", ("haiper", "haiper ai", "haiperai", "haiper.ai")),
-    ("moonvalley", ("moonvalley", "moon valley", "moon-valley")),
-    ("neuralframes", ("neural frames", "neuralframes", "neural-frames")),
-    ("immersity", ("immersity", "immersity ai", "immersityai", "immersity.ai")),
-    ("leiapix", ("leiapix", "leia pix", "leia-pix")),
-    ("depthlab", ("depthlab", "depth lab", "depth-lab")),
+    ("elevenlabs", ("eleven labs", "elevenlabs", "eleven-labs", "ElevenLabs", "Eleven Labs")),
+    ("heygen", ("heygen", "hey gen", "hey-gen", "HeyGen", "Hey Gen")),
+    ("stablediffusion", ("stable diffusion", "stablediffusion", "stable-diffusion", "StableDiffusion")),
+    ("midjourney", ("midjourney", "mid journey", "mid-journey", "MidJourney", "Mid Journey")),
+    ("characterai", ("character.ai", "character ai", "characterai", "character-ai", "Character.AI")),
+    ("githubcopilot", ("github copilot", "githubcopilot", "github-copilot", "copilot", "Copilot")),
+    ("openai", ("openai", "open ai", "open-ai", "OpenAI", "Open AI")),
+    ("anthropic", ("anthropic", "claude", "Claude", "Anthropic")),
+    ("huggingface", ("huggingface", "hugging face", "hugging-face", "HuggingFace", "HF")),
+    ("scaleai", ("scale ai", "scaleai", "scale-ai", "Scale AI", "Scale.AI")),
+    ("replicastudios", ("replica studios", "replicastudios", "replica-studios", "Replica Studios")),
+    ("playht", ("play.ht", "playht", "play-ht", "Play.ht", "PlayHT")),
+    ("wellsaidlabs", ("wellsaid", "wellsaid labs", "wellsaidlabs", "WellSaid Labs", "WellSaid")),
+    ("deepbrain", ("deepbrain", "deep brain", "deep-brain", "DeepBrain", "Deep Brain AI")),
+    ("synthesia", ("synthesia", "Synthesia")),
+    ("did", ("d-id", "did", "D-ID", "D-id")),
+    ("runway", ("runway", "runway ml", "runwayml", "Runway", "RunwayML")),
+    ("pika", ("pika", "pika labs", "pikalabs", "Pika", "Pika Labs")),
+    ("leonardo", ("leonardo", "leonardo ai", "leonardoai", "Leonardo", "Leonardo.AI")),
+    ("ideogram", ("ideogram", "ideogram ai", "ideogramai", "Ideogram", "Ideogram.AI")),
+    ("cursor", ("cursor", "cursor ai", "cursorai", "Cursor", "Cursor AI")),
+    ("codeium", ("codeium", "Codeium")),
+    ("luma", ("luma", "luma ai", "lumaai", "luma labs", "lumalabs", "Luma", "Luma Labs")),
+    ("kaiber", ("kaiber", "kaiber ai", "kaiberai", "Kaiber", "Kaiber.AI")),
+    ("genmo", ("genmo", "genmo ai", "genmoai", "Genmo", "Genmo.AI")),
+    ("haiper", ("haiper", "haiper ai", "haiperai", "Haiper", "Haiper.AI")),
+    ("moonvalley", ("moonvalley", "moon valley", "moon-valley", "MoonValley", "Moon Valley")),
+    ("neuralframes", ("neural frames", "neuralframes", "neural-frames", "Neural Frames")),
+    ("immersity", ("immersity", "immersity ai", "immersityai", "Immersity", "Immersity.AI")),
+    ("leiapix", ("leiapix", "leia pix", "leia-pix", "LeiaPix", "Leia Pix")),
+    ("depthlab", ("depthlab", "depth lab", "depth-lab", "DepthLab", "Depth Lab")),
 )
 MODEL_ALIASES = {
     "qwen3": "Qwen3", "qwen-3": "Qwen3", "qwen3-coder": "Qwen3-Coder", "qwen3-coder-flash": "Qwen3-Coder-Flash", "qwen3coder": "Qwen3-Coder", "qwen": "Qwen3",

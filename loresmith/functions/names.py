@@ -119,6 +119,11 @@ def setting_text(entries: Column) -> Column:
     return F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))
 
 
+def source_kind(source: Column) -> Column:
+    """The kind of source that a name asks for: reddit or github; null for any other."""
+    return F.when(source.startswith("reddit:"), "reddit").when(source.startswith("github:"), "github")
+
+
 def source_icon(source: Column) -> Column:
     return F.when(source.startswith("reddit:"), "forum").when(source.startswith("github:"), "code").when(source.startswith("hackernews:"), "news").otherwise("web")
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LISTS = ("problems", "tips", "cost_info", "settings")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def dedup_ordered(items: DataFrame, keys: list[str], item: str, order: str, *, fold_case: bool = True) -> DataFrame:
-    """The first spelling of each item of a group, by case-folded trimmed text: (keys, item, order).
+    """The first spelling of each item of a group, by case-folded text without white space around it: (keys, item, order).
 
     A grouped minimum, not a window: partial on the map side, one small state an item.
     """
-    key = F.lower(F.trim(F.col(item))) if fold_case else F.col(item)
+    key = F.lower(stripped(F.col(item))) if fold_case else F.col(item)
     out = items.groupBy(*keys, key.alias("_key")).agg(F.min_by(item, order).alias(item), F.min(order).alias(order))
     return out.drop("_key")
 
@@ -39,15 +44,19 @@ def merge_by_service(items: DataFrame) -> DataFrame:
     return heads.join(lists, "service_key")
 
 
-def merge_ids(rows: DataFrame, text: str, order: str, id_col: str) -> DataFrame:
-    """Rows of one case-folded text as one: its first spelling and the sorted union of its ids."""
-    return rows.groupBy(F.lower(F.col(text)).alias("key")).agg(F.min_by(text, order).alias(text), F.array_sort(F.collect_set(id_col)).alias("ids"))
+def merge_ids(rows: DataFrame, text: str, order: str, id_col: str, lists: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of one case-folded text as one: its first spelling, and the sorted unions of its ids and of its ``lists``."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return rows.groupBy(F.lower(F.col(text)).alias("key")).agg(F.min_by(text, order).alias(text), F.array_sort(F.collect_set(id_col)).alias("ids"), *map(union, lists))
 
 
 def dedup_md5(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """The first row of each distinct text."""
-    first = F.row_number().over(Window.partitionBy(F.md5(F.col(text))).orderBy(order))
-    return rows.withColumn("_rn", first).where("_rn = 1").drop("_rn")
+    """The first row of each distinct text; ``order`` is unique.
+
+    Only hashes are grouped: texts stay where they are, and the rows that come first are kept.
+    """
+    first = rows.groupBy(F.md5(F.col(text)).alias("_md5")).agg(F.min(order).alias("_first")).select("_first")
+    return rows.join(first, F.col(order) == F.col("_first"), "left_semi")
 
 
 def practice_groups(practices: DataFrame) -> DataFrame:
@@ -82,11 +91,38 @@ def confidence(practices: DataFrame) -> DataFrame:
     return by.unionByName(practices.agg(F.lit("overall").alias("entity"), F.least(F.lit(1.0), F.count(F.lit(1)) / 10).alias("confidence")))
 
 
+def merge_chunk_services(rows: DataFrame) -> DataFrame:
+    """Services that chunk results name, one row a name: the first one's type, and all practices in order.
+
+    rows: (ord, chunk, name, type, practices array<string>); a bare mention has null type and
+    practices. A name first seen as a bare mention has type unknown.
+    """
+    practices = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("practices", F.array().cast("array<string>")).alias("p")))), lambda x: x["p"]))
+    return rows.groupBy(F.coalesce("name", F.lit("unknown")).alias("name")).agg(F.min_by(F.coalesce("type", F.lit("unknown")), "ord").alias("type"), practices.alias("practices"))
+
+
+def entity_union(rows: DataFrame, key: str, lists: tuple[str, ...] = ("models", "services", "tools", "platforms")) -> DataFrame:
+    """(key, entity): the distinct names of the four lists of a document's chunks; techniques are none."""
+    return rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<string>")) for c in lists))))).alias("entity")).distinct()
+
+
+#: What a post's practices are filed under (fixed values): category, list.
+CATEGORIES = (("prompting", "prompt_patterns"), ("parameters", "parameter_recommendations"), ("pitfalls", "common_mistakes"), ("examples", "examples"), ("general_tips", "tips"))
+
+
+def categorise(posts: DataFrame, key: str, order: str) -> DataFrame:
+    """The five categories of each key's posts, items in the posts' order."""
+    together = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(c, F.array().cast("array<string>")).alias("i")))), lambda x: x["i"]))
+    return posts.groupBy(key).agg(*(together(c).alias(name) for name, c in CATEGORIES))
+
+
 def extraction_confidence(services, practices):
     """Confidence of a processing step by its counts."""
     return F.when(services == 0, 0.0).when((services == 1) & (practices < 3), 0.3).when((services < 3) & (practices < 5), 0.5).when((services < 5) & (practices < 10), 0.7).otherwise(0.9)
 
 
 def content_hash(merged: DataFrame) -> DataFrame:
-    """md5 of the four sorted lists of each service."""
-    return merged.select("service_key", F.md5(F.concat_ws("\n", *(F.concat(F.lit(n + ":"), F.array_join(F.array_sort(F.col(n)), "|")) for n in LISTS))).alias("content_hash"))
+    """md5 of the JSON object of each service's four sorted lists, keys in order, with a blank after commas and colons."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    listed = [F.concat(F.lit(f'"{n}": ['), F.array_join(F.transform(F.array_sort(F.col(n)), quoted), ", "), F.lit("]")) for n in sorted(LISTS)]
+    return merged.select("service_key", F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *listed), F.lit("}"))).alias("content_hash"))

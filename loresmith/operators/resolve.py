@@ -75,8 +75,27 @@ def display_names(keys: DataFrame, services: DataFrame, static: DataFrame) -> Da
     return keys.join(reg, "canonical", "left").join(F.broadcast(spelled), "canonical", "left").select(*keys.columns, F.coalesce("_r", "_s", "canonical").alias("display_name"))
 
 
-def all_variations(static: DataFrame) -> DataFrame:
-    return static.groupBy("canonical").agg(F.array_sort(F.collect_set("variation")).alias("variations"))
+def all_variations(static: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(canonical, variations): every spelling of a name.
+
+    registry: (ord, key, display_name). A display name that is a declared spelling in normal form
+    joins that name's; any other row is a name of its own, by key, display name and its lower case; of rows
+    with one key the last counts.
+    """
+    rows = static.select("canonical", F.col("variation").alias("v"))
+    if registry is not None:
+        form = static.select("canonical", names.normalise(F.col("variation")).alias("form"), "ord").groupBy("form").agg(F.min_by("canonical", "ord").alias("matched"))
+        r = registry.withColumn("form", names.normalise(F.col("display_name"))).join(form, "form", "left")
+        own = r.where("matched is null").groupBy("key").agg(F.max_by("display_name", "ord").alias("n"))
+        rows = rows.unionByName(r.where("matched is not null").select(F.col("matched").alias("canonical"), F.col("display_name").alias("v")))
+        rows = rows.unionByName(own.select(F.col("key").alias("canonical"), F.explode(F.array("key", "n", F.lower("n"))).alias("v")))
+    return rows.groupBy("canonical").agg(F.array_sort(F.collect_set("v")).alias("variations"))
+
+
+def variations_of(queries: DataFrame, static: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(query, variations): all spellings of what each query means, the query itself where that is unknown."""
+    known = resolve(queries.select("query").distinct(), "query", static, alias_map(static, registry))
+    return known.join(all_variations(static, registry), "canonical", "left").select("query", F.coalesce("variations", F.array("query")).alias("variations"))
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

@@ -21,7 +21,8 @@ def findings(df: DataFrame, entity: Column, rules: list[tuple[str, str, Column,
 def source_findings(sources: DataFrame, order: str = "ord") -> DataFrame:
     """Required fields, URL form, priority, models, and URLs that stand a second time."""
     again = F.row_number().over(Window.partitionBy("url").orderBy(order)) > 1
-    s = sources.withColumn("_again", again & F.col("url").isNotNull())
+    s = sources.where("url is not null").withColumn("_again", again)  # sources without a URL are not one group
+    s = s.unionByName(sources.where("url is null").withColumn("_again", F.lit(False)))
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     return findings(s, F.col("name"), [
         ("error", "missing_name", blank("name"), F.lit("name is required")),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loresmith.functions import lookups as L
@@ -11,7 +9,7 @@ from loresmith.functions import names, text
 from loresmith.operators import extract, incremental, merge, render, search, validate
 from loresmith.plans import sql as S
 from loresmith.plans.catalogue import query
-from loresmith.sources import tables
+from loresmith.sources import shared, tables
 from loresmith.streaming import polls
 
 AS_OF = "2024-02-01 00:00:00"
@@ -35,7 +33,10 @@ def merge_by_service(spark, d):
     return _merged(spark, d).select("service_key", "service", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "batch_size", *(F.array_join(c, "|").alias(c) for c in merge.LISTS))
 
 
-@query("content_hash", f"WITH {_MERGED} SELECT service_key, md5(" + " || chr(10) || ".join(f"'{c}:' || array_to_string(list_sort({c}), '|')" for c in merge.LISTS) + ") AS content_hash FROM merged")
+_JSON_LIST = "'\"' || '{0}' || '\": [' || array_to_string(list_transform(list_sort({0}), lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'"
+
+
+@query("content_hash", f"WITH {_MERGED} SELECT service_key, md5('{{' || " + " || ', ' || ".join(_JSON_LIST.format(c) for c in sorted(merge.LISTS)) + " || '}') AS content_hash FROM merged")
 def content_hash(spark, d):
     return merge.content_hash(_merged(spark, d))
 
@@ -230,9 +231,9 @@ def should_update(spark, d):
     return incremental.should_update(new, _log(spark, d), AS_OF)
 
 
-@query("should_scrape", "WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT 'src' || (user_id % 25) AS source, max(ts) AS last FROM events WHERE user_id % 3 = 0 GROUP BY ALL) SELECT source, coalesce(date_diff('microsecond', last, TIMESTAMP '2024-01-31 12:00:00') > 24 * 3600000000, TRUE) AS should_scrape FROM s LEFT JOIN l USING (source)")
+@query("should_scrape", "WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT 'src' || (user_id % 25) AS source, max(ts) AS last FROM events WHERE event_type = 'signup' GROUP BY ALL) SELECT source, coalesce(date_diff('microsecond', last, TIMESTAMP '2024-01-31 12:00:00') > 24 * 3600000000, TRUE) AS should_scrape FROM s LEFT JOIN l USING (source)")
 def should_scrape(spark, d):
-    state = tables.table(spark, d, "events").where("user_id % 3 = 0").select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("source"), "ts")
+    state = tables.table(spark, d, "events").where("event_type = 'signup'").select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("source"), "ts")
     return incremental.should_scrape(tables.table(spark, d, "documents"), state, "2024-01-31 12:00:00")
 
 
@@ -321,7 +322,7 @@ def render_cost(spark, d):
 
 
 _P = """p AS (SELECT p_brand AS service, list(p_name || CASE p_partkey % 6 WHEN 0 THEN ' API key error' WHEN 1 THEN ' stutter' WHEN 2 THEN ' trial account' WHEN 3 THEN ' ban policy' WHEN 4 THEN ' credit use' ELSE ' nothing' END ORDER BY p_partkey) AS problems,
-  list(p_type || CASE p_partkey % 4 WHEN 0 THEN ' limit' WHEN 1 THEN ' costs $5' WHEN 2 THEN ' Unlimited' ELSE ' other' END ORDER BY p_partkey) AS costs, list(p_name || CASE p_partkey % 3 WHEN 0 THEN ' slower' WHEN 1 THEN ' break tag' ELSE '' END ORDER BY p_partkey) AS settings FROM part WHERE p_partkey < 400 GROUP BY p_brand)"""
+  list(p_type || CASE p_partkey % 4 WHEN 0 THEN ' limit' WHEN 1 THEN ' costs $5' WHEN 2 THEN ' Unlimited' ELSE ' other' END ORDER BY p_partkey) AS costs, list(p_name || CASE p_partkey % 3 WHEN 0 THEN ' slower' WHEN 1 THEN ' break tag' ELSE '' END ORDER BY p_partkey) AS settings FROM part GROUP BY p_brand)"""
 
 
 def _parts(spark, d):
@@ -331,7 +332,7 @@ def _parts(spark, d):
         k, pick((" API key error", " stutter", " trial account", " ban policy", " credit use", " nothing"), 6, F.col("p_name")).alias("p"),
         pick((" limit", " costs $5", " Unlimited", " other"), 4, F.col("p_type")).alias("c"), pick((" slower", " break tag", ""), 3, F.col("p_name")).alias("s"),
     )
-    g = tables.table(spark, d, "part").where("p_partkey < 400").groupBy(F.col("p_brand").alias("service")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    g = tables.table(spark, d, "part").groupBy(F.col("p_brand").alias("service")).agg(F.array_sort(F.collect_list(row)).alias("r"))
     return g.select("service", F.transform("r", lambda x: x["p"]).alias("problems"), F.transform("r", lambda x: x["c"]).alias("costs"), F.transform("r", lambda x: x["s"]).alias("settings"))
 
 
@@ -398,12 +399,7 @@ def corpus_findings(spark, d):
 
 def _folder(spark) -> str:
     """A folder of the shared one for a stream's state and table."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="loresmith-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return shared.folder(spark, "stream")
 
 
 def _events_stream(spark, d):

@@ -118,9 +118,19 @@ def alias_resolve(spark, d):
     return resolve.resolve(q, "name", L.variations(spark)).select("name", "canonical")
 
 
-@query("alias_variations", f"WITH {S.VARIATIONS} SELECT canonical, array_to_string(list_sort(list(variation)), '|') AS variations FROM variations GROUP BY canonical")
+@query(
+    "alias_variations",
+    f"""WITH {S.VARIATIONS}, parts AS (SELECT p_partkey AS ord, {S.normal('p_name')} AS key, CASE WHEN contains(p_name, 'ring') THEN 'LUMA LABS' WHEN contains(p_name, 'bolt') THEN 'Hey-Gen' ELSE p_name END AS display_name FROM part),
+    form AS (SELECT {S.normal('variation')} AS form, arg_min(canonical, ord) AS matched FROM variations GROUP BY 1), r AS (SELECT * FROM parts LEFT JOIN form ON form = {S.normal('display_name')}),
+    own AS (SELECT key, arg_max(display_name, ord) AS n FROM r WHERE matched IS NULL GROUP BY key),
+    v AS (SELECT canonical, variation AS v FROM variations UNION SELECT matched, display_name FROM r WHERE matched IS NOT NULL UNION SELECT key, unnest([key, n, lower(n)]) FROM own)
+    SELECT canonical, array_to_string(list_sort(list(DISTINCT v)), '|') AS variations FROM v GROUP BY canonical""",
+)
 def alias_variations(spark, d):
-    return resolve.all_variations(L.variations(spark)).select("canonical", F.array_join("variations", "|").alias("variations"))
+    name = F.col("p_name")
+    shown = F.when(F.contains(name, F.lit("ring")), "LUMA LABS").when(F.contains(name, F.lit("bolt")), "Hey-Gen").otherwise(name)
+    registry = tables.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), names.normalise(name).alias("key"), shown.alias("display_name"))
+    return resolve.all_variations(L.variations(spark), registry).select("canonical", F.array_join("variations", "|").alias("variations"))
 
 
 _REG = [(0, "Luma Labs", "video"), (1, "Hey Gen", "video"), (2, "luma ai", "image"), (3, "Claude", "text"), (4, "Cursor AI", "code"), (5, "small ring", "misc")]

@@ -41,11 +41,13 @@ def html_items(spark, d):
 
 @query(
     "relevant_posts",
-    f"WITH {S.POSTS} SELECT post_id, score FROM posts LEFT JOIN labels ON doc_id = post_id WHERE score >= 10 AND coalesce(quality, 0) >= 0.5 AND {S.any_of('lower(content || title)', L.RELEVANT_WORDS)}",
+    f"""WITH {S.POSTS} SELECT post_id, score FROM posts LEFT JOIN labels ON doc_id = post_id WHERE score >= 10 AND coalesce(quality, 0) >= 0.5
+    AND {S.any_of("lower(content || title || CASE WHEN score > 400 THEN ' How to' WHEN score > 200 THEN ' CONFIG' ELSE '' END)", L.RELEVANT_WORDS)}""",
 )
 def relevant_posts(spark, d):
     p = tables.posts(spark, d).join(tables.table(spark, d, "labels").select(F.col("doc_id").alias("post_id"), "quality"), "post_id", "left")
-    hay = F.lower(F.concat("content", F.coalesce("title", F.lit(""))))
+    flair = F.when(F.col("score") > 400, " How to").when(F.col("score") > 200, " CONFIG").otherwise("")  # invented texts hold none of the words
+    hay = F.lower(F.concat("content", F.coalesce("title", F.lit("")), flair))
     return p.where((F.col("score") >= 10) & (F.coalesce("quality", F.lit(0)) >= 0.5) & L.holds(hay, L.RELEVANT_WORDS)).select("post_id", "score")
 
 
@@ -68,7 +70,7 @@ def seen_posts(spark, d):
 
 @query(
     "dedup_ci",
-    "SELECT lang, text, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, lower(trim(text)) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
+    r"SELECT lang, text, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
 )
 def dedup_ci(spark, d):
     return merge.dedup_ordered(_docs(spark, d).select("lang", "text", "doc_id"), ["lang"], "text", "doc_id")
@@ -81,11 +83,12 @@ def dedup_md5(spark, d):
 
 @query(
     "dedup_merge_ids",
-    "SELECT md5(lower(split_part(text, chr(10), 1))) AS key, arg_min(split_part(text, chr(10), 1), doc_id) AS problem, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS ids FROM documents GROUP BY lower(split_part(text, chr(10), 1))",
+    "SELECT md5(lower(split_part(text, chr(10), 1))) AS key, arg_min(split_part(text, chr(10), 1), doc_id) AS problem, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS ids, array_to_string(list_sort(list_distinct(flatten(list([source, lang])))), ',') AS solutions FROM documents GROUP BY lower(split_part(text, chr(10), 1))",
 )
 def dedup_merge_ids(spark, d):
-    rows = tables.posts(spark, d).select(F.col("title").alias("problem"), "post_id")
-    return merge.merge_ids(rows, "problem", "post_id", "post_id").select(F.md5("key").alias("key"), "problem", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+    rows = _docs(spark, d).select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("problem"), F.col("doc_id").alias("post_id"), F.array("source", "lang").alias("solutions"))
+    found = merge.merge_ids(rows, "problem", "post_id", "post_id", ("solutions",))
+    return found.select(F.md5("key").alias("key"), "problem", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.array_join("solutions", ",").alias("solutions"))
 
 
 @query("theme_set", "SELECT lang AS practice_type, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang")
@@ -93,9 +96,17 @@ def theme_set(spark, d):
     return _docs(spark, d).where("lang <> ''").groupBy(F.col("lang").alias("practice_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("entity_union", "SELECT DISTINCT e AS entity FROM (SELECT lang AS e FROM documents UNION ALL SELECT source FROM documents)")
+@query(
+    "entity_union",
+    "SELECT DISTINCT source AS doc, e AS entity FROM (SELECT source, unnest(['m:' || lang, 's:' || source, CASE WHEN n_chars > 500 THEN 'tool' END, CASE WHEN n_chars > 2000 THEN 'm:' || lang ELSE 'platform' END]) AS e FROM documents) WHERE e IS NOT NULL",
+)
 def entity_union(spark, d):
-    return _docs(spark, d).select(F.explode(F.array_union(F.array("lang"), F.array("source"))).alias("entity")).distinct()
+    of = lambda c: F.array_compact(F.array(c))
+    chunk = _docs(spark, d).select(
+        F.col("source").alias("doc"), of(F.concat(F.lit("m:"), "lang")).alias("models"), of(F.concat(F.lit("s:"), "source")).alias("services"), F.array(F.lit("technique")).alias("techniques"),
+        of(F.when(F.col("n_chars") > 500, "tool")).alias("tools"), of(F.when(F.col("n_chars") > 2000, F.concat(F.lit("m:"), "lang")).otherwise("platform")).alias("platforms"),
+    )
+    return merge.entity_union(chunk, "doc")
 
 
 @query(
@@ -186,9 +197,20 @@ def json_tolerant(spark, d):
     return e.select("event_id", j.alias("object"), F.get_json_object(j, "$.k").cast("long").alias("k"))
 
 
-@query("relevant_section", "SELECT doc_id, md5(coalesce(nullif(array_to_string((regexp_extract_all(text, '(?is)recommend.*?(?:\\n\\n|\\z)'))[1:3], ' '), ''), text)) AS section_md5 FROM documents WHERE NOT regexp_matches(text, '(?i)best practice|tips?\\s*:')")
+_MARKED = "CASE lang WHEN 'en' THEN text || chr(10) || chr(10) || 'Best Practices: ' || source || chr(10) || chr(10) || 'tip: x' WHEN 'de' THEN 'Tips : a' || chr(10) || chr(10) || text || ' tip: b' WHEN 'fr' THEN text || ' We Recommend it' WHEN 'es' THEN text || ' parameters of it' ELSE text || ' a prompt' END"
+_PASSAGES = ", ".join(f"nullif(array_to_string((regexp_extract_all(t, '(?is){p}.*?(?:\\n\\n|\\z)'))[1:3], ' '), '')" for p in ("best practice[s]?", "tip[s]?\\s*:", "recommend", "parameter[s]?", "prompt"))
+
+
+@query("relevant_section", f"SELECT doc_id, md5(coalesce({_PASSAGES}, t)) AS section_md5 FROM (SELECT doc_id, {_MARKED} AS t FROM documents)")
 def relevant_section(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(text.relevant_section(F.col("text"))).alias("section_md5"))
+    """Texts with a passage for each pattern in turn, by language, as invented texts hold none."""
+    t, c, n = F.col("text"), F.concat, F.lit("\n\n")
+    lang = F.col("lang")
+    marked = (
+        F.when(lang == "en", c(t, n, F.lit("Best Practices: "), "source", n, F.lit("tip: x"))).when(lang == "de", c(F.lit("Tips : a"), n, t, F.lit(" tip: b")))
+        .when(lang == "fr", c(t, F.lit(" We Recommend it"))).when(lang == "es", c(t, F.lit(" parameters of it"))).otherwise(c(t, F.lit(" a prompt")))
+    )
+    return _docs(spark, d).select("doc_id", marked.alias("t")).select("doc_id", F.md5(text.relevant_section(F.col("t"))).alias("section_md5"))
 
 
 _SPECIFIC = " + ".join(f"CAST(regexp_matches(text, {S.quoted('(?i)' + p)}) AS INT)" for p in L.SPECIFIC)
@@ -246,10 +268,11 @@ def chunk_entities(spark, d):
 
 @query(
     "duplicate_urls",
-    "SELECT page_id, u AS url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS rn FROM pages) WHERE rn > 1",
+    "SELECT page_id, u AS url FROM (SELECT page_id, regexp_replace(url, '[0-9?#].*$', '') AS u, row_number() OVER (PARTITION BY regexp_replace(url, '[0-9?#].*$', '') ORDER BY page_id) AS rn FROM pages) WHERE rn > 1",
 )
 def duplicate_urls(spark, d):
-    p = tables.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    """By the part of the URL before its number, query or fragment."""
+    p = tables.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[0-9?#].*$", "").alias("url"))
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("url").orderBy("page_id"))).where("rn > 1").drop("rn")
 
 

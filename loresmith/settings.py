@@ -59,6 +59,15 @@ class Settings:
         return 2048, 500
 
 
+def has_credentials(settings: Settings, source: str, env: dict[str, str] | None = None) -> bool:
+    """Whether a source can be asked: the hosted model by its key, a live site by its variables in the environment."""
+    env = dict(os.environ if env is None else env)
+    if source == "openrouter":
+        return bool(settings.openrouter_api_key)
+    wanted = {"reddit": ("REDDIT_CLIENT_ID", "REDDIT_CLIENT_SECRET"), "github": ("GITHUB_TOKEN",)}.get(source, ())
+    return all(env.get(k) for k in wanted)
+
+
 def load(env: dict[str, str] | None = None) -> Settings:
     """Settings by upper- or lower-case variable names; what is not set keeps its default."""
     env = {k.lower(): v for k, v in (os.environ if env is None else env).items()}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loresmith.sources import shared
+
 
 def by_priority(sources: DataFrame, priority: str = "high") -> DataFrame:
     return sources.where(F.col("priority") == priority)
@@ -30,6 +35,55 @@ def model_contexts(spark: SparkSession, path: str) -> DataFrame:
     return m.select("ord", F.col("e.key").alias("model_id"), F.coalesce("e.value.context_length", F.lit(4096)).alias("context_length"), "e.value.max_completion_tokens", "e.value.name", "e.value.pricing")
 
 
+def fetch_contexts(spark: SparkSession, get: Callable[[], dict]) -> DataFrame:
+    """The same of a catalogue's answer, {"data": [{"id", "context_length", ...}]}; without an answer no rows.
+
+    get: asks the catalogue; the network is the caller's.
+    """
+    try:
+        found = get().get("data", [])
+    except Exception:
+        found = []
+    rows = {m.get("id", ""): (m.get("context_length", 4096), m.get("max_completion_tokens"), m.get("name", m.get("id", "")), {k: str(v) for k, v in (m.get("pricing") or {}).items()}) for m in found}
+    return spark.createDataFrame([(i, k, *v) for i, (k, v) in enumerate(rows.items())], "ord int, model_id string, context_length int, max_completion_tokens int, name string, pricing map<string,string>")
+
+
+def save_contexts(contexts: DataFrame, path: str, now: str) -> None:
+    """A context file that ``model_contexts`` reads: models by id, and when they were fetched. A catalogue is small."""
+    rows = contexts.orderBy("ord").collect()
+    models = {r["model_id"]: {"context_length": r["context_length"], "max_completion_tokens": r["max_completion_tokens"], "name": r["name"], "pricing": r["pricing"]} for r in rows}
+    shared.write_text(contexts.sparkSession, path, json.dumps({"models": models, "fetched_at": now}, indent=2))
+
+
+def hub_services(spark: SparkSession) -> DataFrame:
+    """Services of the model hub, which lists none: an empty table of the discovered shape."""
+    return spark.createDataFrame([], "name string, url string, description string, category string, source string")
+
+
+def source_of(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, and the columns of sources): the first source of each name, "r/" before either of them aside.
+
+    sources: (ord, name, ...); names: (query).
+    """
+    bare = lambda c: F.lower(F.regexp_replace(c, "^r/", ""))
+    keyed = sources.withColumn("_k", bare(F.col("name")))
+    first = keyed.groupBy("_k").agg(F.min_by(F.struct(*sources.columns), "ord").alias("_s"))
+    return names.withColumn("_k", bare(F.col("query"))).join(first, "_k", "left").select("query", "_s.*")
+
+
+def cleanup(spark: SparkSession, patterns: list[str], *, dry_run: bool = True) -> list[str]:
+    """Paths that the glob patterns match, deleted unless it is a dry run."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for p in patterns:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        for s in fs.globStatus(at) or []:
+            out.append(s.getPath().toString())
+            if not dry_run:
+                fs.delete(s.getPath(), True)
+    return sorted(out)
+
+
 def extraction_results(spark: SparkSession, path: str) -> DataFrame:
     """One row an item of the results of run files: (ord, service, list_name, item, batch_size, ts)."""
     r = spark.read.schema("results array<struct<service:string,problems:array<string>,tips:array<string>,cost_info:array<string>,settings:array<string>,setttings:array<string>,batch_size:bigint,timestamp:string>>").json(path, multiLine=True)
@@ -93,9 +147,10 @@ def dispatch(names: list[str]) -> tuple[list[str], list[str]]:
 
 def commit_message(changed: DataFrame, day: str) -> str:
     """Message for an update of services: three names in the title at most, ten in the body."""
-    names = sorted(r["k"] for r in changed.select(F.col("entity").alias("k")).distinct().collect())
+    distinct = changed.select(F.col("entity").alias("k")).distinct()
+    total, names = distinct.count(), [r["k"] for r in distinct.orderBy("k").limit(10).collect()]
     if not names:
         return "docs: Update service documentation"
-    title = f"docs: Update {', '.join(names)} documentation" if len(names) <= 3 else f"docs: Update {len(names)} service documentations"
-    body = ["", "Updated services:", *(f"- {n}" for n in names[:10]), *([f"- ... and {len(names) - 10} more"] if len(names) > 10 else []), "", f"Extraction date: {day}"]
+    title = f"docs: Update {', '.join(names)} documentation" if total <= 3 else f"docs: Update {total} service documentations"
+    body = ["", "Updated services:", *(f"- {n}" for n in names), *([f"- ... and {total - 10} more"] if total > 10 else []), "", f"Extraction date: {day}"]
     return title + "\n".join(["", *body])

@@ -130,13 +130,10 @@ def test_mentions_is_substring(spark):
     assert got == [(1, "did"), (1, "huggingface")]
 
 
-def test_relevant_section_of_every_document(spark, tmp_path):
-    """The query against the five patterns by brute force; each pattern decides at least one document."""
-    import hashlib
+def test_relevant_section_of_every_document(spark):
+    """The five patterns by brute force; each decides at least one document."""
     import re
 
-    from loresmith.plans import post_queries
-
     texts = ["so\nBest practices: a\n\nb\n\ntip: c", "x Tips : one\n\ny\n\ntip: two\n\ntip: 3\n\ntip: 4", "we recommend this\n\nparameter", "Parameters are\n\nend", "a prompt\nof two lines", "nothing", "", None]
     patterns = ["best practices?", r"tips?\s*:", "recommend", "parameters?", "prompt"]
 
@@ -144,6 +141,6 @@ def test_relevant_section_of_every_document(spark, tmp_path):
         found = (re.findall(rf"{p}.*?(?:\n\n|\Z)", t, re.I | re.S) for p in patterns)
         return next((" ".join(f[:3]) for f in found if f), t)
 
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["section_md5"] for r in post_queries.relevant_section(spark, str(tmp_path)).collect()}
-    assert got == {i: None if t is None else hashlib.md5(section(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", text.relevant_section(F.col("text")).alias("s")).collect()}
+    assert got == {i: None if t is None else section(t) for i, t in enumerate(texts)}
