@@ -436,9 +436,11 @@ def test_templates_generalise(spark):
         (1, "user 17 logged in from host 4 at noon today\nown line of the first one"), (2, "user 99 logged in from host 7 at noon today\nanother thing"),
         (3, "the same first words and then a long tail of text ends here\nz"), (4, "the same first words and then a long tail of text stops there\ny"),
         (5, "short"), (6, "short"),
+        (7, "user alice logged in from host bravo near the gate today"), (8, "user carol logged in from host delta near the gate tonight"),
+        (9, "user alice logged off at noon bravo while some rain fell outside"),
     ]
-    got = {r["doc_id"]: r["text"] for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "another thing", 3: rows[2][1], 4: "y", 5: "short", 6: "short"}
+    got = {r["doc_id"]: (r["text"], r["seen"]) for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), repeated="seen").collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("another thing", 1), 3: (rows[2][1], 0), 4: ("y", 1), 5: ("short", 0), 6: ("short", 1), 7: (rows[6][1], 0), 8: ("", 1), 9: (rows[8][1], 0)}
 
 
 # --- chat
@@ -785,7 +787,14 @@ def test_pipeline_stages(spark, documents):
     c = duckdb.connect()
     c.register("documents", kept.select("doc_id", "text").toPandas())
     want = {i: t for i, _, t in c.sql(templates.ORACLES["op5_log_template_lines"]).fetchall()}
-    assert {r["doc_id"]: r["text"] for r in lined.collect()} == {i: t for i, t in want.items() if t.split()}
+    before = {r["doc_id"]: r["text"] for r in kept.collect()}
+    masked = lambda line: tuple("<*>" if any(ch in "0123456789" for ch in w) else w for w in line.split())
+    first: dict = {}
+    for i in sorted(before):
+        for line in before[i].split("\n"):
+            first.setdefault(masked(line), i)
+    stay = {i for i, t in want.items() if any(masked(x) and first[masked(x)] == i for x in t.split("\n"))}  # a line that no earlier document has
+    assert {r["doc_id"]: r["text"] for r in lined.collect()} == {i: t for i, t in want.items() if i in stay}
     texts = {r["doc_id"]: r["text"] for r in lined.collect()}
     stay = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, lined, DIR).collect()}
     groups = collections.defaultdict(set)
