@@ -23,18 +23,23 @@ def _fresh(name: str, docs: DataFrame) -> str:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or their distance rejects go.
 
-    Verdicts are of a row's doc_id and text, so that repeated rows share theirs.
+    Verdicts are of a row's doc_id and text, found again by two hashes of them, so that repeated rows
+    share theirs. A null or empty text has no words and goes; an empty table gives no rows.
     """
-    rejected = quality.judge(spark, docs).where(~F.col("kept")).select(F.col("row_key").alias("_row_key")).distinct()
-    return docs.alias("d").join(rejected.alias("r"), F.xxhash64("d.doc_id", "d.text") == F.col("r._row_key"), "left_anti")
+    rejected = quality.judge(spark, docs).where(~F.col("kept")).select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key")).distinct()
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r._doc_id")) & (F.xxhash64("d.doc_id", "d.text") == F.col("r._row_key"))
+    return docs.alias("d").join(rejected.alias("r"), same, "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; so do documents that had words and have none left."""
-    had, dropped = _fresh("_had_words", docs), _fresh("_dropped", docs)
-    word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    out = templates.drop_recurring(docs.withColumn(had, word), dropped=dropped)
-    out = out.where((F.col(dropped) == 0) | ~F.col(had) | word)
+    """Recurring lines go; so do documents whose every line with a word stands in an earlier document.
+
+    A null text stays null, a text without words stays as it is, an empty table gives no rows.
+    """
+    dropped, seen, words = (_fresh(c, docs) for c in ("_dropped", "_seen", "_lines"))
+    with_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = templates.drop_recurring(docs.withColumn(words, F.coalesce(with_words, F.lit(0))), dropped=dropped, repeated=seen)
+    out = out.where((F.col(seen) == 0) | (F.col(seen) < F.col(words)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
@@ -58,6 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row packed, in pieces of at most the capacity; a null text is an empty one, an empty table gives no rows."""
     return packing.pack_documents(spark, docs)
 
 
