@@ -13,13 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+#: Roots of the tables written by this process, oldest first.
+_ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else a folder made for this process."""
+    """The shared folder: ``spark.checkpoint.dir``, else, in local mode only, a folder made for this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loresmith-"))
     return _OWN[0]
@@ -32,6 +36,7 @@ class Stash:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _ROOTS.append(self.root)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back; its path is ``df.stash_path``."""
@@ -50,14 +55,28 @@ class Stash:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(df: DataFrame, size: int) -> int:
-    """Partitions of about ``size`` bytes of what ``df`` reads, by the plan's statistics; the session's number at least.
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_ROOTS)
+
+
+def sweep(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables of stashes made since a mark, once what was made of them is written elsewhere."""
+    for root in _ROOTS[since:]:
+        if root not in keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _ROOTS[since:] = [r for r in _ROOTS[since:] if r in keep]
+
+
+def partitions_for(df: DataFrame, size: int, most: int) -> int:
+    """Partitions of about ``size`` bytes of what ``df`` reads, by the plan's statistics; the session's number at least, and ``most``.
 
     Rows that come from no file have no size (Spark then says 2^63 - 1): the session's number.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return least if read >= 1 << 60 else max(least, -(-read // size))
+    return least if read >= 1 << 60 else max(least, min(most, -(-read // size)))
 
 
 def free_shuffles(spark: SparkSession) -> None:

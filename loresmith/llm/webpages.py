@@ -222,8 +222,8 @@ def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]])
 
 
 KEY = ["host", "path", "page_id"]
-#: Ranges to a partition; stored bytes of pages to a partition.
-RANGES, PARTITION_BYTES = 4, 32_000_000
+#: Ranges to a partition; stored bytes of pages to a partition, and partitions at most (the driver meets 100 keys for each range).
+RANGES, PARTITION_BYTES, MOST_PARTITIONS = 2, 8_000_000, 10_000
 TEXTS = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_near long"
 _LEAST = -(1 << 63)
 
@@ -255,7 +255,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     number = F.col("page_id").cast("long")
     keyed = pages.select(F.coalesce(number, F.lit(_LEAST)).alias("page_id"), number.alias("own_id"), "url", "html", host.alias("host"), path.alias("path"))
-    n = partitions_for(pages, PARTITION_BYTES)
+    n = partitions_for(pages, PARTITION_BYTES, MOST_PARTITIONS)
     ends = range_ends(keyed.select(*KEY), RANGES * n)  # several to a partition, so that partitions are alike
     firsts, lasts = [a for a, _ in ends], [b for _, b in ends]
 
