@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loresmith.llm import packing, quality, simhash, templates
-from loresmith.llm.store import Stash, free_shuffles
+from loresmith.llm.store import Stash, free_shuffles, mark, sweep
 
 
 def _fresh(name: str, docs: DataFrame) -> str:
@@ -77,8 +77,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     stash, docs = Stash(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        begin = mark()
         done = stash.put(stage(spark, docs, sf_dir), name)
         stash.drop(docs)
+        sweep(spark, begin)  # the stage's own tables: its result is written
         docs = done
         free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
