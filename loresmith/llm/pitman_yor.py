@@ -46,6 +46,8 @@ ROOT_D, ROOT_THETA, D, THETA = 0.75, 10.0, 0.80, 1.0
 BURN, GAP, SAMPLES, ROOT_SAMPLES, ROUNDS = 6, 3, 3, 2, 2
 #: Text bytes to a bucket; tokens and texts of a batch; one text in so many decides the placement of contexts.
 BUCKET_BYTES, BATCH_TOKENS, BATCH_DOCS, PLACING = 6_000_000, 1_500_000, 60_000, 64
+#: Buckets of batches' headers, and the most buckets of types.
+HEADERS, MOST_BUCKETS = 1 << 20, (1 << 22) - 1
 #: Words are the low 48 bits of their XXH3; two ids stand for the start and the end of a text.
 MASK, START, END = (1 << 48) - 1, (1 << 48) - 2, (1 << 48) - 1
 STIRLING = 96
@@ -93,11 +95,17 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD
 
 
+def word_buckets(buckets: int) -> int:
+    """Buckets of the root's words: so few that messages grow with the power 1.5 of the buckets, not their square."""
+    return min(buckets, math.ceil(4 * math.sqrt(buckets)))
+
+
 class Placement:
     """Bucket of a type: by its context, and by its word too where the context is heavy."""
 
     def __init__(self, buckets: int, heavy: dict[int, int]):
         self.buckets = buckets
+        self.word_buckets = word_buckets(buckets)
         self.ids = np.array(sorted(heavy), np.uint64)
         self.wings = np.array([heavy[int(u)] for u in self.ids], np.uint64)
 
@@ -279,7 +287,7 @@ def sit_down(c, ctx, n, parent, d, theta, more=None) -> np.ndarray:
 
 
 def batch_rows(docs: list, held: list[bool], tokens: list[np.ndarray], batch: int, place: Placement):
-    """Rows (bucket, batch, uu, un, w, held, n, at) of a batch, and its header in bucket -1.
+    """Rows (bucket, batch, uu, un, w, held, n, at) of a batch, and its header in a bucket below 0.
 
     uu, un: contexts and how many types each has; w: the types' words; n: places of each type;
     at: the texts of the places, type by type; held: a bit for each text of the batch.
@@ -289,10 +297,10 @@ def batch_rows(docs: list, held: list[bool], tokens: list[np.ndarray], batch: in
     u = np.empty_like(w)
     u[1:] = w[:-1]
     u[np.r_[0, np.cumsum(size)[:-1]]] = START
-    bucket = place(u, w).astype(np.uint16)
-    key = bucket.astype(np.uint64) << np.uint64(48)
-    key |= (mix(u) & np.uint64(0xFFFFFF)) << np.uint64(24)
-    key |= mix(w) & np.uint64(0xFFFFFF)
+    bucket = place(u, w).astype(np.uint32)
+    key = bucket.astype(np.uint64) << np.uint64(42)
+    key |= (mix(u) & np.uint64(0x1FFFFF)) << np.uint64(21)
+    key |= mix(w) & np.uint64(0x1FFFFF)
     order = np.argsort(key)
     del key
     u, w, bucket = u[order], w[order], bucket[order]
@@ -307,8 +315,9 @@ def batch_rows(docs: list, held: list[bool], tokens: list[np.ndarray], batch: in
     for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         run = np.flatnonzero(np.r_[True, u[i + 1 : j] != u[i : j - 1]])
         yield (int(bucket[i]), batch, six(u[i:j][run]), short(np.diff(np.r_[run, j - i])), six(w[i:j]), bits, short(n[i:j]), at[ends[i] : ends[j]].tobytes())
-    ids = np.array([-(1 << 63) if x is None else x for x in docs], "<i8").tobytes()
-    yield (-1, batch, ids, np.array(held, np.uint8).tobytes(), size.astype("<u4").tobytes(), None, None, None)
+    ids = np.array([0 if x is None else x for x in docs], "<i8").tobytes()
+    marks = np.array(held, np.uint8) | np.array([2 * (x is None) for x in docs], np.uint8)
+    yield (-1 - int(mix(np.array([batch], np.uint64))[0] % np.uint64(HEADERS)), batch, ids, marks.tobytes(), size.astype("<u4").tobytes(), None, None, None)
 
 
 BATCH = "bucket int, batch long, uu binary, un binary, w binary, held binary, n binary, at binary"
@@ -444,10 +453,10 @@ def messages(kept: DataFrame, place: Placement, totals, replies: DataFrame | Non
         for b in arrow:
             for row in b.to_pylist():
                 x = Bucket(row["parts"])
-                parent = _parent(x, row, place.buckets)[1] if answered else None
+                parent = _parent(x, row, place.word_buckets)[1] if answered else None
                 for t, _ in x.seat(place, totals, parent, 1, seed=row["bucket"]):
                     pass
-                order, cut = x.dealt(place.buckets)
+                order, cut = x.dealt(place.word_buckets)
                 tw = np.bincount(x.word, t, len(x.words))[order].astype("<u4")
                 cw = np.bincount(x.word, x.c, len(x.words))[order].astype("<u4")
                 ws = x.words[order]
@@ -539,7 +548,7 @@ def partial_scores(kept: DataFrame, place: Placement, totals, replies: DataFrame
         for b in arrow:
             for row in b.to_pylist():
                 x = Bucket(row["parts"])
-                c, parent = _parent(x, row, place.buckets)
+                c, parent = _parent(x, row, place.word_buckets)
                 customers = x.customers(place, totals)[x.ctx]
                 mean = np.zeros(len(x.c))
                 for s, (t, T) in enumerate(x.seat(place, totals, parent, SAMPLES, seed=row["bucket"] + 1)):
@@ -558,7 +567,8 @@ def partial_scores(kept: DataFrame, place: Placement, totals, replies: DataFrame
     return _with_replies(kept, replies).mapInArrow(run, "batch long, at binary, score binary, base binary, known binary")
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: perplexity: of the text, its end included.
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def gather(headers: DataFrame, partials: DataFrame, n_train: int) -> DataFrame:
@@ -570,9 +580,9 @@ def gather(headers: DataFrame, partials: DataFrame, n_train: int) -> DataFrame:
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(head, sums):
             ids = np.frombuffer(head[2], "<i8")
-            held, size = np.frombuffer(head[3], np.uint8).astype(bool), np.frombuffer(head[4], "<u4").astype(np.int64)
-            null = ids == -(1 << 63)
-            cols = [pa.array(ids, mask=null), pa.array(held), pa.array(size), pa.array(sums[2].round().astype(np.int64)), pa.array(np.full(len(ids), n_train)), pa.array(sums[1]), pa.array(sums[0])]
+            marks, size = np.frombuffer(head[3], np.uint8), np.frombuffer(head[4], "<u4").astype(np.int64)
+            cols = [pa.array(ids, mask=marks > 1), pa.array(marks % 2 == 1), pa.array(size), pa.array(sums[2].round().astype(np.int64)), pa.array(np.full(len(ids), n_train)), pa.array(sums[1]), pa.array(sums[0])]
+            cols.append(pa.array(10.0 ** (-sums[0] / size)))
             return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCORED.split(", ")])
 
         head, sums = None, None
@@ -597,7 +607,7 @@ def score(spark: SparkSession, docs: DataFrame, *, rounds: int = ROUNDS, bucket_
     """Train on the rows of ``docs`` (doc_id, text) outside the held fold and score every row."""
     stash = Stash(spark, "pitman_yor")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, min(60_000, math.ceil(size / bucket_bytes)))
+    buckets = max(1, min(MOST_BUCKETS, math.ceil(size / bucket_bytes)))
     place = Placement(buckets, heavy_contexts(docs, buckets))
     table = f"loresmith_pitman_yor_{uuid.uuid4().hex}"
     rows = batches_of(docs, place)
@@ -606,7 +616,7 @@ def score(spark: SparkSession, docs: DataFrame, *, rounds: int = ROUNDS, bucket_
     try:
         free_shuffles(spark)
         kept = spark.table(table).where("bucket >= 0")
-        headers = spark.table(table).where("bucket = -1").select(F.explode("parts").alias("h")).select("h.batch", "h.uu", "h.un", "h.w")
+        headers = spark.table(table).where("bucket < 0").select(F.explode("parts").alias("h")).select("h.batch", "h.uu", "h.un", "h.w")
         # of each heavy context: customers, tables of the first seating, tables now
         replies, totals, old = None, None, []
         for _ in range(rounds):
@@ -617,7 +627,7 @@ def score(spark: SparkSession, docs: DataFrame, *, rounds: int = ROUNDS, bucket_
                 totals[r["i"]] = r["c"], r["t"], r["t"]
             if first is not None:
                 totals[:, 1] = first[:, 1]
-            roots = stash.put(root_states(told, buckets), "roots")
+            roots = stash.put(root_states(told, place.word_buckets), "roots")
             sums = roots.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_customers"), *(F.sum(F.col("tables")[i]) for i in range(ROOT_SAMPLES))).first()
             n_train, n_words, n_customers = (int(x or 0) for x in sums[:3])
             replies = stash.put(replies_of(roots, n_words, n_customers, [float(x or 0) for x in sums[3:]]), "replies")

@@ -690,6 +690,81 @@ def test_scores(spark, documents, bucket_bytes):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_scores(tokens, sweeps=14, burn=6):
+    """A textbook sampler, customer by customer at tables of their own: log10 probability of every text."""
+    rng = random.Random(11)
+    train = [(u, w) for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for u, w in itertools.pairwise([0, *t])]
+    base = 1 / (len({w for _, w in train}) + 1)
+
+    class Restaurant:
+        def __init__(self, d, theta):
+            self.d, self.theta, self.at, self.n, self.t = d, theta, {}, 0, 0
+
+        def p(self, w, parent):
+            at = self.at.get(w, ())
+            return (max(sum(at) - self.d * len(at), 0) + (self.theta + self.d * self.t) * parent) / (self.theta + self.n)
+
+        def sit(self, w, parent):
+            at = self.at.setdefault(w, [])
+            x = rng.random() * (sum(at) - self.d * len(at) + (self.theta + self.d * self.t) * parent)
+            self.n += 1
+            for k, c in enumerate(at):
+                x -= c - self.d
+                if x < 0:
+                    at[k] += 1
+                    return False
+            at.append(1)
+            self.t += 1
+            return True
+
+        def leave(self, w):
+            at = self.at[w]
+            k = rng.choices(range(len(at)), at)[0]
+            at[k] -= 1
+            self.n -= 1
+            if at[k]:
+                return False
+            del at[k]
+            self.t -= 1
+            return True
+
+    root, rest = Restaurant(pitman_yor.ROOT_D, pitman_yor.ROOT_THETA), collections.defaultdict(lambda: Restaurant(pitman_yor.D, pitman_yor.THETA))
+    total, samples = collections.Counter(), 0
+    texts = {i: list(itertools.pairwise([0, *t])) for i, t in tokens.items()}
+    pairs = {x for t in texts.values() for x in t}
+    for sweep in range(sweeps):
+        for u, w in train:
+            if sweep and rest[u].leave(w):
+                root.leave(w)
+            if rest[u].sit(w, root.p(w, base)):
+                root.sit(w, base)
+        if sweep >= burn:
+            samples += 1
+            for u, w in pairs:
+                total[u, w] += rest[u].p(w, root.p(w, base)) if u in rest else root.p(w, base)
+    return {i: sum(math.log10(total[x] / samples) for x in t) for i, t in texts.items()}
+
+
+def test_scores_are_those_of_a_plain_sampler(spark, documents):
+    """Every text's score against customer-by-customer Gibbs sampling in one process."""
+    got = {r["doc_id"]: r for r in pitman_yor.score(spark, spark.read.parquet(f"{DIR}/documents.parquet"), bucket_bytes=100_000).collect()}
+    numbers: dict = {}
+    tokens = {i: [numbers.setdefault(w, len(numbers) + 2) for w in t.encode().lower().split()] + [1] for i, t in documents.items()}
+    want = plain_scores(tokens)
+    for held in (False, True):
+        ids = [i for i, r in got.items() if r["held_out"] == held]
+        assert abs(sum(got[i]["score"] for i in ids) / sum(want[i] for i in ids) - 1) < 0.01
+    n = {i: len(t) for i, t in tokens.items()}
+    assert np.quantile([abs(got[i]["score"] - want[i]) / n[i] for i in want], 0.95) < 0.05
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got.values())
+
+
+def test_any_doc_id_is_kept(spark):
+    ids = [-(1 << 63), None, (1 << 63) - 1, 0]
+    rows = pitman_yor.score(spark, spark.createDataFrame([(i, "a b a") for i in ids], "doc_id long, text string")).collect()
+    assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(map(str, ids))
+
+
 def test_predictive_sums_to_one():
     """Seating of one context and the root: probabilities over the vocabulary and the unknown word sum to one."""
     rng = np.random.default_rng(0)
