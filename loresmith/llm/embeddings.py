@@ -1,18 +1,22 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
 Equal vectors of a label are one class with a multiplicity. On a bounded sample of classes
-(``SAMPLE``, those of the smallest hashed ids) principal axes and several rotations are learned:
-each is a random orthogonal matrix that alternates with the sign codes it gives until the codes
-are balanced and near the data. The signs of all rotations are cut into keys of ``bits`` bits, one for each
-table; classes of a label that agree in a table's key are candidates. There are as many tables as
-bring a pair at the threshold together with probability ``RECALL``, bits being independent there;
-closer pairs are surer. Candidates are reranked by the cosine of the original vectors in double
-precision, where they met: a pair counts only in the first table that brings it together, so links
-are counted exactly once and only counts and a spanning forest of the links leave a task.
-
-A key that more than ``BLOCK`` classes share is dealt out: its classes are split into blocks and each pair of
+(``SAMPLE``, those of the smallest hashed ids) principal axes and rotations are learned: each is a
+random orthogonal matrix that alternates with the sign codes it gives until the codes are near the data.
+Codes are centred, and so balanced, if pairs at the threshold, made of the sample's vectors, then still have near
+codes (``RECALL``); where the vectors lie far to one side of the origin they would not, and planes
+through the origin are used, whose bits differ in proportion to the angle.
+
+A code is cut into substrings, one for each table. Codes within ``reach`` bits agree in some substring but
+for twice ``radius`` bits at most (pigeonhole), so they share a point within ``radius`` bits of both
+substrings: a class stands in a table under all points of that ball around its substring, and classes that share
+one are candidates if their whole codes are within the reach. Only ids and codes are shuffled so. A pair counts
+in the first table and the least point that bring it together, so it is a candidate once. Candidates
+are then reranked by the cosine of the original vectors in double precision.
+
+A point that more than ``BLOCK`` classes share is dealt out: its classes are split into blocks and each pair of
 blocks is a group of its own, so no group is larger than two blocks whatever share of the rows
-one key has, and none of its pairs is left out.
+one point has, and none of its pairs is left out.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and
 rows with a null label or null vec_id, link with nothing; vectors of different length do not
@@ -23,6 +27,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,66 +40,104 @@ from loresmith.llm.simhash import _spanning
 from loresmith.llm.store import Stash
 
 THRESHOLD = 0.93
-SAMPLE, ROUNDS, AXES = 20_000, 30, 64
-RECALL, LEAST_BITS, PER_KEY, BLOCK = 0.97, 12, 64, 2048
+SAMPLE, ROUNDS, AXES, LEARNED, LONGEST = 20_000, 30, 64, 100, 4096
+RECALL, SIGMAS, LEAST_BITS, MOST_BITS, PER_POINT, BLOCK, SMALL = 0.97, 2.0, 16, 30, 64, 2048, 64
+
 
+def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int, int, int]:
+    """(bits of a substring, tables, radius, reach) for n vectors of the largest label.
 
-def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a key, tables) for n vectors of the largest label."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / PER_KEY)))
-    agree = 1 - math.acos(threshold) / math.pi
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+    The reach lies ``SIGMAS`` deviations over the mean of differing bits at the threshold; closer pairs are surer.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / PER_POINT))))
+    p = math.acos(threshold) / math.pi
+    for radius in range(1, bits):
+        for tables in range(2, 13):
+            reach = (2 * radius + 1) * tables - 1
+            if reach >= tables * bits * p + SIGMAS * math.sqrt(tables * bits * p * (1 - p)):
+                return bits, tables, radius, reach
+    raise ValueError("no tables for this threshold")
 
 
-def learn(sample: np.ndarray, n_bits: int, seed: int = 7) -> np.ndarray:
-    """Axes by bits: iterative quantisation of unit vectors, as many rotations as give n_bits.
+@lru_cache(8)
+def ball(bits: int, radius: int) -> np.ndarray:
+    """What to flip in a substring for each point within the radius."""
+    return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(bits), k)], np.int64)
 
-    The vectors are not centred: planes through the origin keep a bit's chance to differ with the
-    angle of two vectors, wherever they lie.
-    """
-    rng, x = np.random.default_rng(seed), sample
-    _, _, axes = np.linalg.svd(x.T @ x if len(x) else np.eye(sample.shape[1]))
-    axes = axes[:AXES].T
-    v, out = x @ axes, []
-    while sum(a.shape[1] for a in out) < n_bits:
-        r = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
-        for _ in range(ROUNDS if len(x) else 0):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        out.append(axes @ r)
-    return np.concatenate(out, axis=1)[:, :n_bits]
-
-
-def keys_of(x: np.ndarray, axes: np.ndarray, bits: int) -> np.ndarray:
-    """(rows, tables) keys of unit vectors."""
-    on = (x @ axes >= 0).reshape(len(x), -1, bits)
-    return (on @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
-
-
-def unit(raw: list[bytes], dims: int) -> np.ndarray:
-    out = np.zeros((len(raw), dims))
-    for i, r in enumerate(raw):
-        v = np.frombuffer(r, "<f8")
-        out[i, : len(v)] = v
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
-
-
-def _links_of_group(table: int, own: np.ndarray, block: np.ndarray, cross: bool, x: np.ndarray, keys: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group that link and do not meet in an earlier table."""
-    a, b = [], []
-    for at in range(0, len(x), 512):
-        i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
-        i += at
-        fit = i < j
-        if cross:
-            fit &= block[i] != block[j]
-        i, j = i[fit], j[fit]
-        first = np.ones(len(i), bool)
-        for t in range(table):
-            first &= keys[i, t] != keys[j, t]
-        a.append(i[first])
-        b.append(j[first])
-    return np.concatenate(a), np.concatenate(b)
+
+def unit(rows: list[np.ndarray]) -> np.ndarray:
+    """Vectors of one length as unit vectors; scaled first, so that no square overflows."""
+    x = np.stack(rows)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Quantiser:
+    """Codes of unit vectors of one length: learned on a sample, else by random planes."""
+
+    def __init__(self, dims: int, bits: int, sample: np.ndarray | None = None, threshold: float = THRESHOLD, reach: int = 0, seed: int = 7):
+        self.dims, self.bits, self.seed = dims, bits, seed
+        self.mean = self.axes = None
+        if sample is None or len(sample) < LEARNED or dims > LONGEST:
+            return
+        for mean in (sample.mean(axis=0), np.zeros(dims)):
+            self.mean, self.axes = mean, self._learn(sample - mean)
+            if self._kept(sample[:2000], threshold, reach) >= RECALL:
+                break
+
+    def _learn(self, x: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng(self.seed)
+        _, _, axes = np.linalg.svd(x.T @ x)
+        axes = axes[:AXES].T
+        v, out = x @ axes, []
+        while sum(a.shape[1] for a in out) < self.bits:
+            r = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
+            for _ in range(ROUNDS):
+                u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (u @ w).T
+            out.append(axes @ r)
+        return np.concatenate(out, axis=1)[:, : self.bits]
+
+    def _kept(self, x: np.ndarray, threshold: float, reach: int) -> float:
+        """Share of pairs at the threshold whose codes are within the reach."""
+        rng = np.random.default_rng(self.seed + 1)
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+        other = threshold * x + math.sqrt(1 - threshold**2) * away
+        return float(((self.on(x) != self.on(other)).sum(axis=1) <= reach).mean())
+
+    def on(self, x: np.ndarray) -> np.ndarray:
+        if self.axes is not None:
+            return (x - self.mean) @ self.axes >= 0
+        total = np.zeros((len(x), self.bits))
+        for at in range(0, self.dims, 4096):  # planes by parts: long vectors need no large matrix
+            part = x[:, at : at + 4096]
+            total += part @ np.random.default_rng((self.seed, at)).normal(size=(part.shape[1], self.bits))
+        return total >= 0
+
+    def substrings(self, x: np.ndarray, tables: int) -> np.ndarray:
+        """(rows, tables) substrings of the codes."""
+        on = self.on(x).reshape(len(x), tables, -1)
+        return on @ (1 << np.arange(on.shape[2], dtype=np.int64))
+
+
+def _once(i: np.ndarray, j: np.ndarray, table: np.ndarray, point: np.ndarray, subs: np.ndarray, bits: int, radius: int, reach: int) -> np.ndarray:
+    """Which pairs of rows are within the reach and meet here first: no earlier table, no lesser point."""
+    apart = np.bitwise_count(subs[i] ^ subs[j])
+    fit = np.flatnonzero(apart.sum(axis=1, dtype=np.int64) <= reach)
+    if not len(fit):
+        return fit
+    first = (apart[fit] <= 2 * radius).argmax(axis=1)
+    fit = fit[first == table[i[fit]]]
+    out = []
+    for at in range(0, len(fit), 20_000):
+        part = fit[at : at + 20_000]
+        t = table[i[part]]
+        points = subs[i[part], t][:, None] ^ ball(bits, radius)
+        shared = np.bitwise_count(points ^ subs[j[part], t][:, None]) <= radius
+        out.append(part[np.where(shared, points, 1 << 62).min(axis=1) == point[i[part]]])
+    return np.concatenate(out) if out else fit
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -106,88 +150,119 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
     classes = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("times"))
     classes = stash.put(classes, "classes")
-    sizes = classes.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan_tables(largest, threshold)
-    seen = classes.orderBy(F.xxhash64("cid")).limit(sample).select("v").toPandas()["v"]
-    axes = learn(unit([np.asarray(v, "<f8").tobytes() for v in seen], sizes), bits * tables)
+    bits, tables, radius, reach = plan(largest, threshold)
+    seen = classes.where(F.size("v") <= LONGEST).orderBy(F.xxhash64("cid")).limit(sample).select("v").toPandas()["v"]
+    by_dims: dict[int, list] = {}
+    for v in seen:
+        by_dims.setdefault(len(v), []).append(np.asarray(v, float))
+    learned = {d: Quantiser(d, bits * tables, unit(vs), threshold, reach) for d, vs in by_dims.items() if len(vs) >= LEARNED}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = ball(bits, radius)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                raw = [np.asarray(v.as_py(), "<f8").tobytes() for v in part.column(2)]
-                keys = keys_of(unit(raw, sizes), axes, bits)
-                n, row = len(raw), np.repeat(np.arange(len(raw)), tables)
-                code = [k.tobytes() for k in keys]
-                take = lambda c: c.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [take(part.column(0)), take(pa.array([len(r) // 8 for r in raw], pa.int32())), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel()), take(part.column(1)), take(part.column(3)), take(pa.array(code)), take(pa.array(raw))],
-                    names=["label", "dims", "tab", "key", "cid", "times", "code", "raw"],
-                )
-
-    fields = "label string, dims int, tab int, key int, cid long, times long, code binary, raw binary"
-    met = classes.select("label", "cid", "v", "times").mapInArrow(emit, fields)
-    group = ["label", "dims", "tab", "key"]
-    large = met.groupBy(*group).count().where(F.col("count") > BLOCK)
-    large = stash.put(large.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"), "large")
-    met = met.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                of = np.array(part.column(2).value_lengths())
+                for dims in np.unique(of).tolist():
+                    own = np.flatnonzero(of == dims)
+                    x = unit([np.asarray(part.column(2)[int(i)].values.to_numpy(zero_copy_only=False), float) for i in own])
+                    q = learned.get(dims) or Quantiser(dims, bits * tables)
+                    subs = q.substrings(x, tables)
+                    code = [c.tobytes() for c in subs.astype("<i4")]
+                    points = (subs[:, :, None] ^ flips).reshape(-1)
+                    row = np.repeat(own, tables * len(flips))
+                    take = lambda c, r: c.take(pa.array(r))
+                    table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(flips)), len(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [take(part.column(0), row), pa.array(table), pa.array(points.astype(np.int32)), take(part.column(1), row), pa.array(code, pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), tables * len(flips))))],
+                        names=["lab", "tab", "point", "cid", "code"],
+                    )
+
+    coded = classes.select(F.xxhash64("label", F.size("v")).alias("lab"), "cid", "v")
+    met = coded.mapInArrow(emit, "lab long, tab int, point int, cid long, code binary").withColumn("g", F.xxhash64("lab", "tab", "point"))
+    large = met.groupBy("g").count().where(F.col("count") > BLOCK)
+    large = stash.put(large.select("g", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    met = met.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(*group, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "times", "code", "raw")
-    order = [*group, "b1", "b2"]
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    met = met.select(F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", low, high)).alias("g"), "lab", "tab", "point", "cid", "code", F.when(low == high, 0).otherwise(1 + (F.col("block") == low).cast("int")).alias("side"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(n_parts, *order).sortWithinPartitions(*order)
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            held, now = [], None
-            for b in batches:
-                cols = [b.column(i).to_pylist() for i in range(6)]
-                heads = list(zip(*cols, strict=True))
-                at = 0
-                while at < len(heads):
-                    to = at + 1
-                    while to < len(heads) and heads[to] == heads[at]:
-                        to += 1
-                    if heads[at] != now:
-                        if held:
-                            yield now, held
-                        now, held = heads[at], []
-                    held.append(b.slice(at, to - at))
-                    at = to
-            if held:
-                yield now, held
-
-        def send(cids, counts, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cid", "n", "a", "b"])
-
-        out: list[list] = [[], [], [], []]
-        for head, parts in groups():
-            if sum(p.num_rows for p in parts) < 2:
-                continue
-            whole = pa.Table.from_batches(parts)
-            x = unit([r.as_py() for r in whole.column("raw")], head[1])
-            keys = np.stack([np.frombuffer(c.as_py(), np.int32) for c in whole.column("code")])
-            cid, times = whole.column("cid").to_numpy(), whole.column("times").to_numpy()
-            i, j = _links_of_group(head[2], cid, whole.column("block").to_numpy(), head[4] != head[5], x, keys, threshold)
-            if not len(i):
+    met = met.repartition(n_parts, "g").sortWithinPartitions("g")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(g, lab, tab, point, cid, side, subs) -> pa.RecordBatch:
+            start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            size = np.diff(np.r_[start, len(g)])
+            a, b = [], []
+
+            def keep(i, j):
+                # side 0: a group of its own; else two blocks, of which only pairs across count here
+                fit = (lab[i] == lab[j]) & (tab[i] == tab[j]) & (point[i] == point[j]) & ((side[i] == 0) | (side[i] != side[j]))
+                i, j = i[fit], j[fit]
+                once = _once(i, j, tab, point, subs, bits, radius, reach)
+                a.append(i[once])
+                b.append(j[once])
+
+            at, step = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size)), 1
+            while len(at):
+                at = at[at + step < len(g)]
+                at = at[g[at] == g[at + step]]
+                keep(at, at + step)
+                step += 1
+            for k in np.flatnonzero(size > SMALL):
+                whole = np.arange(start[k], start[k] + size[k])
+                for i in whole:
+                    near = np.bitwise_count(subs[whole[whole > i]] ^ subs[i]).sum(axis=1, dtype=np.int64) <= reach
+                    j = whole[whole > i][near]
+                    if len(j):
+                        keep(np.full(len(j), i), j)
+            none = [np.zeros(0, np.int64)]
+            a, b = np.concatenate([*none, *a]).astype(np.int64), np.concatenate([*none, *b]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], names=["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("g", "lab", "tab", "point", "cid", "side")]
+            raw = batch.column("code")
+            subs = np.frombuffer(b"".join(raw.to_pylist()), "<i4").reshape(-1, tables).astype(np.int64)
+            held.append([*cols[:3], cols[3].astype(np.int64), *cols[4:], subs])
+            n += batch.num_rows
+            if n < 100_000:
                 continue
-            n = np.zeros(len(cid), np.int64)
-            np.add.at(n, i, times[j])
-            np.add.at(n, j, times[i])
-            has = np.flatnonzero(n)
-            forest = _spanning(cid[i], cid[j])
-            out[0] += cid[has].tolist() + [None] * len(forest)
-            out[1] += n[has].tolist() + [None] * len(forest)
-            out[2] += [None] * len(has) + [p for p, _ in forest]
-            out[3] += [None] * len(has) + [q for _, q in forest]
-            if len(out[0]) > 20_000:
-                yield send(*out)
-                out = [[], [], [], []]
-        yield send(*out)
-
-    found = stash.put(met.mapInArrow(link, "cid long, n long, a long, b long"), "found")
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            tail = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
+            if tail:
+                yield pairs(*(w[:tail] for w in whole))
+            held, n = [[w[tail:] for w in whole]], len(whole[0]) - tail
+        if held:
+            yield pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    near = stash.put(met.select("g", "lab", "tab", "point", "cid", "side", "code").mapInArrow(meet, "a long, b long"), "near")
+    end = lambda x: classes.select(F.col("cid").alias(x), F.col("v").alias(f"v{x}"), F.col("times").alias(f"t{x}"), F.col("label").alias(f"l{x}"))
+    both = near.join(end("a"), "a").join(end("b"), "b").where((F.col("la") == F.col("lb")) & (F.size("va") == F.size("vb"))).select("a", "ta", "va", "b", "tb", "vb")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                a, ta, b, tb = (part.column(c).to_numpy() for c in ("a", "ta", "b", "tb"))
+                of = np.array(part.column("va").value_lengths())
+                cos = np.zeros(len(a))
+                for dims in np.unique(of).tolist():
+                    own = np.flatnonzero(of == dims)
+                    x, y = (unit([np.asarray(part.column(c)[int(i)].values.to_numpy(zero_copy_only=False), float) for i in own]) for c in ("va", "vb"))
+                    cos[own] = (x * y).sum(axis=1)
+                ok = cos >= threshold
+                ids, place = np.unique(np.r_[a[ok], b[ok]], return_inverse=True)
+                n = np.bincount(place, np.r_[tb[ok], ta[ok]], len(ids)).astype(np.int64)
+                forest = _spanning(a[ok], b[ok])
+                cols = (ids.tolist() + [None] * len(forest), n.tolist() + [None] * len(forest), [None] * len(ids) + [p for p, _ in forest], [None] * len(ids) + [q for _, q in forest])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cid", "n", "a", "b"])
+
+    found = stash.put(both.mapInArrow(rerank, "cid long, n long, a long, b long"), "found")
     counts = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n"))
     roots = components(stash, found.where("a is not null").select("a", "b"))
     named = classes.join(counts, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")

@@ -534,9 +534,11 @@ def test_raw_transcripts(spark):
 # --- embeddings
 
 
-def test_recall(spark):
+@pytest.mark.parametrize("aside", [0.0, 1.5])
+def test_recall(spark, aside):
+    """Clusters that straddle the threshold, around the origin and far to one side of it."""
     rng = np.random.default_rng(4)
-    centres = rng.normal(size=(40, 64))
+    centres = rng.normal(size=(40, 64)) + aside
     x = np.concatenate([c + rng.normal(size=(12, 64)) * s for c, s in zip(centres, np.linspace(0.05, 0.35, 40), strict=True)]).astype(np.float32)
     label = rng.integers(0, 2, len(x))
     df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
@@ -547,6 +549,38 @@ def test_recall(spark):
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() > 0
 
 
+def test_codes_within_reach_meet_once():
+    """By brute force: every pair of codes within the reach meets, and counts at one table and point."""
+    bits, tables, radius, reach = embeddings.plan(1000)
+    assert (bits, (2 * radius + 1) * tables - 1) == (16, reach)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << bits, (12, tables))
+    subs = np.concatenate([base ^ np.where(rng.random((12, tables)) < p, rng.integers(0, 1 << bits, (12, tables)) & rng.integers(0, 1 << bits, (12, tables)) & rng.integers(0, 1 << bits, (12, tables)), 0) for p in (0, 0.5, 1)])
+    subs = np.concatenate([subs, subs[:5]])
+    flips = embeddings.ball(bits, radius)
+    met = collections.defaultdict(list)
+    for r, row in enumerate(subs):
+        for t in range(tables):
+            for p in row[t] ^ flips:
+                met[t, int(p)].append(r)
+    seen = collections.Counter()
+    for (t, p), rows in met.items():
+        pairs = list(itertools.combinations(rows, 2))
+        if pairs:
+            i, j = np.array(pairs).T
+            table, point = np.full(len(subs), t), np.full(len(subs), p)
+            seen.update(pairs[k] for k in embeddings._once(i, j, table, point, subs, bits, radius, reach))
+    apart = np.bitwise_count(subs[:, None] ^ subs[None]).sum(axis=2)
+    assert set(seen.values()) == {1} and set(seen) == {(i, j) for i, j in itertools.combinations(range(len(subs)), 2) if apart[i, j] <= reach}
+
+
+def test_links_of_large_components_and_mixed_lengths(spark):
+    big = 1e300
+    rows = [(0, [big, big, 0.0]), (1, [big, big * 0.99, 0.0]), (2, [1.0, 1.0]), (3, [2.0, 2.0]), (4, [1e-300, 0.0]), (5, [1.0] * 5000), (6, [1.0] * 4999 + [1.1])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark, spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
 def test_blocks_of_a_crowded_key(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 7)
     rng = np.random.default_rng(6)
