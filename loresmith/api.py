@@ -36,9 +36,8 @@ class KnowledgeBase:
 
     @property
     def entries(self) -> DataFrame:
-        """(ord, name, category): one row an entry, ordered by category and name."""
-        e = self.tree.select("category", F.col("slug").alias("name")).distinct()
-        return e.withColumn("ord", F.row_number().over(Window.orderBy("category", "name")).cast("long"))
+        """(ord, name, category): one row an entry; ord orders by category and name, without numbering all rows in one task."""
+        return self.tree.select(F.struct("category", F.col("slug").alias("name")).alias("ord"), F.col("slug").alias("name"), "category").distinct()
 
     def list_entries(self, category: str | None = None) -> DataFrame:
         e = self.entries.select("category", "name")

@@ -26,7 +26,8 @@ def every(df: DataFrame, path: str, checkpoint: str, hours: float = 6):
 def upsert_log(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str, key: str = "service_key") -> None:
     """Keep the newest row of each key: each micro-batch writes the next version of the log.
 
-    A version is named by its batch, so a batch run again writes the same one.
+    A version is named by its batch, so a batch run again writes the same one; it reads the version
+    before, so only older ones are deleted.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
@@ -34,6 +35,9 @@ def upsert_log(spark: SparkSession, stream: DataFrame, root: str, checkpoint: st
         if n > 0:
             new = incremental.upsert(spark.read.parquet(f"{root}/v{n - 1}"), new, key)
         new.write.mode("overwrite").parquet(f"{root}/v{n}")
+        if n > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
