@@ -163,14 +163,34 @@ def chunk_overlap(spark, d):
     )
 
 
-def _chunks(kind, size):
-    @query(f"chunk_{kind}")
+def _fold(pieces: str, size: int, *, glue: str, carry: str, extra: int, whole: str, text: str = "text") -> str:
+    """SQL of chunks folded from a document's pieces in order; texts under ``whole`` are one chunk.
+
+    carry: what a new chunk begins with, given ``part``; extra: characters counted for a piece besides its own.
+    """
+    cut = f"(n + length(s.t) > {size} AND len(part) > 0)"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {text} AS text FROM documents), p AS (SELECT doc_id, {pieces} AS l FROM d WHERE NOT ({whole})),
+  s AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM p),
+  f(doc_id, i, part, n, done) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM p
+    UNION ALL SELECT f.doc_id, f.i + 1, list_append(CASE WHEN {cut} THEN {carry} ELSE part END, s.t), CASE WHEN {cut} THEN CAST(coalesce(list_sum(list_transform({carry}, lambda x: length(x))), 0) AS BIGINT) ELSE n END + length(s.t) + {extra},
+      CASE WHEN {cut} THEN array_to_string(part, {glue}) END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+  c AS (SELECT doc_id, i, done AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, array_to_string(arg_max(part, i), {glue}) FROM f GROUP BY doc_id UNION ALL SELECT doc_id, 0, text FROM d WHERE {whole})
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks, text FROM c"""
+
+
+_SENTENCES = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_SECTIONS = r"string_split(regexp_replace(regexp_replace(text, '(?m)^(#{1,6}\s)', chr(1) || '\1', 'g'), '\n\n+', chr(1), 'g'), chr(1))"
+
+
+def _chunks(kind, size, sql=None):
+    @query(f"chunk_{kind}", sql)
     def run(spark, d):
-        return pack.chunks(_docs(spark, d), kind, size=size, overlap=200, least=500)
+        parted = _docs(spark, d) if kind == "sentences" else _docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+        return pack.chunks(parted, kind, size=size, overlap=200, least=500)
 
 
-_chunks("sentences", 1000)
-_chunks("sections", 2000)
+_chunks("sentences", 1000, _fold(_SENTENCES, 1000, glue="' '", carry="CASE WHEN len(part) > 1 THEN [part[-1]] ELSE [] END", extra=0, whole="length(text) <= 1000"))
+_chunks("sections", 2000, _fold(_SECTIONS, 2000, glue="chr(10) || chr(10)", carry="CAST([] AS VARCHAR[])", extra=2, whole="FALSE", text="replace(text, chr(10), chr(10) || chr(10))"))
 _chunks("boundaries", 2000)
 
 
@@ -180,7 +200,17 @@ def headers(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(text.headers(md), "|").alias("heads"))
 
 
-@query("pack_batches")
+@query(
+    "pack_batches",
+    f"""WITH RECURSIVE {S.POSTS}, p AS (SELECT community AS service, post_id, content, length(title || content) // 4 AS cost, row_number() OVER (PARTITION BY community ORDER BY post_id) AS i FROM posts),
+    f(service, i, held, is_open, next, batch, post_id, n_chars) AS (SELECT DISTINCT service, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM p
+      UNION ALL SELECT f.service, p.i, CASE WHEN 100 + held + cost <= 1000 THEN held + cost WHEN cost <= 900 THEN cost ELSE 0 END, 100 + held + cost <= 1000 OR cost <= 900,
+        CASE WHEN 100 + held + cost <= 1000 THEN next ELSE next + CAST(is_open AS INT) + CAST(cost > 900 AND content <> '' AS INT) END,
+        CASE WHEN 100 + held + cost <= 1000 THEN next WHEN cost <= 900 OR content <> '' THEN next + CAST(is_open AS INT) END, p.post_id,
+        length(content) + CAST(cost > 900 AND 100 + held + cost > 1000 AND NOT ends_with(content, '.') AS INT)
+      FROM f JOIN p ON p.service = f.service AND p.i = f.i + 1)
+    SELECT service, CAST(batch AS INT) AS batch, post_id, n_chars FROM f WHERE batch IS NOT NULL""",
+)
 def pack_batches(spark, d):
     p = tables.posts(spark, d).select("post_id", F.col("community").alias("service"), "content", text.token_count(F.concat("title", "content")).alias("cost"))
     return pack.pack_batches(p, key="service", order="post_id", usable=1000, base=100)
