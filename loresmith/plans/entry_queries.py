@@ -363,12 +363,12 @@ def _tree(spark, d):
     return render.files(m.withColumn("category", names.fallback_category(F.col("service"), F.lit(None).cast("string"))), DAY)
 
 
-@query(
-    "entry_files",
-    f"""WITH {_MERGED} SELECT lower(service) AS slug, f AS file FROM merged, (VALUES ('prompting.md'), ('parameters.json'), ('pitfalls.md'), ('cost_optimization.md'), ('metadata.json')) AS t(f)
+_FILES_SQL = f"""WITH {_MERGED} SELECT lower(service) AS slug, f AS file FROM merged, (VALUES ('prompting.md'), ('parameters.json'), ('pitfalls.md'), ('cost_optimization.md'), ('metadata.json')) AS t(f)
     WHERE CASE f WHEN 'prompting.md' THEN len(tips) + len(settings) > 0 WHEN 'parameters.json' THEN len(settings) + len(cost_info) > 0 WHEN 'pitfalls.md' THEN len(problems) > 0 OR len(list_filter(cost_info, lambda x: contains(lower(x), 'limit'))) > 0
-      WHEN 'cost_optimization.md' THEN len(cost_info) > 0 OR len(list_filter(tips, lambda x: contains(lower(x), 'free') OR contains(lower(x), 'unlimited'))) > 0 ELSE TRUE END""",
-)
+      WHEN 'cost_optimization.md' THEN len(cost_info) > 0 OR len(list_filter(tips, lambda x: contains(lower(x), 'free') OR contains(lower(x), 'unlimited'))) > 0 ELSE TRUE END"""
+
+
+@query("entry_files", _FILES_SQL)
 def entry_files(spark, d):
     return _tree(spark, d).select("slug", "file")
 
@@ -384,9 +384,11 @@ def manifest(spark, d):
     return render.manifest(_tree(spark, d)).select("category", "model", "title", F.size("paths").cast("long").alias("n_paths"))
 
 
-@query("export_json")
+@query("export_json", f"SELECT 'general' AS category, slug, file FROM ({_FILES_SQL})")
 def export_json(spark, d):
-    return render.export_json(_tree(spark, d))
+    """The export, read as JSON again: what it holds by category, slug and file."""
+    e = render.export_json(_tree(spark, d)).select("category", F.explode(F.from_json("content", "map<string,map<string,string>>")).alias("slug", "files"))
+    return e.select("category", "slug", F.explode("files").alias("file", "content")).where("content != ''").drop("content")
 
 
 @query("corpus_findings", f"WITH {_MERGED} SELECT 'general/' || lower(service) AS entity, 'error' AS severity, 'missing_file' AS rule, 'prompting.md' AS message FROM merged WHERE len(tips) + len(settings) = 0 UNION ALL SELECT 'general/' || lower(service), 'warning', 'outdated', 'metadata.json' FROM merged")
