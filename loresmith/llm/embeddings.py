@@ -41,7 +41,7 @@ from loresmith.llm.store import Stash
 
 THRESHOLD = 0.93
 SAMPLE, ROUNDS, AXES, LEARNED, LONGEST = 20_000, 30, 64, 100, 4096
-RECALL, SIGMAS, LEAST_BITS, MOST_BITS, PER_POINT, BLOCK, SMALL = 0.97, 2.0, 16, 30, 64, 2048, 64
+RECALL, SIGMAS, LEAST_BITS, MOST_BITS, PER_POINT, BLOCK, SMALL, CONNECTED = 0.97, 2.0, 16, 30, 64, 2048, 64, 1_000_000
 
 
 def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int, int, int]:
@@ -245,9 +245,12 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     both = near.join(end("a"), "a").join(end("b"), "b").where((F.col("la") == F.col("lb")) & (F.size("va") == F.size("vb"))).select("a", "ta", "va", "b", "tb", "vb")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        connected: dict[int, int] = {}  # by earlier links of this task
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
+                if len(connected) > CONNECTED:
+                    connected.clear()
                 a, ta, b, tb = (part.column(c).to_numpy() for c in ("a", "ta", "b", "tb"))
                 of = np.array(part.column("va").value_lengths())
                 cos = np.zeros(len(a))
@@ -258,7 +261,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
                 ok = cos >= threshold
                 ids, place = np.unique(np.r_[a[ok], b[ok]], return_inverse=True)
                 n = np.bincount(place, np.r_[tb[ok], ta[ok]], len(ids)).astype(np.int64)
-                forest = _spanning(a[ok], b[ok])
+                forest = _spanning(a[ok], b[ok], connected)
                 cols = (ids.tolist() + [None] * len(forest), n.tolist() + [None] * len(forest), [None] * len(ids) + [p for p, _ in forest], [None] * len(ids) + [q for _, q in forest])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cid", "n", "a", "b"])
 
