@@ -45,6 +45,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Distinct fingerprints under one key up to which they are compared with each other.
 BUCKET = 64
 MAX_DISTANCE = 2
+#: Shingle sets in a block of a doubtful component.
+BLOCK = 256
 #: Margin in standard deviations over the mean number of differing bits at a similarity.
 MARGIN = 2.5
 
@@ -126,9 +128,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A forest with the connectivity of the pairs."""
-    up: dict[int, int] = {}
+def _spanning(a: np.ndarray, b: np.ndarray, up: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """A forest with the connectivity of the pairs; up: what earlier calls have connected, kept up to date."""
+    up = {} if up is None else up
 
     def top(x: int) -> int:
         while (y := up.get(x, x)) != x:
@@ -337,23 +339,8 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _across(a: np.ndarray, b: np.ndarray, root: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """All pairs of different roots within ``bits`` bits: rows of the commonest root are only compared with the others."""
-    _, of, size = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.argsort(size[of], kind="stable")
-    of, x, y = of[order], [], []
-    for k in range(int((of != of[-1]).sum()) if len(of) else 0):
-        near = np.flatnonzero((_apart(a, b, order[k + 1 :], order[k]) <= bits) & (of[k + 1 :] != of[k])) + k + 1
-        x += [int(order[k])] * len(near)
-        y += order[near].tolist()
-    return x, y
-
-
-def candidates(distinct: DataFrame, bits: int, *, across: bool) -> DataFrame:
-    """Pairs (x, y) of shingle sets (fp, a, b, root) that meet under a key and are within ``bits`` bits.
-
-    Not across: pairs that connect all such pairs, nearest first. Across: all such pairs of different roots.
-    """
+def candidates(distinct: DataFrame, bits: int) -> DataFrame:
+    """Pairs (x, y), nearest first, that connect all shingle sets (fp, a, b) that meet under a key and are within ``bits`` bits."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,15 +348,15 @@ def candidates(distinct: DataFrame, bits: int, *, across: bool) -> DataFrame:
                 cols = [batch.column(i).slice(at, 2000).to_numpy() for i in range(batch.num_columns)]
                 for half in (0, 1):
                     row, key = pair_keys(cols[1 + half].view(np.uint64), half)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(pa.array(c[row]) for c in cols)], names=["key", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(pa.array(c[row]) for c in cols)], names=["key", "fp", "a", "b"])
 
-    def pairs(key, fp, a, b, root) -> pa.RecordBatch:
+    def pairs(key, fp, a, b) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(key)])
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(size > BUCKET):
             one = slice(start[i], start[i] + size[i])
-            p, q = _across(a[one], b[one], root[one], bits) if across else _reach(a[one], b[one], bits)
+            p, q = _reach(a[one], b[one], bits)
             x.append(start[i] + np.array(p, np.int64))
             y.append(start[i] + np.array(q, np.int64))
         at, step = np.flatnonzero(np.repeat((size > 1) & (size <= BUCKET), size)), 1
@@ -377,27 +364,21 @@ def candidates(distinct: DataFrame, bits: int, *, across: bool) -> DataFrame:
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
             near = _apart(a, b, at, at + step) <= bits
-            if across:
-                near &= root[at] != root[at + step]
             x.append(at[near])
             y.append(at[near] + step)
             step += 1
         x, y = np.concatenate(x), np.concatenate(y)
-        if across:
-            p, q = np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])
-            found = np.unique(np.stack([p, q], axis=1), axis=0) if len(p) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, i].copy(), pa.int64()) for i in (0, 1)], names=["x", "y"])
         order = np.argsort(_apart(a, b, x, y), kind="stable")
         links = _spanning(fp[x[order]], fp[y[order]])
         return pa.RecordBatch.from_arrays([pa.array([min(e) for e in links], pa.int64()), pa.array([max(e) for e in links], pa.int64())], names=["x", "y"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(5)]
+        held: list[list[np.ndarray]] = [[], [], [], []]
         rows = 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             cols[2], cols[3] = cols[2].view(np.uint64), cols[3].view(np.uint64)
-            for h, c in zip(held, cols + cols[1:2] * (5 - len(cols)), strict=True):  # without roots each is its own
+            for h, c in zip(held, cols, strict=True):
                 h.append(c)
             rows += batch.num_rows
             if rows < 50_000:
@@ -410,14 +391,13 @@ def candidates(distinct: DataFrame, bits: int, *, across: bool) -> DataFrame:
         if held[0]:
             yield pairs(*(np.concatenate(h) for h in held))
 
-    names = ["fp", "a", "b", "root"] if across else ["fp", "a", "b"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = distinct.select(*names).mapInArrow(emit, "key int, " + ", ".join(f"{c} long" for c in names)).repartition(n, "key").sortWithinPartitions("key")
+    met = distinct.select("fp", "a", "b").mapInArrow(emit, "key int, fp long, a long, b long").repartition(n, "key").sortWithinPartitions("key")
     return met.mapInArrow(meet, "x long, y long").distinct()
 
 
-def verified(stash: Stash, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``pairs`` (x, y) with ok: whether the shingle sets have that Jaccard similarity."""
+def sets_of(stash: Stash, docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(fp, s): the shingle sets of both ends of ``pairs`` (x, y), from the texts."""
     ends = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
     wanted = stash.put(distinct.join(ends, "fp").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")), "wanted")
 
@@ -441,34 +421,100 @@ def verified(stash: Stash, docs: DataFrame, distinct: DataFrame, pairs: DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").alias("d").join(
         wanted.alias("w"), (F.xxhash64("d.text") == F.col("w._hash")) & F.col("d._d").eqNullSafe(F.col("w._id"))
     )
-    held = stash.put(texts.select("w.fp", "d.text").mapInArrow(sets, "fp long, s array<long>"), "sets")
-    held = held.groupBy("fp").agg(F.first("s").alias("s"))  # a repeated row brings its set again
+    held = texts.select("w.fp", "d.text").mapInArrow(sets, "fp long, s array<long>")
+    return stash.put(held.groupBy("fp").agg(F.first("s").alias("s")), "sets")  # a repeated row brings its set again
+
+
+def verified(stash: Stash, held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (x, y) with ok: whether the shingle sets ``held`` (fp, s) have that Jaccard similarity."""
     both = pairs.join(held.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x").join(held.select(F.col("fp").alias("y"), F.col("s").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     return stash.put(both.select("x", "y", (shared >= similarity * (F.size("sx") + F.size("sy") - shared)).alias("ok")), "verified")
 
 
+def _links_across(fp: np.ndarray, a: np.ndarray, b: np.ndarray, root: list, side: np.ndarray, sets: list[frozenset], bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar and not linked so far, among the rows of one or two blocks (sides 1 and 2)."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out, size = [], np.array([len(s) for s in sets])
+    for i in range(len(fp)):
+        apart = _apart(a, b, slice(i + 1, None), i)
+        least, most = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+        fit = np.flatnonzero((apart <= bits) & ((side[i] == 0) | (side[i + 1 :] != side[i])) & (least >= similarity * most))
+        for j in (fit[np.argsort(apart[fit], kind="stable")] + i + 1).tolist():
+            p, q = top(root[i]), top(root[j])
+            if p == q:
+                continue
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                up[p] = q
+                out.append((int(fp[i]), int(fp[j])))
+    return out
+
+
+def links_within(stash: Stash, suspects: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Links (x, y) that connect, within each ``comp`` of ``suspects`` (fp, a, b, root, comp, s), what is similar and of different roots.
+
+    Members of a component are dealt to blocks of about ``BLOCK``, and each pair of blocks is a group of
+    its own: pairs are compared where they meet, and only links leave.
+    """
+    sizes = suspects.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = suspects.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(low == high, 0).otherwise(1 + (F.col("block") == low).cast("int"))
+    dealt = dealt.select("comp", low.alias("low"), high.alias("high"), "fp", "a", "b", "root", side.alias("side"), "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(rows: list[tuple]) -> pa.RecordBatch:
+            fp, a, b, root, sides, sets = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
+            u64 = lambda x: np.array(x, np.int64).view(np.uint64)
+            links = _links_across(np.array(fp, np.int64), u64(a), u64(b), list(root), np.array(sides, np.int64), list(sets), bits, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
+
+        now, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            cols = [batch.column(i).to_pylist() for i in range(3, 8)]
+            for k, key in enumerate(keys):
+                if key != now:
+                    if held:
+                        yield send(held)
+                    now, held = key, []
+                held.append((*(c[k] for c in cols), frozenset(batch.column(8)[k].as_py())))
+        yield send(held)
+
+    n = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("comp", "low", "high")
+    return stash.put(dealt.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(run, "x long, y long"), "across")
+
+
 def link_sketches(stash: Stash, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (x, y) among distinct shingle sets (fp, a, b, first) that connect all candidates of that similarity.
 
     Candidates are first connected by as few pairs as it takes, and those are verified. Only among
-    candidates that a failed pair connects can a link be missing: all their pairs across what is
-    linked so far are verified next.
+    candidates that a failed pair connects can a link be missing: there all members are compared
+    across what is linked so far.
     """
     bits = sketch_bits(similarity)
-    met = stash.put(candidates(distinct, bits, across=False), "met")
-    sure = verified(stash, docs, distinct, met, shingle, similarity)
+    met = stash.put(candidates(distinct, bits), "met")
+    held = sets_of(stash, docs, distinct, met, shingle)
+    sure = verified(stash, held, met, similarity)
     links, failed = sure.where("ok").select("x", "y"), sure.where("not ok")
     if failed.isEmpty():
         return links
     near = stash.put(components(stash, met, "x", "y"), "near")
-    doubtful = failed.join(near, F.col("x") == F.col("node")).select("root").distinct()
-    suspects = near.join(doubtful, "root", "left_semi").select(F.col("node").alias("fp"))
-    roots = components(stash, links, "x", "y").withColumnRenamed("node", "fp")
-    suspects = distinct.join(suspects, "fp").join(roots, "fp", "left").select("fp", "a", "b", F.coalesce("root", "fp").alias("root"))
-    rest = stash.put(candidates(stash.put(suspects, "suspects"), bits, across=True), "rest")
-    more = verified(stash, docs, distinct, rest.join(failed, ["x", "y"], "left_anti"), shingle, similarity)
-    return links.unionByName(more.where("ok").select("x", "y"))
+    doubtful = failed.join(near, F.col("x") == F.col("node")).select(F.col("root").alias("comp")).distinct()
+    roots = stash.put(components(stash, links, "x", "y").withColumnRenamed("node", "fp"), "roots")
+    suspects = near.select(F.col("node").alias("fp"), F.col("root").alias("comp")).join(doubtful, "comp", "left_semi")
+    suspects = suspects.join(distinct.select("fp", "a", "b"), "fp").join(roots, "fp", "left").join(held, "fp").select("fp", "a", "b", F.coalesce("root", "fp").alias("root"), "comp", "s")
+    # what is linked, as stars, and what joins them
+    return roots.select(F.col("fp").alias("x"), F.col("root").alias("y")).where("x != y").unionByName(links_within(stash, suspects, bits, similarity))
 
 
 def _grouped(stash: Stash, prints: DataFrame, distinct: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:

@@ -241,9 +241,11 @@ def test_similarity_form(spark, bucket, monkeypatch):
     assert all(want[i] == want[g] for i, g in got.items())
 
 
-def test_similar_below_the_threshold_stay_apart(spark, monkeypatch):
+@pytest.mark.parametrize("block", [256, 4])
+def test_similar_below_the_threshold_stay_apart(spark, block, monkeypatch):
     """Families whose members are near the threshold: a group is never joined by a pair below it."""
     monkeypatch.setattr(simhash, "MARGIN", 6.0)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows = []
