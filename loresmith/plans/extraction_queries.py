@@ -128,11 +128,11 @@ def practice_judgement(spark, d):
 
 @query(
     "enhanced_posts",
-    f"""WITH top AS (SELECT doc_id, source, 'Title: ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || 'Content: ' || substr(text, 1, 500) AS text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5), t AS (SELECT *, {_HITS.format(head=8000)} AS m FROM top)
+    f"""WITH top AS (SELECT doc_id, source, 'Title: ' || substr(split_part(text, chr(10), 1), 1, 300) || chr(10) || chr(10) || 'Content: ' || substr(text, 1, 500) AS text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5), t AS (SELECT *, {_HITS.format(head=8000)} AS m FROM top)
     SELECT doc_id AS post_id, CASE WHEN len(m) > 0 THEN len(m) || ' names' ELSE 'a setting' END AS content, CASE WHEN len(m) > 0 THEN m[1] ELSE 'general' END AS model_name, CASE WHEN len(m) > 0 THEN 0.5::DOUBLE ELSE 0.3 END AS confidence FROM t WHERE len(m) > 0 OR length(text) % 2 = 0""",
 )
 def enhanced_posts(spark, d):
-    p = tables.posts(spark, d).withColumnRenamed("community", "source")
+    p = tables.posts(spark, d).withColumnRenamed("community", "source").withColumn("title", F.substring("title", 1, 300))
     return stages.enhance(p, [F.desc("score"), F.col("post_id")], _make).select("post_id", "content", "model_name", "confidence")
 
 
