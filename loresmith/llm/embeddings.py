@@ -245,7 +245,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     both = near.join(end("a"), "a").join(end("b"), "b").where((F.col("la") == F.col("lb")) & (F.size("va") == F.size("vb"))).select("a", "ta", "va", "b", "tb", "vb")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(who: list, times: list, forest: list) -> pa.RecordBatch:
+            """Links by vector, and a forest of them."""
+            none = [np.zeros(0, np.int64)]
+            ids, place = np.unique(np.concatenate(none + who), return_inverse=True)
+            n = np.bincount(place, np.concatenate(none + times), len(ids)).astype(np.int64)
+            cols = (ids.tolist() + [None] * len(forest), n.tolist() + [None] * len(forest), [None] * len(ids) + [p for p, _ in forest], [None] * len(ids) + [q for _, q in forest])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cid", "n", "a", "b"])
+
         connected: dict[int, int] = {}  # by earlier links of this task
+        who, times, forest, waiting = [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -259,11 +268,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
                     x, y = (unit([np.asarray(part.column(c)[int(i)].values.to_numpy(zero_copy_only=False), float) for i in own]) for c in ("va", "vb"))
                     cos[own] = (x * y).sum(axis=1)
                 ok = cos >= threshold
-                ids, place = np.unique(np.r_[a[ok], b[ok]], return_inverse=True)
-                n = np.bincount(place, np.r_[tb[ok], ta[ok]], len(ids)).astype(np.int64)
-                forest = _spanning(a[ok], b[ok], connected)
-                cols = (ids.tolist() + [None] * len(forest), n.tolist() + [None] * len(forest), [None] * len(ids) + [p for p, _ in forest], [None] * len(ids) + [q for _, q in forest])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["cid", "n", "a", "b"])
+                who.append(np.r_[a[ok], b[ok]])
+                times.append(np.r_[tb[ok], ta[ok]])
+                forest += _spanning(a[ok], b[ok], connected)
+                waiting += len(who[-1])
+                if waiting > CONNECTED:
+                    yield send(who, times, forest)
+                    who, times, forest, waiting = [], [], [], 0
+        yield send(who, times, forest)
 
     found = stash.put(both.mapInArrow(rerank, "cid long, n long, a long, b long"), "found")
     counts = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n"))
