@@ -20,7 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,7 +87,7 @@ def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, rows.num_rows, most):
                 some = rows.slice(at, most)
                 units = some.append_column("unit", pa.array(range(some.num_rows), pa.int64()))  # noqa: F841
-                yield from db.execute(WALK).to_arrow_table().cast(_SOLVED).to_batches()
+                yield from db.sql(WALK).to_arrow_table().cast(_SOLVED).to_batches()
 
 
 _SOLVED = pa.schema([("conv", pa.string()), ("seg", pa.int64()), ("start", pa.int32()), ("state", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])
@@ -118,12 +118,17 @@ def joined(parts: DataFrame, segments: int, stash: Stash) -> DataFrame:
     return done.select("conv", "state", "cost", "audit")
 
 
-def damaged(conversations: DataFrame) -> DataFrame:
-    """(conv, turn, role, text) after damage, with what orders the rows. conv: the number as text, a space where null."""
+def given(conversations: DataFrame) -> DataFrame:
+    """(conv, turn, role, text) with what orders the rows. conv: the number as text, a space where null."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = conversations.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(" ")).alias("conv"), F.col("turn").cast("long").alias("turn"), space("role").alias("role"), space("text").alias("text"))
+    return rows.withColumn("was", F.col("role")).withColumn("head", F.substring("text", 1, 100)).withColumn("digest", F.sha2("text", 256)).withColumn("copy", F.lit(0))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``given``, after damage."""
     fault = F.crc32(F.concat("conv", F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
-    rows = rows.withColumn("was", F.col("role")).withColumn("head", F.substring("text", 1, 100)).withColumn("digest", F.sha2("text", 256)).withColumn("fault", fault).where("fault <> 0")
+    rows = given(conversations).withColumn("fault", fault).where("fault <> 0")
     text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text).withColumn("role", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")))
     return rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("fault")
@@ -140,121 +145,172 @@ def faults(rows: DataFrame) -> DataFrame:
     return seen.select("conv", "_at", code.alias("code"), "blank", "duplicate", "truncated")
 
 
-class _Repaired:
-    """What one conversation's rows, in order, come to under its audit."""
+class Reading:
+    """One conversation's rows, in order, under its audit: ``said`` gets each turn of the repaired one as (edit, role, text)."""
 
-    def __init__(self, conv: str, audit: str):
-        self.conv, self.audit, self.at = conv, audit, 0
-        self.state, self.sha, self.lines = START, hashlib.sha256(), 0
-        self.least, self.most, self.turns, self.last = None, None, 0, None
+    def __init__(self, conv: str, audit: str, said: Callable[[str, str, str], None]):
+        self.conv, self.audit, self.at, self.state, self.said = conv, audit, 0, START, said
+        self.least, self.most, self.turns = None, None, 0
         self.before, self.illegal = None, 0
 
-    def _say(self, role: str, text: str, state: int) -> None:
-        self.sha.update((("\n" if self.lines else "") + f"{role}:{text}").encode())
-        self.lines, self.state = self.lines + 1, state
+    def _next(self, edit: str, text: str) -> None:
+        self.state = NEXT[self.state]
+        self.said(edit, "user" if self.state == USER else "assistant", text)
 
     def _inserted(self) -> None:
         while self.audit[self.at : self.at + 1] == "I":
-            to = NEXT[self.state]
-            self._say("user" if to == USER else "assistant", "", to)
             self.at += 1
+            self._next("I", "")
 
     def row(self, turn: int | None, role: str, text: str) -> None:
         if turn is not None:
-            if self.least is None:
-                self.least = turn
-            if turn != self.last:
-                self.turns += 1
-            self.last = self.most = turn
-        if self.before is not None and (self.before + role[:1]) not in ("su", "ua", "au"):
-            self.illegal += 1
+            self.least = turn if self.least is None else self.least
+            self.turns += turn != self.most
+            self.most = turn
+        self.illegal += self.before is not None and self.before + role[:1] not in ("su", "ua", "au")
         self.before = role[:1]
         self._inserted()
         edit = self.audit[self.at]
         self.at += 1
         if edit == "K":
-            self._say(role, text, {"s": SYSTEM, "u": USER, "a": ASSISTANT}[role[0]])
+            self.state = {"s": SYSTEM, "u": USER, "a": ASSISTANT}[role[0]]
+            self.said(edit, role, text)
         elif edit == "R":
-            to = NEXT[self.state]
-            self._say("user" if to == USER else "assistant", text, to)
+            self._next(edit, text)
 
-    def done(self) -> tuple:
+    def counts(self) -> tuple[int, int]:
+        """(gaps, illegal), once all rows are read."""
         self._inserted()
-        gaps = 0 if self.least is None else self.most - self.least + 1 - self.turns
-        return self.conv, gaps, self.illegal, self.audit, self.sha.hexdigest()
+        return 0 if self.least is None else self.most - self.least + 1 - self.turns, self.illegal
 
 
-_REPAIRED = pa.schema([("conv", pa.string()), ("gaps", pa.int64()), ("illegal", pa.int64()), ("audit", pa.string()), ("repaired_sha256", pa.string())])
+def _readings(batches: Iterator[pa.RecordBatch], begin: Callable[[str], Callable[[str, str, str], None]]) -> Iterator[Reading | None]:
+    """Readings of rows (conv, at, turn, role, text) in order of (conv, at), each as its last row is read; None after each batch.
 
-
-def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (conv, at, turn, role, text) in order of (conv, at); the row of ``at`` -1 has the audit as its text."""
-    now: _Repaired | None = None
+    The row of ``at`` -1 has the audit as its text.
+    """
+    now: Reading | None = None
     for b in batches:
-        out = []
         columns = (b.column(i).to_pylist() for i in range(4))
         for conv, at, turn, role, text in zip(*columns, b.column(4), strict=True):
             if at < 0:
                 if now is not None:
-                    out.append(now.done())
-                now = _Repaired(conv, text.as_py())
+                    yield now
+                now = Reading(conv, text.as_py(), begin(conv))
             else:
                 now.row(turn, role, text.as_py())
-        yield pa.RecordBatch.from_pylist([dict(zip(_REPAIRED.names, r, strict=True)) for r in out], schema=_REPAIRED)
+        yield None
     if now is not None:
-        yield pa.RecordBatch.from_pylist([dict(zip(_REPAIRED.names, now.done(), strict=True))], schema=_REPAIRED)
-
-
-def repair(spark: SparkSession, conversations: DataFrame, *, damage: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Per conversation the counts, the cost and the audit; and the rows the audits are of, (conv, _at, turn, role, text) in order.
-
-    damage: apply the contract's damage first.
-    """
-    stash = Stash(spark, "repair")
-    rows = damaged(conversations) if damage else damaged(conversations.limit(0)).unionByName(_as_given(conversations))
-    rows = turns.sequenced(stash, rows, "conv", ["turn", "was", "head", "digest", "copy"], "rows").drop("was", "head", "digest", "copy")
-    held = turns.runs(rows, "conv").select("conv", "_part", "_shift", F.col("_n").alias("size"))
-    seen = faults(rows).withColumn("_part", turns.part()).join(held, ["conv", "_part"]).withColumn("place", F.col("_at") + F.col("_shift"))
-    count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
-    units = seen.groupBy("conv", F.expr(f"place div {SEGMENT}").alias("seg")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]), "").alias("codes"), F.expr(f"(max(size) + {SEGMENT - 1}) div {SEGMENT}").alias("segs"),
-        *(count(c) for c in ("blank", "duplicate", "truncated")))
-    units = stash.put(units, "units")
-    counts = units.groupBy("conv").agg(*(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = units.select("conv", "seg", "codes").repartition(n, "conv", "seg").mapInArrow(solve, FIELDS)
-    parts = stash.put(parts.join(units.select("conv", "seg", "segs"), ["conv", "seg"]), "solved")
-    most = units.agg(F.max("segs")).first()[0] or 1
-    closed = joined(parts, most, stash)
-    extra = F.create_map(*(F.lit(x) for s, (c, _) in CLOSING.items() for x in (s, c)))[F.col("state")]
-    tail = F.create_map(*(F.lit(x) for s, (_, a) in CLOSING.items() for x in (s, a)))[F.col("state")]
-    best = stash.put(_best(closed.select("conv", (F.col("cost") + extra).alias("cost"), F.concat("audit", tail).alias("audit")), "conv"), "audits")
-    none = lambda kind: F.lit(None).cast(kind)
-    stream = best.select("conv", F.lit(-1).cast("long").alias("at"), none("long").alias("turn"), none("string").alias("role"), F.col("audit").alias("text"))
-    stream = stream.unionByName(rows.select("conv", F.col("_at").alias("at"), "turn", "role", "text"))
-    read = stream.repartition(n, "conv").sortWithinPartitions("conv", "at").mapInArrow(_repaired, "conv string, gaps long, illegal long, audit string, repaired_sha256 string")
-    return read.join(best.select("conv", "cost"), "conv").join(counts, "conv"), rows
-
-
-def _as_given(conversations: DataFrame) -> DataFrame:
-    """The rows without damage, in the form of ``damaged``."""
-    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
-    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(" ")).alias("conv"), F.col("turn").cast("long").alias("turn"), space("role").alias("role"), space("text").alias("text"))
-    return rows.withColumn("was", F.col("role")).withColumn("head", F.substring("text", 1, 100)).withColumn("digest", F.sha2("text", 256)).withColumn("copy", F.lit(0))
+        yield now
+    yield None
+
+
+_DIGESTS = pa.schema([("conv", pa.string()), ("gaps", pa.int64()), ("illegal", pa.int64()), ("audit", pa.string()), ("repaired_sha256", pa.string())])
+_TURNS = pa.schema([("conv", pa.string()), ("nth", pa.int64()), ("edit", pa.string()), ("role", pa.string()), ("text", pa.string())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a conversation; the repaired text is hashed as it comes."""
+    sha, lines, out = hashlib.sha256(), 0, []
+
+    def begin(conv: str) -> Callable[[str, str, str], None]:
+        nonlocal sha, lines
+        sha, lines = hashlib.sha256(), 0
+        return say
+
+    def say(edit: str, role: str, text: str) -> None:
+        nonlocal lines
+        sha.update((("\n" if lines else "") + f"{role}:{text}").encode())
+        lines += 1
+
+    for r in _readings(batches, begin):
+        if r is None:
+            yield pa.RecordBatch.from_pylist(out, schema=_DIGESTS)
+            out = []
+            continue
+        gaps, illegal = r.counts()
+        out.append({"conv": r.conv, "gaps": gaps, "illegal": illegal, "audit": r.audit, "repaired_sha256": sha.hexdigest()})
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repaired turns."""
+    out, nth = [], 0
+
+    def begin(conv: str) -> Callable[[str, str, str], None]:
+        nonlocal nth
+        nth = 0
+
+        def say(edit: str, role: str, text: str) -> None:
+            nonlocal nth
+            out.append({"conv": conv, "nth": nth, "edit": edit, "role": role, "text": text})
+            nth += 1
+
+        return say
+
+    for r in _readings(batches, begin):
+        if r is not None:
+            r.counts()
+        else:
+            yield pa.RecordBatch.from_pylist(out, schema=_TURNS)
+            out.clear()
+
+
+class Repair:
+    """The audits of ``conversations`` (conv_id, turn, role, text), and what follows from them. damage: apply the contract's damage first."""
+
+    def __init__(self, spark: SparkSession, conversations: DataFrame, *, damage: bool = False):
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        stash = Stash(spark, "repair")
+        rows = damaged(conversations) if damage else given(conversations)
+        self.rows = turns.sequenced(stash, rows, "conv", ["turn", "was", "head", "digest", "copy"], "rows").drop("was", "head", "digest", "copy")
+        held = turns.runs(self.rows, "conv").select("conv", "_part", "_shift", F.col("_n").alias("size"))
+        seen = faults(self.rows).withColumn("_part", turns.part()).join(held, ["conv", "_part"]).withColumn("place", F.col("_at") + F.col("_shift"))
+        count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+        units = seen.groupBy("conv", F.expr(f"place div {SEGMENT}").alias("seg")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]), "").alias("codes"), F.expr(f"(max(size) + {SEGMENT - 1}) div {SEGMENT}").alias("segs"),
+            *(count(c) for c in ("blank", "duplicate", "truncated")))
+        units = stash.put(units, "units")
+        solved = units.select("conv", "seg", "codes").repartition(self.parts, "conv", "seg").mapInArrow(solve, FIELDS)
+        solved = stash.put(solved.join(units.select("conv", "seg", "segs"), ["conv", "seg"]), "solved")
+        closed = joined(solved, units.agg(F.max("segs")).first()[0] or 1, stash)
+        closing = lambda i: F.create_map(*(F.lit(x) for s, pair in CLOSING.items() for x in (s, pair[i])))[F.col("state")]
+        #: (conv, cost, audit)
+        self.audits = stash.put(_best(closed.select("conv", (F.col("cost") + closing(0)).alias("cost"), F.concat("audit", closing(1)).alias("audit")), "conv"), "audits")
+        #: (conv, blank, duplicate, truncated)
+        self.faults = units.groupBy("conv").agg(*(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")))
+
+    def _read(self, run: Callable, schema: pa.Schema) -> DataFrame:
+        none = lambda kind: F.lit(None).cast(kind)
+        stream = self.audits.select("conv", F.lit(-1).cast("long").alias("at"), none("long").alias("turn"), none("string").alias("role"), F.col("audit").alias("text"))
+        stream = stream.unionByName(self.rows.select("conv", F.col("_at").alias("at"), "turn", "role", "text"))
+        fields = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)
+        return stream.repartition(self.parts, "conv").sortWithinPartitions("conv", "at").mapInArrow(run, fields)
+
+    def digests(self) -> DataFrame:
+        """(conv, gaps, illegal, audit, repaired_sha256)."""
+        return self._read(_digests, _DIGESTS)
+
+    def repaired(self) -> DataFrame:
+        """The repaired turns: (conv_id, nth, edit, role, text)."""
+        return self._read(_turns, _TURNS).select(number("conv"), "nth", "edit", "role", "text")
+
+
+def number(conv: str) -> F.Column:
+    """The conv_id that a key stands for."""
+    return F.when(F.col(conv) != " ", F.col(conv).cast("long")).alias("conv_id")
+
+
+def audit_damaged(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """The contract's row for every conversation of ``table`` (conv_id, turn, role, text)."""
+    done = Repair(spark, table, damage=True)
+    found = done.digests().join(done.audits.select("conv", "cost"), "conv").join(done.faults, "conv")
+    every = given(table).select("conv").distinct()
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conv", "left").select(number("conv"), *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return damaged_and_repaired(spark, table)
-
-
-def damaged_and_repaired(spark: SparkSession, table: DataFrame) -> DataFrame:
-    """The contract's row for every conversation of ``table`` (conv_id, turn, role, text)."""
-    found, _ = repair(spark, table)
-    every = table.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(" ")).alias("conv")).distinct()
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
-    conv = F.when(F.col("conv") != " ", F.col("conv").cast("long")).alias("conv_id")
-    return every.join(found, "conv", "left").select(conv, *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+    return audit_damaged(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 QUERIES = {"op13_conversation_repair": op13_conversation_repair}

@@ -37,13 +37,13 @@ LANES = 4
 NO_MEMBERS = hashlib.sha256(b"").hexdigest()
 
 
-def rebuilt(spark: SparkSession, conversations: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """(conv, pos, turn digest, chars) of the rebuilt conversations, and (conv, size) of all of them."""
+def rebuilt(conversations: DataFrame, stash: Stash, *, share: int) -> tuple[DataFrame, DataFrame]:
+    """(conv, pos, said, chars) of the rebuilt conversations, said: a turn's digest; and (conv, size) of all of them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.substring(text, 1, 100).alias("head"), F.sha2(text, 256).alias("digest"), F.length(text).cast("long").alias("chars"))
     rows = turns.sequenced(stash, rows.where("conv is not null"), "conv", ["turn", "role", "head", "digest"], "turns")
     held = turns.runs(rows, "conv")
-    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(SHARE))
+    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(share))
     convs = held.select("conv", "_n").distinct().withColumn("h", h).withColumn("first", F.expr(f"conv - conv % {HUNDRED}"))
     convs = convs.join(convs.select(F.col("conv").alias("first"), F.col("_n").alias("_has")), "first", "left").withColumn("shared", F.least("h", F.coalesce("_has", F.lit(0))))
     convs = stash.put(convs.select("conv", "first", "h", "shared", (F.col("shared") + F.greatest(F.col("_n") - F.col("h"), F.lit(0))).alias("size")), "convs")
@@ -52,7 +52,7 @@ def rebuilt(spark: SparkSession, conversations: DataFrame, stash: Stash) -> tupl
     where = held.join(convs.select("conv", "h", "shared"), "conv").select("conv", "_part", "_shift", "h", "shared")
     own = rows.withColumn("_part", turns.part()).join(where, ["conv", "_part"]).withColumn("place", F.col("_at") + F.col("_shift"))
     own = stash.put(own.select("conv", "place", "h", "shared", said, "chars"), "placed")
-    openings = own.where(F.col("place") < SHARE - 1).select(F.col("conv").alias("first"), F.col("place").alias("pos"), "said", "chars")
+    openings = own.where(F.col("place") < share - 1).select(F.col("conv").alias("first"), F.col("place").alias("pos"), "said", "chars")
     openings = convs.join(openings, "first").where(F.col("pos") < F.col("h")).select("conv", "pos", "said", "chars")
     rest = own.where("place >= h").select("conv", (F.col("shared") + F.col("place") - F.col("h")).alias("pos"), "said", "chars")
     return openings.unionByName(rest), convs.select("conv", "size")
@@ -137,10 +137,13 @@ def roll_up(nodes: DataFrame, known: DataFrame, columns: list[str], deepest: int
     return nodes
 
 
-def prefix_trie(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """A row for each distinct sequence of first turns of ``conversations`` (conv_id, turn, role, text), rebuilt."""
+def prefix_trie(spark: SparkSession, conversations: DataFrame, *, share: int = 1) -> DataFrame:
+    """A row for each distinct sequence of first turns of ``conversations`` (conv_id, turn, role, text).
+
+    share: conversations are rebuilt with up to share - 1 turns of the first one of their hundred; 1: as they stand.
+    """
     stash = Stash(spark, "trie")
-    rows, convs = rebuilt(spark, conversations, stash)
+    rows, convs = rebuilt(conversations, stash, share=share)
     known = stash.put(prefixes(rows, convs), "prefixes")
     nodes = known.groupBy("key").agg(F.min("depth").alias("depth"), F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.min("chars").alias("chars"))
     above = known.select(F.col("conv").alias("conv_id"), (F.col("depth") + 1).alias("depth"), F.col("key").alias("parent"))
@@ -156,7 +159,7 @@ def prefix_trie(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"), share=SHARE)
 
 
 QUERIES = {"op11_prefix_trie": op11_prefix_trie}
