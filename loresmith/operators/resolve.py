@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loresmith.functions import lookups, names
+from loresmith.operators import strings
 
 
 def alias_map(static: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -31,14 +35,22 @@ def alias_map(static: DataFrame, registry: DataFrame | None = None) -> DataFrame
 def resolve(df: DataFrame, name: str, static: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Adds canonical: by the lower-case name, else its normal form, else the first spelling that holds it or that it holds.
 
-    The spellings are a fixed small table. Each distinct name is resolved once.
+    Each distinct name is resolved once; a few spellings go to every task,
+    and more meet the names through an index of grams.
     """
     aliases = alias_map(static) if aliases is None else aliases
     distinct = df.select(F.col(name).alias("_n")).distinct()
     low, form = F.lower("_n"), names.normalise(F.col("_n"))
     by = lambda k: aliases.select(F.col("alias").alias(f"_a{k}"), F.col("canonical").alias(f"_c{k}"))
     found = distinct.join(by(1), low == F.col("_a1"), "left").join(by(2), form == F.col("_a2"), "left")
-    part = found.where("_c1 is null and _c2 is null").select("_n").join(F.broadcast(static), F.contains(low, F.lower("variation")) | F.contains(F.lower("variation"), low))
+    rest = found.where("_c1 is null and _c2 is null").select("_n", low.alias("_low"))
+    spelled = static.select(F.lower("variation").alias("_v"), "canonical", "ord")
+    if strings.few(static, strings.FEW_HELD):
+        part = rest.join(F.broadcast(spelled), F.contains("_low", "_v") | F.contains("_v", "_low"))
+    else:
+        held = strings.holding(rest.select(F.col("_low").alias("needle")), spelled.select(F.col("_v").alias("hay"))).select(F.col("needle").alias("_low"), F.col("hay").alias("_v"))
+        holds = strings.holding(spelled.select(F.col("_v").alias("needle")), rest.select(F.col("_low").alias("hay"))).select(F.col("hay").alias("_low"), F.col("needle").alias("_v"))
+        part = rest.join(held.unionByName(holds), "_low").join(spelled, "_v")
     part = part.groupBy("_n").agg(F.min_by("canonical", "ord").alias("_c3"))
     one = found.join(part, "_n", "left").select("_n", F.coalesce("_c1", "_c2", "_c3").alias("canonical"))
     return df.join(one, df[name].eqNullSafe(one["_n"]), "left").drop("_n")
@@ -57,6 +69,58 @@ def mentions(docs: DataFrame, text: str, aliases: list[tuple[str, str]]) -> Data
     return docs.withColumn("canonical", F.explode(F.array_compact(hits)))
 
 
+#: Characters of the spellings that go to every task as one automaton.
+AUTOMATON = 32_000_000
+
+
+def mentions_of(docs: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
+    """(docs' columns, canonical): ``mentions`` for a table of spellings (canonical, spelling), by one pass over each text.
+
+    Up to ``AUTOMATON`` characters of distinct spellings go to every task, which builds one automaton of them and runs each
+    text through it once, whatever their number. Beyond that texts and spellings meet through the index of grams.
+    Null texts and spellings mention nothing; an empty spelling stands in every text.
+    """
+    low = aliases.where("canonical is not null and spelling is not null").select(F.col("canonical").cast("string").alias("canonical"), F.lower("spelling").alias("spelling")).distinct()
+    size = low.agg(F.sum(F.length("spelling") + F.length("canonical") + 1)).first()[0] or 0
+    if size > AUTOMATON:
+        t = docs.select(F.lower(F.col(text)).alias("_low"))
+        met = strings.holding(low.select(F.col("spelling").alias("needle")), t.select(F.col("_low").alias("hay")))
+        found = met.join(low, met["needle"] == low["spelling"]).select(F.col("hay").alias("_low"), "canonical").distinct()
+        return docs.withColumn("_low", F.lower(F.col(text))).join(found, "_low").drop("_low")
+    spark = docs.sparkSession
+    names_, by = [], {}
+    for canonical, spelling in sorted(map(tuple, low.collect())):
+        if not names_ or names_[-1] != canonical:
+            names_.append(canonical)
+        by.setdefault(spelling, []).append(len(names_) - 1)
+    sent = spark.sparkContext.broadcast((names_, by))
+
+    @F.pandas_udf("array<string>")
+    def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        known, places = sent.value
+        machine, always = ahocorasick.Automaton(), places.get("", [])
+        for spelling, which in places.items():
+            if spelling:
+                machine.add_word(spelling, which)
+        machine.make_automaton()
+
+        def of(t: str | None) -> list[str]:
+            if t is None:
+                return []
+            found = set(always)
+            if len(machine):
+                for _, which in machine.iter(t):
+                    found.update(which)
+            return [known[i] for i in sorted(found)]
+
+        for some in texts:
+            yield some.map(of)
+
+    return docs.withColumn("canonical", F.explode(hits(F.lower(F.col(text)))))
+
+
 def match_services(queries: DataFrame, services: DataFrame, static: DataFrame) -> DataFrame:
     """(query, canonical, service_name, category): the first registry row of each query's canonical name.
 

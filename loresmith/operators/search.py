@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loresmith.functions import lookups, names
+from loresmith.operators import strings
 
 MATCH, SUGGEST = 0.3, 0.2
 
@@ -16,21 +17,23 @@ def entry_index(entries: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(queries: DataFrame, entries: DataFrame, *, threshold: float = MATCH) -> DataFrame:
-    """(query, name, category, ord, similarity, match_type) of pairs at the threshold.
+    """(query, name, category, ord, similarity, match_type) of pairs at the threshold (over 0).
 
-    A pair whose lengths differ too much for its edit distance is skipped before the distance is
-    computed, unless one name holds the other. ``queries`` is what a user asks at once; the entries
-    stream past it.
+    A few questions go to every task, and the entries stream past them; a table of them meets the entries by shared
+    grams (``strings.similar``). Distinct normal forms are compared, and names follow their forms.
     """
-    e = entry_index(entries).withColumn("_e", names.normalise(F.col("name")))
-    q = queries.select("query").distinct().withColumn("_q", names.normalise(F.col("query")))
-    x, y = F.col("_q"), F.col("_e")
-    longest = F.greatest(F.length(x), F.length(y))
-    near = F.contains(x, y) | F.contains(y, x) | (F.abs(F.length(x) - F.length(y)) <= (1 - threshold) * longest + 1e-9)
-    pairs = e.join(q, near)
-    s = F.round(F.when(x == y, F.lit(1.0)).when(F.contains(x, y) | F.contains(y, x), F.lit(0.8)).otherwise(1 - F.levenshtein(x, y) / longest), 6)
+    e = entry_index(entries).withColumn("y", names.normalise(F.col("name")))
+    q = queries.where("query is not null").select("query").distinct().withColumn("x", names.normalise(F.col("query")))
+    if strings.few(queries, strings.FEW):
+        x, y = F.col("x"), F.col("y")
+        longest, part = F.greatest(F.length(x), F.length(y)), F.contains(x, y) | F.contains(y, x)
+        met = e.join(F.broadcast(q), part | (F.abs(F.length(x) - F.length(y)) <= (1 - threshold) * longest + 1e-9))
+        s = F.round(F.when(x == y, F.lit(1.0)).when(part, F.lit(0.8)).otherwise(1 - F.levenshtein(x, y) / longest), 6)
+        pairs = met.withColumn("similarity", s).where(F.col("similarity") >= threshold)
+    else:
+        pairs = q.join(strings.similar(q.select("x"), e.select("y"), threshold), "x").join(e, "y")
     kind = F.when(F.col("similarity") == 1, "exact").when(F.col("similarity") >= 0.8, "close").otherwise("fuzzy")
-    return pairs.withColumn("similarity", s).where(F.col("similarity") >= threshold).select("query", "name", "category", "ord", "similarity", kind.alias("match_type"))
+    return pairs.select("query", "name", "category", "ord", "similarity", kind.alias("match_type"))
 
 
 def top_matches(queries: DataFrame, entries: DataFrame, k: int = 5, threshold: float = MATCH) -> DataFrame:
@@ -90,7 +93,11 @@ def context_lengths(models: DataFrame, known: DataFrame) -> DataFrame:
     """
     exact = known.groupBy("model_id").agg(F.max_by("context_length", "ord").alias("_x")).withColumnRenamed("model_id", "_id")
     distinct = models.select("model").distinct()
-    part = distinct.join(known, F.contains("model_id", "model") | F.col("model_id").endswith(F.concat(F.lit("/"), F.col("model"))))
+    if strings.few(known, strings.FEW_HELD):
+        part = distinct.join(F.broadcast(known), F.contains("model_id", "model"))
+    else:
+        held = strings.holding(distinct.select(F.col("model").alias("needle")), known.select(F.col("model_id").alias("hay")))
+        part = held.join(known, held["hay"] == known["model_id"]).withColumnRenamed("needle", "model")
     part = part.groupBy("model").agg(F.min_by("context_length", "ord").alias("_p"))
     one = distinct.join(exact, F.col("model") == F.col("_id"), "left").join(part, "model", "left")
     return models.join(one.select("model", F.coalesce("_x", "_p", names.context_length(F.col("model"))).cast("long").alias("context_length")), "model")

@@ -10,7 +10,7 @@ from loresmith.operators import extract, incremental, merge, render, search, val
 from loresmith.plans import sql as S
 from loresmith.plans.catalogue import query
 from loresmith.sources import shared, tables
-from loresmith.streaming import polls
+from loresmith.streaming import polls, state
 
 AS_OF = "2024-02-01 00:00:00"
 DAY = "2024-02-01"
@@ -143,6 +143,32 @@ def best_match(spark, d):
     return search.best_match(_asked(spark), tables.services(spark, d))
 
 
+@query(
+    "fuzzy_join",
+    f"""{"WITH " + S.SERVICES}, entries AS (SELECT name, min(ord) AS ord, arg_min(category, ord) AS category FROM services GROUP BY name), q AS (SELECT DISTINCT replace(p_name, 'i', 'y') || CASE p_size % 3 WHEN 0 THEN 's' ELSE '' END AS query FROM part),
+    f AS (SELECT query, name, category, ord, round({S.similarity('query', 'name')}, 6) AS similarity FROM q CROSS JOIN entries) SELECT *, {_TYPE} FROM f WHERE similarity >= 0.6""",
+)
+def fuzzy_join(spark, d):
+    """Misspelt names of a table with the entries of a table, at 0.6, through the index of grams."""
+    q = tables.table(spark, d, "part").select(F.concat(F.replace("p_name", F.lit("i"), F.lit("y")), F.when(F.col("p_size") % 3 == 0, "s").otherwise("")).alias("query")).distinct()
+    return search.fuzzy_matches(q, tables.services(spark, d), threshold=0.6)
+
+
+@query(
+    "context_join",
+    f"""WITH k AS (SELECT p_partkey AS ord, lower(p_brand) || '/' || replace(p_name, ' ', '-') || '-' || p_size AS model_id, CAST(1000 + p_size AS BIGINT) AS context_length FROM part),
+    m AS (SELECT DISTINCT replace(p_name, ' ', '-') AS model FROM part UNION SELECT DISTINCT replace(p_name, ' ', '-') || '-' || p_size FROM part UNION SELECT lower(p_type) FROM part)
+    SELECT model, CAST(coalesce((SELECT arg_max(context_length, ord) FROM k WHERE model_id = model), (SELECT arg_min(context_length, ord) FROM k WHERE contains(model_id, model)), {S.first_rule('lower(model)', [(n, w) for w, n in L.CONTEXT_DEFAULTS], '8192')}) AS BIGINT) AS context_length FROM m""",
+)
+def context_join(spark, d):
+    """Lengths of models whose names stand within the ids of a table."""
+    p = tables.table(spark, d, "part")
+    named = F.replace("p_name", F.lit(" "), F.lit("-"))
+    known = p.select(F.col("p_partkey").alias("ord"), F.concat(F.lower("p_brand"), F.lit("/"), named, F.lit("-"), F.col("p_size").cast("string")).alias("model_id"), (F.col("p_size") + 1000).alias("context_length"))
+    models = p.select(named.alias("model")).union(p.select(F.concat(named, F.lit("-"), F.col("p_size").cast("string")))).union(p.select(F.lower("p_type"))).distinct()
+    return search.context_lengths(models, known).select("model", "context_length")
+
+
 @query("substring_search", f"WITH {_E} SELECT name, ord, category FROM entries WHERE contains(lower(name), 'ri') ORDER BY category, name LIMIT 10")
 def substring_search(spark, d):
     return search.substring(tables.services(spark, d), "RI")
@@ -435,3 +461,18 @@ def stream_upsert(spark, d):
     return polls.read_log(spark, f"{out}/log").select("service_key", "total")
 
 
+@query(
+    "stream_last_scraped",
+    """WITH RECURSIVE e AS (SELECT 'src' || user_id AS source, ts FROM events), due(source, ts, n) AS (
+      SELECT source, min(ts), 0 FROM e GROUP BY source
+      UNION ALL
+      SELECT d.source, min(e.ts), d.n + 1 FROM due d JOIN e ON e.source = d.source AND e.ts - d.ts > INTERVAL 24 HOURS GROUP BY d.source, d.n)
+    SELECT source, count(*) AS n_due, count(*) FILTER (WHERE n = 0) AS n_first, min(ts) AS earliest, max(ts) AS latest FROM due GROUP BY source""",
+)
+def stream_last_scraped(spark, d):
+    """Every event asks for its user's source; a source is scraped at most once a day. Without expiry no source is new twice."""
+    out = _folder(spark)
+    asked = _events_stream(spark, d).select(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("source"), "ts")
+    state.run_due(spark, asked, f"{out}/table", f"{out}/state", delay="60 days")
+    due = spark.read.schema(state.DUE).parquet(f"{out}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return due.groupBy("source").agg(F.count(F.lit(1)).alias("n_due"), F.count_if("first").alias("n_first"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))

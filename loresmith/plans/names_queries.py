@@ -229,3 +229,48 @@ def query_plan_topn(spark, d):
 @query("query_summary", f"SELECT priority, category, pattern_type, count(*) AS n, count(DISTINCT service) AS n_services FROM ({_plan_sql(210, True)}) GROUP BY GROUPING SETS ((priority), (category), (pattern_type))")
 def query_summary(spark, d):
     return registry.query_summary(query_plan_all_patterns(spark, d))
+
+
+# --- both sides from tables
+
+_SPELLED = """spelled AS (SELECT regexp_replace(p_name, '[^a-z0-9]', '', 'g') AS canonical, p_name AS variation, min(p_partkey) AS ord FROM part GROUP BY ALL
+      UNION ALL SELECT regexp_replace(p_name, '[^a-z0-9]', '', 'g'), p_name || ' ' || p_size, 1000000000 + min(p_partkey) FROM part GROUP BY ALL
+      UNION ALL SELECT 'brand' || substr(p_brand, 7), p_brand, 2000000000 + min(p_partkey) FROM part GROUP BY ALL)"""
+
+
+def _spelled(spark, d):
+    """(ord, canonical, variation) of every part's name, of its name with its size, and of its brand."""
+    p = tables.table(spark, d, "part")
+    form = F.regexp_replace("p_name", "[^a-z0-9]", "")
+    forms = (form, F.col("p_name")), (form, F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))), (F.concat(F.lit("brand"), F.substring("p_brand", 7, 9)), F.col("p_brand"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), c.alias("canonical"), v.alias("variation")) for i, (c, v) in enumerate(forms)))).alias("s")
+    rows = p.select("p_partkey", each).groupBy("s").agg(F.min("p_partkey").alias("first"))
+    return rows.select((F.col("s.kind") * 1_000_000_000 + F.col("first")).alias("ord"), "s.canonical", "s.variation")
+
+
+@query(
+    "alias_resolve_tables",
+    f"""WITH {_SPELLED}, q AS (SELECT DISTINCT p_name || ' by ' || p_brand AS name FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer),
+    exact AS (SELECT lower(variation) AS alias, canonical, ord * 4 AS pos FROM spelled UNION ALL SELECT {S.normal('variation')}, canonical, ord * 4 + 1 FROM spelled), aliases AS (SELECT alias, arg_max(canonical, pos) AS canonical FROM exact GROUP BY alias)
+    SELECT name, coalesce((SELECT canonical FROM aliases WHERE alias = lower(name)), (SELECT canonical FROM aliases WHERE alias = {S.normal('name')}),
+      (SELECT arg_min(canonical, ord) FROM spelled WHERE contains(lower(name), lower(variation)) OR contains(lower(variation), lower(name)))) AS canonical FROM q""",
+)
+def alias_resolve_tables(spark, d):
+    """Names that hold a spelling or that one holds, both from tables: they meet through the index of grams."""
+    p = tables.table(spark, d, "part")
+    q = p.select(F.concat("p_name", F.lit(" by "), "p_brand").alias("name")).union(p.select(F.split_part("p_name", F.lit(" "), F.lit(2))))
+    q = q.union(tables.table(spark, d, "supplier").select("s_name")).union(tables.table(spark, d, "customer").select("c_name")).distinct()
+    return resolve.resolve(q, "name", _spelled(spark, d)).select("name", "canonical")
+
+
+@query(
+    "mention_spellings",
+    """WITH named AS (SELECT DISTINCT p_name AS canonical FROM part), a AS (SELECT canonical, canonical AS spelling FROM named UNION SELECT canonical, unnest(string_split(canonical, ' ')) FROM named)
+    SELECT canonical, count(*) AS n_docs, sum(doc_id)::BIGINT AS ids FROM (SELECT DISTINCT doc_id, canonical FROM documents JOIN a ON contains(lower(text), lower(spelling))) GROUP BY canonical""",
+)
+def mention_spellings(spark, d):
+    """How many documents mention each part, by its name or a word of it: all spellings in one pass over each text."""
+    named = tables.table(spark, d, "part").select(F.col("p_name").alias("canonical")).distinct()
+    aliases = named.select("canonical", F.explode(F.array_append(F.split("canonical", " "), F.col("canonical"))).alias("spelling"))
+    found = resolve.mentions_of(tables.table(spark, d, "documents").select("doc_id", "text"), "text", aliases)
+    return found.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("ids"))
