@@ -4,10 +4,11 @@ Pages are dealt by ranges of (host, path, page_id), so that a page's neighbours
 its host stream past next to it, whatever share of all pages one host has; the first and last page
 of a range also go to the range beside it, as neighbours only. A page becomes blocks of text,
 each marked by the elements around it: page furniture (navigation, headers, footers, sidebars,
-notices, adverts, forms, reader comments), article, or neither. The blocks of a page and of its
-nearest pages are aligned by longest common subsequence; shared lines outside an article are
-the host's template and are deleted. Furniture goes whether shared or not; lines of an article
-stay even when another page repeats them.
+notices, adverts, forms, reader comments), article, or neither. Words of a class or id mark furniture only outside
+articles, and never an element that holds the page's article; within an article they make a block doubtful. The
+blocks of a page and of its nearest pages are aligned by longest common subsequence; shared lines outside an article,
+and shared doubtful ones, are the host's template and are deleted. Furniture goes whether shared or not; other lines of
+an article stay even when another page repeats them.
 
 Defined cases: a null or empty html has an empty text; null and unparsable URLs form a host of
 their own; equal (host, path) stand next to each other in page_id order and a repeated row is a page
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from loresmith.llm.store import partitions_for
 
-FURNITURE, PLAIN, ARTICLE = 0, 1, 2
+#: What a block is. DOUBTFUL: its class speaks against it, but it stands in an article.
+FURNITURE, PLAIN, ARTICLE, DOUBTFUL = range(4)
 #: Elements of HTML by what they do (fixed values).
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +45,10 @@ FURNITURE_WORDS = frozenset(
     "sidebar rail aside widget widgets footer header masthead topbar toolbar comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations newsletter subscribe signup login search pagination pager skip toc tags meta complementary contentinfo disclaimer".split()
 )
 ARTICLE_WORDS = frozenset("article entry post story main".split())
+#: Whole names of a class or id that mean adverts and reader comments within an article too.
+NEVER_ARTICLE = frozenset("ad ads advert adverts advertisement advertising sponsored comments commentlist comment-list comments-area reader-comments user-comments disqus disqus_thread newsletter cookie-notice share-buttons".split())
+#: Share of a block's characters in links from which a doubtful one is a menu.
+LINKED = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -51,51 +57,82 @@ _SPACE = re.compile(r"\s+")
 _MARKED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style)\b", re.I)
 
 
-def _mark(name: str, attrs: str, level: int) -> int:
-    """What an element makes of its content: FURNITURE, PLAIN or ARTICLE."""
+def _mark(name: str, attrs: str, level: int) -> tuple[int, bool]:
+    """What an element makes of its content (FURNITURE, PLAIN or ARTICLE), and whether its class or id speaks against that."""
     if level == FURNITURE or name in DROPPED:
-        return level if name == "header" and level == ARTICLE else FURNITURE
-    if attrs and _MARKED.search(attrs):
-        found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)}
-        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-            return FURNITURE
-        words = set(_WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-        if words & FURNITURE_WORDS and name not in ("body", "html", "article", "main"):
-            return FURNITURE
-        if words & ARTICLE_WORDS and name not in ("body", "html"):
-            return ARTICLE
-    return ARTICLE if name in ("article", "main") else level
+        return level if name == "header" and level == ARTICLE else FURNITURE, False
+    own = ARTICLE if name in ("article", "main") else level
+    if not attrs or not _MARKED.search(attrs):
+        return own, False
+    found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)}
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return FURNITURE, False
+    if name in ("body", "html", "article", "main"):
+        return own, False
+    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
+    if level == ARTICLE and not NEVER_ARTICLE.isdisjoint(names.split()):
+        return FURNITURE, False
+    words = set(_WORD.findall(names))
+    if words & FURNITURE_WORDS:
+        return own, True
+    return ARTICLE if words & ARTICLE_WORDS else own, False
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(mark, text) of every block with text, in page order; white space within a block is one space."""
-    out: list[tuple[int, str]] = []
+    """(mark, text) of every block with text, in page order; white space within a block is one space.
+
+    A class or id that speaks against an element outside articles makes it furniture, unless the page's articles are all
+    within such elements: then those that hold one are wrappers. Within an article it makes the blocks doubtful.
+    """
+    out: list[tuple[int, str, bool, tuple[int, ...]]] = []  # mark, text, mostly links, the elements spoken against that it is in
     parts: list[str] = []
     stack: list[tuple[str, int]] = [("", PLAIN)]
+    against: list[tuple[int, int]] = []  # (height on the stack, number) of open elements that are spoken against
+    holds: list[bool] = []  # by number: whether an article is in it
+    doubts: list[int] = []  # heights of those within an article
+    linked = links = 0  # open links; characters in links of the block so far
+
+    def say(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if links:
+            linked += len(text)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
+            raw = "".join(parts)
+            text = _SPACE.sub(" ", raw).strip()
             if text:
-                out.append((stack[-1][1], text))
+                mark = stack[-1][1]
+                out.append((DOUBTFUL if doubts and mark == ARTICLE else mark, text, linked >= LINKED * len(raw), tuple(k for _, k in against)))
             parts.clear()
+        linked = 0
 
     def close(to: int) -> None:
         """Close the open elements from ``to`` on."""
+        nonlocal links
         while len(stack) > to:
-            if stack[-1][0] in BLOCKS or stack[-1][1] != stack[-2][1]:
+            top = len(stack) - 1
+            edge = bool(against and against[-1][0] == top), bool(doubts and doubts[-1] == top)
+            if stack[-1][0] in BLOCKS or stack[-1][1] != stack[-2][1] or any(edge):
                 flush()
-            stack.pop()
+            if edge[0]:
+                against.pop()
+            if edge[1]:
+                doubts.pop()
+            if stack.pop()[0] == "a":
+                links -= 1
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            parts.append(entities.unescape(page[at:]))
+            say(entities.unescape(page[at:]))
             break
         if m.start() > at:
             text = page[at : m.start()]
-            parts.append(entities.unescape(text) if "&" in text else text)
+            say(entities.unescape(text) if "&" in text else text)
         at = m.end()
         if m[2] is None:
             continue
@@ -130,22 +167,38 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                         break
                 if stack[min(k, len(stack) - 1)][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                     break
-        level = _mark(name, m[3], stack[-1][1])
+        level, spoken = _mark(name, m[3], stack[-1][1])
         if name in VOID:
             if name == "hr":
                 flush()
             continue
-        if name in BLOCKS or level != stack[-1][1]:
+        if name in BLOCKS or level != stack[-1][1] or spoken:
             flush()
         if m[3].endswith("/") and name not in BLOCKS:
             continue
         stack.append((name, level))
+        if name == "a":
+            links += 1
+        if level == ARTICLE and name in ("article", "main"):
+            for _, k in against:
+                holds[k] = True
+        if spoken and level == ARTICLE:
+            doubts.append(len(stack) - 1)
+        elif spoken and level == PLAIN:
+            against.append((len(stack) - 1, len(holds)))
+            holds.append(False)
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
             at = end.start() if end else n
     close(1)
     flush()
-    return out
+    wrapped = not any(mark in (ARTICLE, DOUBTFUL) and not inside for mark, _, _, inside in out)
+    done = []
+    for mark, text, menu, inside in out:
+        if any(not (wrapped and holds[k]) for k in inside) or mark == DOUBTFUL and menu:
+            mark = FURNITURE
+        done.append((mark, text))
+    return done
 
 
 #: Bits of rows kept at once while two pages are aligned; beyond it the longer one is halved first.
@@ -212,19 +265,20 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> tuple[str, int]:
-    """The text of a page, given the blocks of the pages nearest to it by URL, and how many of its lines they share."""
+def main_text(blocks: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> tuple[str, int, int]:
+    """The text of a page, given the blocks of the pages nearest to it by URL, how many of its lines they share, and how many go for that."""
     lines = [t for _, t in blocks]
     shared: set[int] = set()
     for other in near:
         shared |= common(lines, [t for _, t in other])
-    return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark == ARTICLE or mark != FURNITURE and i not in shared), len(shared)
+    cut = {i for i in shared if blocks[i][0] in (PLAIN, DOUBTFUL)}
+    return "\n".join(t for i, (mark, t) in enumerate(blocks) if mark != FURNITURE and i not in cut), len(shared), len(cut)
 
 
 KEY = ["host", "path", "page_id"]
 #: Ranges to a partition; stored bytes of pages to a partition, and partitions at most (the driver meets 100 keys for each range).
 RANGES, PARTITION_BYTES, MOST_PARTITIONS = 2, 8_000_000, 10_000
-TEXTS = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_near long"
+TEXTS = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_cut long, n_near long"
 _LEAST = -(1 << 63)
 
 
@@ -249,7 +303,7 @@ def range_ends(keys: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    n_lines, n_shared, n_near: lines of the page, those that a neighbour shares, and neighbours compared.
+    n_lines, n_shared, n_cut, n_near: lines of the page, those that a neighbour shares, those deleted for that, and neighbours compared.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
@@ -280,12 +334,12 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
         def result(page, before, after):
             near = [q[2] for q in (before, after) if q is not None and q[3] == page[3]]
-            text, shared = main_text(page[2], near)
-            return page[0], page[1], text, len(text), len(page[2]), shared, len(near)
+            text, shared, cut = main_text(page[2], near)
+            return page[0], page[1], text, len(text), len(page[2]), shared, cut, len(near)
 
         def send(out):
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4)
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in TEXTS.split(", ")])
 
         before = page = None

@@ -652,8 +652,35 @@ def test_differencing_beside_articles():
     """A page with an article loses what its neighbours share outside it, and nothing else."""
     page = "<div>Site name</div><article class=teaser>Teaser</article><div>Body {0}</div><div>All about us</div><nav>Menu</nav>"
     a, b = (webpages.blocks_of(page.format(i)) for i in "ab")
-    assert webpages.main_text(a, [b]) == ("Teaser\nBody a", 4)
-    assert webpages.main_text(a, []) == ("Site name\nTeaser\nBody a\nAll about us", 0)
+    assert webpages.main_text(a, [b]) == ("Teaser\nBody a", 4, 2)
+    assert webpages.main_text(a, []) == ("Site name\nTeaser\nBody a\nAll about us", 0, 0)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content with-sidebar'><article><h1>T</h1><p>body</p></article><div class=sidebar>side</div></div>", "T\nbody"),
+        ("<article><h1>T</h1><section id='discussion'><h2>Discussion</h2><p>we found</p></section></article>", "T\nDiscussion\nwe found"),
+        ("<article><p class='notice'>Mind the gap</p><p>body</p></article>", "Mind the gap\nbody"),
+        ("<article><div class='article-header'><h1>T</h1></div><p>body</p></article>", "T\nbody"),
+        ("<main><div class='post'>body</div><div class='tags'><a href=x>one</a> <a href=y>two</a></div><div class='comments'>me too</div></main>", "body"),
+        ("<article>body</article><div class='related'><article>teaser</article></div><div class='ad'>Buy</div>", "body"),
+        ("<div id='page-header'><main>body <b class='alert'>now</b></main></div>", "body\nnow"),
+        ("<body class='sidebar'><p>all</p></body>", "all"),
+        ("<div class='promo'><p>buy</p><span>x</span></div><p>rest</p>", "rest"),
+        ("<article><p>a</p><aside>b</aside><nav>c</nav><footer>d</footer><div hidden>e</div></article>", "a"),
+    ],
+)
+def test_class_words_never_delete_an_article(page, text):
+    assert webpages.main_text(webpages.blocks_of(page), [])[0] == text
+
+
+def test_doubtful_lines_go_by_differencing():
+    """A class word within an article deletes what a neighbour repeats, and what it does not stays."""
+    page = "<article><p class='notice'>{0}</p><p>Same words</p><p>Body {1}</p></article>"
+    a, b, c = (webpages.blocks_of(page.format(*x)) for x in (("Sign up", "a"), ("Sign up", "b"), ("Wet paint", "c")))
+    assert webpages.main_text(a, [b]) == ("Same words\nBody a", 2, 1)
+    assert webpages.main_text(c, [b]) == ("Wet paint\nSame words\nBody c", 1, 0)
 
 
 def test_pages_are_compared(spark):
