@@ -441,13 +441,40 @@ def test_templates_generalise(spark):
         (7, "user alice logged in from host bravo near the gate today"), (8, "user carol logged in from host delta near the gate tonight"),
         (9, "user alice logged off at noon bravo while some rain fell outside"),
     ]
-    got = {r["doc_id"]: (r["text"], r["seen"]) for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), repeated="seen").collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("another thing", 1), 3: (rows[2][1], 0), 4: ("y", 1), 5: ("short", 0), 6: ("short", 1), 7: (rows[6][1], 0), 8: ("", 1), 9: (rows[8][1], 0)}
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("another thing", 1), 3: (rows[2][1], 0), 4: ("y", 1), 5: ("short", 0), 6: ("short", 0), 7: (rows[6][1], 0), 8: ("", 1), 9: (rows[8][1], 0)}
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("another thing", 1), 3: (rows[2][1], 0), 4: ("y", 1), 5: ("short", 0), 7: (rows[6][1], 0), 8: (rows[7][1], 0), 9: (rows[8][1], 0)}
+
+
+def test_tables_of_other_numbers_stay(spark):
+    """Documents go by equal lines alone: not for lines that differ in their numbers."""
+    table = lambda k: "\n".join(f"Row {i} has the value {k * i + 7} and the share {k} % of all" for i in range(8))
+    rows = [(1, table(3)), (2, table(5)), (3, table(3)), (4, table(3) + "\n\n" + table(5)), (5, table(5) + "\nand one more line that no other document has at all"), (6, None), (7, " \n"), (1, table(3))]
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect() if r["text"])
+    assert got == [(1, table(3)), (1, table(3)), (2, table(5)), (5, "and one more line that no other document has at all"), (7, " \n")]
 
 
 # --- chat
 
 
+def test_known_roles_and_their_rows_stand(spark):
+    """A row with a role is one turn of that role, word for word; one without is cut at its markers; a raw one always."""
+    rows = [
+        (1, 0, "user", "My setup is\nSystem: Linux\nModel: X200\nwhy does it fail?"), (1, 1, "assistant", "Try this.\nAnswer: 42"), (1, 2, "user", "User: hm\n\nA: b"), (1, 3, "assistant", "Q: so?"),
+        (2, 0, None, "User: hello\nthere\nAssistant: hi"), (2, 1, "assistant", "x"), (3, 0, "assistant", "a"), (3, 1, "assistant", "b"), (3, 2, "system", "Human: c"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"], r["turn"], r["part"], r["role"], r["text"]) for r in chat.format_conversations(spark, df).collect())
+    want = [(c, t, 0, role, text.strip()) for c, t, role, text in rows if role] + [(2, 0, 0, "user", "hello\nthere"), (2, 0, 1, "assistant", "hi")]
+    assert got == sorted(want)
+    long = [(1, 0, "user", "long\nUser: " * 3000), (1, 1, "assistant", "b")]
+    got = chat.format_conversations(spark, spark.createDataFrame(long, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["role"], r["text"]) for r in got) == sorted((role, text.strip()) for _, _, role, text in long)
+    raw = chat.parse_transcripts(spark.createDataFrame([(1, "User: a\nAssistant: b\nmore")], "conv_id long, text string"), chat.fit(df))
+    assert [(r["role"], r["text"]) for r in raw.orderBy("part").collect()] == [("user", "a"), ("assistant", "b\nmore")]
+
+
 def test_roles_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = chat.op6_transcript_roles(spark, d)
@@ -926,13 +953,12 @@ def test_pipeline_stages(spark, documents):
     c.register("documents", kept.select("doc_id", "text").toPandas())
     want = {i: t for i, _, t in c.sql(templates.ORACLES["op5_log_template_lines"]).fetchall()}
     before = {r["doc_id"]: r["text"] for r in kept.collect()}
-    masked = lambda line: tuple("<*>" if any(ch in "0123456789" for ch in w) else w for w in line.split())
     first: dict = {}
     for i in sorted(before):
         for line in before[i].split("\n"):
-            first.setdefault(masked(line), i)
-    stay = {i for i, t in want.items() if any(masked(x) and first[masked(x)] == i for x in t.split("\n"))}  # a line that no earlier document has
-    assert {r["doc_id"]: r["text"] for r in lined.collect()} == {i: t for i, t in want.items() if i in stay}
+            first.setdefault(line, i)
+    stay = {i for i, t in before.items() if any(x.split() and first[x] == i for x in t.split("\n"))}  # a line that no earlier document has
+    assert {r["doc_id"]: r["text"] for r in lined.collect()} == {i: t if t.split() else before[i] for i, t in want.items() if i in stay}
     texts = {r["doc_id"]: r["text"] for r in lined.collect()}
     stay = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, lined, DIR).collect()}
     groups = collections.defaultdict(set)
