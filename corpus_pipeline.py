@@ -32,14 +32,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; so do documents whose every line with a word stands in an earlier document.
+    """Recurring lines go; so do documents whose every line with a word stands word for word in an earlier document.
 
-    A null text stays null, a text without words stays as it is, an empty table gives no rows.
+    A document that would lose every line, but has some that stand nowhere else word for word, keeps its text. A null
+    text stays null, a text without words stays as it is, null doc_ids are one document before all others, rows of
+    equal doc_id and text are one document, an empty table gives no rows.
     """
-    dropped, seen, words = (_fresh(c, docs) for c in ("_dropped", "_seen", "_lines"))
-    with_words = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = templates.drop_recurring(docs.withColumn(words, F.coalesce(with_words, F.lit(0))), dropped=dropped, repeated=seen)
-    out = out.where((F.col(seen) == 0) | (F.col(seen) < F.col(words)))
+    dropped = _fresh("_dropped", docs)
+    out = templates.dedup_lines(docs, dropped=dropped)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
