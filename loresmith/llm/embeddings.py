@@ -1,7 +1,7 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
 Equal vectors of a label are one class with a multiplicity. On a bounded sample of classes
-(``SAMPLE``, those of the smallest hashed ids) principal axes and rotations are learned: each is a
+(``SAMPLE`` and ``SAMPLE_BYTES``, those of the smallest hashed ids) principal axes and rotations are learned: each is a
 random orthogonal matrix that alternates with the sign codes it gives until the codes are near the data.
 Codes are centred, and so balanced, if pairs at the threshold, made of the sample's vectors, then still have near
 codes (``RECALL``); where the vectors lie far to one side of the origin they would not, and planes
@@ -20,7 +20,8 @@ one point has, and none of its pairs is left out.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and
 rows with a null label or null vec_id, link with nothing; vectors of different length do not
-compare; a repeated row is one more vector; an empty table gives no rows; other columns are ignored.
+compare; a repeated row is one more vector, and a vec_id that stands with several vectors or labels names several; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from loresmith.llm.simhash import _spanning
 from loresmith.llm.store import Stash
 
 THRESHOLD = 0.93
-SAMPLE, ROUNDS, AXES, LEARNED, LONGEST = 20_000, 30, 64, 100, 4096
+SAMPLE, SAMPLE_BYTES, ROUNDS, AXES, LEARNED, LONGEST = 20_000, 64_000_000, 30, 64, 100, 4096
 RECALL, SIGMAS, LEAST_BITS, MOST_BITS, PER_POINT, BLOCK, SMALL, CONNECTED = 0.97, 2.0, 16, 30, 64, 2048, 64, 1_000_000
 
 
@@ -148,11 +149,12 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     finite = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     valid = F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
-    classes = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("times"))
-    classes = stash.put(classes, "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables, radius, reach = plan(largest, threshold)
-    seen = classes.where(F.size("v") <= LONGEST).orderBy(F.xxhash64("cid")).limit(sample).select("v").toPandas()["v"]
+    classes = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    classes = stash.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # numbers of their own: vec_ids may repeat
+    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.size("v") <= LONGEST, F.size("v"))).alias("dims")).agg(F.max("n"), F.max("dims")).first()
+    bits, tables, radius, reach = plan(sizes[0] or 0, threshold)
+    most = min(sample, SAMPLE_BYTES // (8 * (sizes[1] or 1)))
+    seen = classes.where(F.size("v") <= LONGEST).orderBy(F.xxhash64("least"), "cid").limit(most).select("v").toPandas()["v"]
     by_dims: dict[int, list] = {}
     for v in seen:
         by_dims.setdefault(len(v), []).append(np.asarray(v, float))
@@ -280,8 +282,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, threshold: float
     found = stash.put(both.mapInArrow(rerank, "cid long, n long, a long, b long"), "found")
     counts = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n"))
     roots = components(stash, found.where("a is not null").select("a", "b"))
-    named = classes.join(counts, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")
-    named = stash.put(named.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id")), "named")
+    rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").join(counts, "cid", "left")
+    named = stash.put(named.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id"), "named")
     good = rows.where("ok").join(named, ["label", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     rest = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return good.unionByName(rest)

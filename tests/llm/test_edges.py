@@ -107,3 +107,10 @@ def test_vectors(spark):
     linked = [r for r in got if r[1]]
     assert len(got) == len(rows) and linked == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
     assert embeddings.near_duplicates(spark, spark.createDataFrame([], kind)).count() == 0
+
+
+def test_vectors_of_one_id(spark):
+    """A vec_id that stands with several vectors or labels names several vectors."""
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.0, 1.0], "b"), (3, [1.0, 0.0], "b"), (0, [0.01, 1.0], "b")]
+    got = sorted(map(tuple, embeddings.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()))
+    assert got == [(0, 1, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 1, 0, False)]
