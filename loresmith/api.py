@@ -111,10 +111,7 @@ def discover(lists: DataFrame, ordinal: str = "pos") -> DataFrame:
 
 def run_extraction(posts: DataFrame, make: Callable[[], extract.Extractor], *, usable: int = 2396, base: int = 400) -> DataFrame:
     """Pack the posts of each service (service, post_id, title, content) and ask the extractor; write before reuse."""
-    p = posts.withColumn("cost", text.token_count(F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))))
-    packed = pack.pack_batches(p, key="service", order="post_id", usable=usable, base=base).select("service", "batch", "post_id").distinct()
-    b = packed.join(posts.select("service", "post_id", "title", "content"), ["service", "post_id"]).groupBy("service", "batch").agg(F.array_sort(F.collect_list(F.struct("post_id", "title", "content"))).alias("posts"))
-    return extract.extract(b, make)
+    return extract.extract(pack.asked(posts, usable=usable, base=base), make)
 
 
 def build_tree(results: DataFrame, day: str, services: DataFrame | None = None, static: DataFrame | None = None) -> DataFrame:

@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SCHEMA = "service string, batch int, problems array<string>, tips array<string>, cost_info array<string>, settings array<string>, batch_size int, error string"
 LISTS = ("problems", "tips", "cost_info", "settings")
@@ -133,3 +134,86 @@ def extract(batches: DataFrame, make: Callable[[], Extractor], *, limit: int | N
             yield pd.DataFrame(rows, columns=["service", "batch", *LISTS, "batch_size", "error"])
 
     return batches.select("service", F.col("batch").cast("int"), "posts").mapInPandas(run, SCHEMA)
+
+
+class Unanswered(RuntimeError):
+    """Prompts whose asking failed; what was answered is kept."""
+
+
+REPLIES = "prompt_md5 string, reply string, error string"
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    """The replies kept so far; none where nothing was written yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], REPLIES)
+    return spark.read.schema(REPLIES).parquet(path)
+
+
+def ask_missing(prompts: DataFrame, make: Callable[[], Extractor], path: str, *, rounds: int = 8, tries: int = 3) -> int:
+    """Ask what is not in the table of replies yet, and keep the answers; how many prompts were asked.
+
+    prompts: (prompt). A distinct prompt is asked once, whoever repeats it; its MD5 is its key. They are asked in rounds by their keys, and each
+    round's answers are committed before the next, so a run that dies asks again what its last round asked at most. A
+    prompt whose asking fails is left out, the others of its round are kept, and ``Unanswered`` is raised at the end.
+    """
+    spark, asked, failed = prompts.sparkSession, 0, 0
+    keyed = prompts.where("prompt is not null").select("prompt").distinct().withColumn("prompt_md5", F.md5(F.col("prompt").cast("binary")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        extractor = make()
+        for f in frames:
+            rows = []
+            for key, prompt in zip(f["prompt_md5"], f["prompt"], strict=True):
+                try:
+                    said = next((r for r in (extractor(prompt) for _ in range(tries)) if reply_json(r) is not None), None)
+                    rows.append((key, said, None if said is not None else "no JSON in the reply"))
+                except Exception as e:
+                    rows.append((key, None, f"failed: {e}"))
+            yield pd.DataFrame(rows, columns=["prompt_md5", "reply", "error"])
+
+    for k in range(rounds):
+        own = keyed.where(F.pmod(F.xxhash64("prompt_md5"), F.lit(rounds)) == k).join(_kept(spark, path).select("prompt_md5"), "prompt_md5", "left_anti")
+        found = own.select("prompt_md5", "prompt").mapInPandas(run, REPLIES)
+        done = f"{path}-round-{k}"
+        found.write.mode("overwrite").parquet(done)  # asked once: what follows reads the answers
+        answers = spark.read.schema(REPLIES).parquet(done)
+        bad = F.coalesce(F.col("error").startswith("failed: "), F.lit(False))
+        counts = answers.agg(F.count(F.lit(1)), F.count_if(bad)).first()
+        asked, failed = asked + counts[0], failed + counts[1]
+        answers.where(~bad).write.mode("append").parquet(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(done)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if failed:
+        raise Unanswered(f"{failed} of {asked} prompts; run again to ask them")
+    return asked
+
+
+def prompt_column(service: str, posts: str) -> Column:
+    """``prompt_of`` each batch."""
+
+    @F.pandas_udf(StringType())
+    def prompts(services: pd.Series, batches: pd.Series) -> pd.Series:
+        return pd.Series([prompt_of(s, [dict(p) for p in ps]) for s, ps in zip(services, batches, strict=True)])
+
+    return prompts(service, posts)
+
+
+def extract_resumable(batches: DataFrame, make: Callable[[], Extractor], path: str, *, rounds: int = 8) -> DataFrame:
+    """``extract`` with the replies kept at ``path``: a run after a failed one asks only what is missing, and the result may be read as often as wanted."""
+    prompted = batches.withColumn("prompt", prompt_column("service", "posts"))
+    ask_missing(prompted, make, path, rounds=rounds)
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for service, batch, size, reply, error in zip(f["service"], f["batch"], f["batch_size"], f["reply"], f["error"], strict=True):
+                v = (reply_json(reply) if reply else None) or {}
+                lists = {k: as_items(v.get(k)) for k in LISTS} | {"settings": as_items(v.get("settings") or v.get("setttings") or [])}
+                rows.append({"service": service, "batch": batch, "batch_size": size, "error": error} | lists)
+            yield pd.DataFrame(rows, columns=["service", "batch", *LISTS, "batch_size", "error"])
+
+    replies = _kept(batches.sparkSession, path).groupBy("prompt_md5").agg(F.first("reply").alias("reply"), F.first("error").alias("error"))
+    found = prompted.withColumn("prompt_md5", F.md5(F.col("prompt").cast("binary"))).join(replies, "prompt_md5")
+    return found.select("service", F.col("batch").cast("int"), F.size("posts").alias("batch_size"), "reply", "error").mapInPandas(parse, SCHEMA)

@@ -9,9 +9,10 @@ from loresmith.functions import text
 
 
 def latest(log: DataFrame, key: str = "service_key", ts: str = "ts") -> DataFrame:
-    """The log's newest row of each key."""
+    """The log's newest row of each key; of rows of one time the one whose other columns are greatest, left to right."""
     rest = [c for c in log.columns if c not in (key, ts)]
-    return log.groupBy(key).agg(F.max(ts).alias(ts), *(F.max_by(c, ts).alias(c) for c in rest))
+    last = log.groupBy(key).agg(F.max(F.struct(ts, *rest)).alias("_last"))
+    return last.select(key, *(F.col(f"_last.`{c}`").alias(c) for c in (ts, *rest)))
 
 
 def update_status(log: DataFrame, as_of: str) -> DataFrame:

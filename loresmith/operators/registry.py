@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loresmith.functions import lookups, names
+from loresmith.operators import ordered
+from loresmith.sources import shared
 
 
 def fold(services: DataFrame) -> DataFrame:
@@ -24,29 +26,33 @@ def fold(services: DataFrame) -> DataFrame:
 
 
 def fold_in_order(services: DataFrame) -> DataFrame:
-    """The fold where a name may be an earlier row's canonical name: aliases feed back in order.
+    """(low, canonical_name): the fold where a name may be an earlier row's canonical name, so that aliases feed back in order.
 
-    Names are first reduced to their distinct spellings with their first order, so what one task
-    sees is the registry's distinct names, not its rows. (name, canonical_name)
+    A spelling is its own canonical name if an earlier spelling, whose canonical name is not itself fed back, has it as
+    its stripped form; else its canonical name is its stripped form. Spellings point at those that strip to them; whoever
+    nobody points at is decided at once, and each round decides those all of whose pointers are, or one of whose pointers is not fed back. A
+    pointer is shorter by a word stripped, so rounds are the words that can be stripped in turn. Spellings are distinct with their first order;
+    null names are none.
     """
-    import re
-
-    import pandas as pd
-
-    spell = services.groupBy(F.lower("name").alias("low")).agg(F.min("ord").alias("ord")).withColumn("whole", F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, out = {}, []
-        for low in pdf.sort_values("ord")["low"]:
-            c = known.get(low)
-            if c is None:
-                c = re.sub("[^a-z0-9]", "", re.sub(r"\s*(ai|api|platform|tool|app|\.ai|\.io|\.com)$", "", low))
-                known.setdefault(low, c)
-                known.setdefault(c, c)
-            out.append((low, c))
-        return pd.DataFrame(out, columns=["low", "canonical_name"])
-
-    return spell.groupBy("whole").applyInPandas(run, "low string, canonical_name string")
+    spark, root = services.sparkSession, shared.folder(services.sparkSession, "registry")
+    spell = services.where("name is not null").groupBy(F.lower("name").alias("low")).agg(F.min("ord").alias("ord")).withColumn("c", names.canonical(F.col("low")))
+    spell = ordered.written(spark, spell, f"{root}/spellings")
+    pointers = spell.select(F.col("low").alias("by"), F.col("ord").alias("before"), F.col("c").alias("low")).join(spell.select("low", "ord"), "low").where("before < ord and by <> low").select("low", "by")
+    pointers = ordered.written(spark, pointers, f"{root}/pointers")
+    # fed: the spelling has a pointer that is not fed back; open: it has pointers, none of them decided so
+    fed = ordered.written(spark, spell.select("low").limit(0), f"{root}/fed0")
+    free = ordered.written(spark, spell.select("low").join(pointers, "low", "left_anti"), f"{root}/free0")  # not fed back
+    open_, k = ordered.written(spark, pointers.select("low").distinct(), f"{root}/open0"), 0
+    while not open_.isEmpty():
+        k += 1
+        waiting = pointers.join(open_, "low", "left_semi")
+        now = waiting.join(free.select(F.col("low").alias("by")), "by", "left_semi").select("low").distinct()
+        undecided = waiting.join(fed.select(F.col("low").alias("by")), "by", "left_anti").select("low").distinct()  # a pointer that may yet be free
+        fed = ordered.written(spark, fed.unionByName(now), f"{root}/fed{k}")
+        free = ordered.written(spark, free.unionByName(open_.join(undecided, "low", "left_anti")), f"{root}/free{k}")
+        open_ = ordered.written(spark, undecided.join(now, "low", "left_anti"), f"{root}/open{k}")
+    own = spell.join(fed.withColumn("_fed", F.lit(True)), "low", "left")
+    return own.select("low", F.when(F.col("_fed"), F.col("low")).otherwise(F.col("c")).alias("canonical_name"))
 
 
 def tiers(services: DataFrame, priority: tuple[str, ...] = lookups.PRIORITY_NAMES) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loresmith.functions import lookups as L
 from loresmith.functions import names, text
-from loresmith.operators import extract, incremental, merge, render, search, validate
+from loresmith.operators import extract, incremental, merge, pack, render, search, validate
 from loresmith.plans import sql as S
 from loresmith.plans.catalogue import query
 from loresmith.sources import shared, tables
@@ -100,12 +100,24 @@ def extraction_confidence(spark, d):
 @query("rule_extraction")
 def rule_extraction(spark, d):
     """The offline extractor over packed batches of every post."""
-    from loresmith.operators import pack
+    return extract.extract(pack.asked(tables.posts(spark, d).withColumnRenamed("community", "service"), usable=2000, base=100), extract.RuleExtractor)
 
-    p = tables.posts(spark, d)
-    packed = pack.pack_batches(p.select("post_id", F.col("community").alias("service"), "content", text.token_count(F.concat("title", "content")).alias("cost")), key="service", order="post_id", usable=2000, base=100)
-    b = packed.select("service", "batch", "post_id").join(p.select("post_id", "title", "content"), "post_id").groupBy("service", "batch").agg(F.array_sort(F.collect_list(F.struct("post_id", "title", "content"))).alias("posts"))
-    return extract.extract(b, extract.RuleExtractor)
+
+@query(
+    "resumed_extraction",
+    """WITH RECURSIVE p AS (SELECT source AS service, length(split_part(text, chr(10), 1) || substr(text, 1, 500)) // 4 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE source IS NOT NULL),
+    f(service, i, held, batches) AS (SELECT service, 0::BIGINT, 1000000::BIGINT, 0::BIGINT FROM p GROUP BY service
+      UNION ALL SELECT f.service, p.i, CASE WHEN held + cost <= 1900 THEN held + cost ELSE cost END, batches + CASE WHEN held + cost <= 1900 THEN 0 ELSE 1 END FROM f JOIN p ON p.service = f.service AND p.i = f.i + 1)
+    SELECT service, max(batches) AS n_batches, (SELECT count(*) FROM p x WHERE x.service = f.service) AS n_posts, 0::BIGINT AS asked_again FROM f GROUP BY service""",
+)
+def resumed_extraction(spark, d):
+    """Every post asked about once, in batches; a second run finds all replies kept and asks nothing."""
+    path = shared.folder(spark, "replies")
+    batches = pack.asked(tables.posts(spark, d).withColumnRenamed("community", "service"), usable=2000, base=100)
+    extract.extract_resumable(batches, extract.RuleExtractor, path, rounds=2)
+    again = extract.ask_missing(batches.withColumn("prompt", extract.prompt_column("service", "posts")), extract.RuleExtractor, path, rounds=1)
+    found = extract.extract_resumable(batches, extract.RuleExtractor, path, rounds=1)
+    return found.groupBy("service").agg(F.count(F.lit(1)).alias("n_batches"), F.sum("batch_size").alias("n_posts"), F.lit(again).cast("long").alias("asked_again"))
 
 
 # --- search

@@ -200,20 +200,48 @@ def headers(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(text.headers(md), "|").alias("heads"))
 
 
-@query(
-    "pack_batches",
-    f"""WITH RECURSIVE {S.POSTS}, p AS (SELECT community AS service, post_id, content, length(title || content) // 4 AS cost, row_number() OVER (PARTITION BY community ORDER BY post_id) AS i FROM posts),
+def _fold_sql(service):
+    return f"""WITH RECURSIVE {S.POSTS}, p AS (SELECT {service} AS service, post_id, content, length(title || content) // 4 AS cost, row_number() OVER (PARTITION BY {service} ORDER BY post_id) AS i FROM posts),
     f(service, i, held, is_open, next, batch, post_id, n_chars) AS (SELECT DISTINCT service, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM p
       UNION ALL SELECT f.service, p.i, CASE WHEN 100 + held + cost <= 1000 THEN held + cost WHEN cost <= 900 THEN cost ELSE 0 END, 100 + held + cost <= 1000 OR cost <= 900,
         CASE WHEN 100 + held + cost <= 1000 THEN next ELSE next + CAST(is_open AS INT) + CAST(cost > 900 AND content <> '' AS INT) END,
         CASE WHEN 100 + held + cost <= 1000 THEN next WHEN cost <= 900 OR content <> '' THEN next + CAST(is_open AS INT) END, p.post_id,
         length(content) + CAST(cost > 900 AND 100 + held + cost > 1000 AND NOT ends_with(content, '.') AS INT)
       FROM f JOIN p ON p.service = f.service AND p.i = f.i + 1)
-    SELECT service, CAST(batch AS INT) AS batch, post_id, n_chars FROM f WHERE batch IS NOT NULL""",
-)
+    SELECT service, CAST(batch AS INT) AS batch, post_id, n_chars FROM f WHERE batch IS NOT NULL"""
+
+
+def _costed(spark, d):
+    return tables.posts(spark, d).select("post_id", F.col("community").alias("service"), "content", text.token_count(F.concat("title", "content")).alias("cost"))
+
+
+@query("pack_batches", _fold_sql("community"))
 def pack_batches(spark, d):
-    p = tables.posts(spark, d).select("post_id", F.col("community").alias("service"), "content", text.token_count(F.concat("title", "content")).alias("cost"))
-    return pack.pack_batches(p, key="service", order="post_id", usable=1000, base=100)
+    return pack.pack_batches(_costed(spark, d), key="service", order="post_id", usable=1000, base=100).drop("content")
+
+
+@query("pack_one_service", _fold_sql("'all'"))
+def pack_one_service(spark, d):
+    """All posts as one service's: its batches begin where pointers lead, in logarithmic rounds over all tasks."""
+    p = _costed(spark, d).select(F.lit("all").alias("k"), F.col("post_id").alias("o"), "post_id", F.coalesce("content", F.lit("")).alias("content"), "cost")
+    return pack.fold_by_pointers(p, 1000, 100).select(F.col("k").alias("service"), "batch", "post_id", F.length("content").cast("long").alias("n_chars"))
+
+
+@query(
+    "divided_posts",
+    """WITH RECURSIVE big AS (SELECT doc_id, text, string_split(text, '. ') AS s FROM documents WHERE length(text) // 4 > 300 AND text <> ''),
+    f(doc_id, s, i, part, used, body) AS (SELECT doc_id, s, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR FROM big
+      UNION ALL SELECT doc_id, s, i + 1, part + CAST(over AND body IS NOT NULL AS INT), CASE WHEN over THEN n ELSE used + n END, CASE WHEN over OR body IS NULL THEN s[i + 1] ELSE body || '. ' || s[i + 1] END
+      FROM (SELECT *, (length(s[i + 1]) + 2) // 4 AS n, used + (length(s[i + 1]) + 2) // 4 > 100 AS over FROM f WHERE i < len(s))),
+    parts AS (SELECT doc_id, part, arg_max(body, i) AS body, max(i) = len(any_value(s)) AS last FROM f WHERE body IS NOT NULL GROUP BY doc_id, part)
+    SELECT doc_id AS post_id, part::INT AS batch, md5(CASE WHEN last AND ends_with(body, '.') THEN body ELSE body || '.' END) AS content_md5 FROM parts
+    UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) // 4 <= 300""",
+)
+def divided_posts(spark, d):
+    """Every document packed alone: those over the budget in parts of whole sentences, as an extractor is asked about them."""
+    docs = tables.table(spark, d, "documents").where("text is not null").select("doc_id", F.col("doc_id").alias("post_id"), F.col("text").alias("content"), text.token_count(F.col("text")).alias("cost"))
+    packed = pack.pack_batches(docs, key="doc_id", order="post_id", usable=400, base=100)
+    return packed.select("post_id", "batch", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @query(

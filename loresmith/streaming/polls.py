@@ -23,29 +23,39 @@ def every(df: DataFrame, path: str, checkpoint: str, hours: float = 6):
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{round(hours * 3600)} seconds").start()
 
 
-def upsert_log(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str, key: str = "service_key") -> None:
-    """Keep the newest row of each key: each micro-batch writes the next version of the log.
+#: Partitions of the update log: a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
-    A version is named by its batch, so a batch run again writes the same one; it reads the version
-    before, so only older ones are deleted.
+def upsert_into(spark: SparkSession, new: DataFrame, root: str, key: str = "service_key", buckets: int = BUCKETS) -> None:
+    """Put rows of distinct keys into the log: they replace those of their keys, and only the partitions of their keys are written.
+
+    A partition is named by its bucket of hashed keys and is replaced as a whole when the job commits. What is written
+    depends on the log and the rows alone, and putting the same rows again changes nothing, so a run that died
+    between two partitions is mended by the next try.
     """
+    new = new.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+    if _exists(spark, root):
+        hit = [r[0] for r in new.select("bucket").distinct().collect()]  # one number a bucket at most
+        old = spark.read.schema(new.schema).parquet(root).where(F.col("bucket").isin(hit))
+        new = incremental.upsert(old, new, key)
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
+
+
+def upsert_log(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str, key: str = "service_key") -> None:
+    """Keep the newest row of each key: each micro-batch replaces the rows of its keys in the log's partitions that hold them."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = incremental.latest(batch, key)
-        if n > 0:
-            new = incremental.upsert(spark.read.parquet(f"{root}/v{n - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{root}/v{n}")
-        if n > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{n - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        upsert_into(spark, incremental.latest(batch, key), root, key)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """The log's last version."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    versions = [s.getPath().getName() for s in path.getFileSystem(conf).listStatus(path)]
-    last = max(int(v[1:]) for v in versions if v[:1] == "v" and v[1:].isdigit())
-    return spark.read.parquet(f"{root}/v{last}")
+    """The log."""
+    return spark.read.parquet(root).drop("bucket")
