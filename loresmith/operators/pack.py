@@ -224,22 +224,24 @@ def overlap_texts(text: str, size: int, overlap: int, least: int) -> list[str]:
     return out
 
 
+def cut(text: str, kind: str, *, size: int, overlap: int = 500, least: int = 1000) -> list[str]:
+    """Chunks of one text by sentences, sections or boundaries."""
+    if kind == "sentences":
+        return sentence_chunks(text, size)
+    if kind == "sections":
+        return section_chunks(text, size)
+    found = boundary_chunks(text, size)
+    return overlap_texts(text, size, min(overlap, size - 1), least) if found is None else found
+
+
 def chunks(docs: DataFrame, kind: str, *, size: int, overlap: int = 500, least: int = 1000) -> DataFrame:
     """(doc_id, chunk_index, total_chunks, text) by sentences, sections or boundaries."""
 
-    def cut(text: str) -> list[str]:
-        if kind == "sentences":
-            return sentence_chunks(text, size)
-        if kind == "sections":
-            return section_chunks(text, size)
-        found = boundary_chunks(text, size)
-        return overlap_texts(text, size, overlap, least) if found is None else found
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for d, t in zip(f["doc_id"], f["text"], strict=True):
-                parts = cut(t or "")
+                parts = cut(t or "", kind, size=size, overlap=overlap, least=least)
                 rows += [(d, i, len(parts), p) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total_chunks", "text"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loresmith.functions import lookups as L
 from loresmith.functions import names, text
-from loresmith.operators import extract, incremental, merge, pack, render, search, validate
+from loresmith.operators import counters, extract, incremental, merge, pack, render, search, validate
 from loresmith.plans import sql as S
 from loresmith.plans.catalogue import query
 from loresmith.sources import shared, tables
@@ -434,6 +434,33 @@ def corpus_findings(spark, d):
     return validate.corpus_findings(_tree(spark, d), "2025-01-01 00:00:00")
 
 
+@query("entry_tree_sink", f"SELECT 'general' AS category, slug, file FROM ({_FILES_SQL})")
+def entry_tree_sink(spark, d):
+    """The tree, written by the executors under its files' own names and read again, where contents are as they were rendered."""
+    tree, root = _tree(spark, d), shared.folder(spark, "entries")
+    kept = render.publish(tree, root).select("category", "slug", "file", F.md5(F.col("content").cast("binary")).alias("md5"))
+    own = tree.select("category", "slug", "file", F.md5(F.col("content").cast("binary")).alias("md5"))
+    return kept.join(own, ["category", "slug", "file", "md5"]).select("category", "slug", "file")
+
+
+@query(
+    "observed_run",
+    """WITH RECURSIVE p AS (SELECT source AS service, length(split_part(text, chr(10), 1) || substr(text, 1, 500)) // 4 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE source IS NOT NULL),
+    f(service, i, held, batches) AS (SELECT service, 0::BIGINT, 1000000::BIGINT, 0::BIGINT FROM p GROUP BY service
+      UNION ALL SELECT f.service, p.i, CASE WHEN held + cost <= 1900 THEN held + cost ELSE cost END, batches + CASE WHEN held + cost <= 1900 THEN 0 ELSE 1 END FROM f JOIN p ON p.service = f.service AND p.i = f.i + 1)
+    SELECT (SELECT sum(n)::BIGINT FROM (SELECT max(batches) AS n FROM f GROUP BY service)) AS batches, (SELECT count(*) FROM p) AS posts, 0::BIGINT AS failed, count(*) AS asked FROM p""",
+)
+def observed_run(spark, d):
+    """Counters of a run, observed as its results and its posts are written, in the passes that write them."""
+    posts, root = tables.posts(spark, d).withColumnRenamed("community", "service").where("service is not null"), shared.folder(spark, "observed")
+    seen, done = counters.Counters("posts"), counters.Counters("results")
+    seen.on(posts, counters.status_metrics("post_id", "post_id")).write.parquet(f"{root}/posts")
+    batches = pack.asked(spark.read.parquet(f"{root}/posts"), usable=2000, base=100)
+    done.on(extract.extract(batches, extract.RuleExtractor), counters.run_metrics()).write.parquet(f"{root}/results")
+    run = done.get()
+    return spark.createDataFrame([(run["batches"], run["posts"], run["failed"], seen.get()["rows"])], "batches long, posts long, failed long, asked long")
+
+
 # --- streams
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loresmith.functions import lookups as L
+from loresmith.functions import chunk_tables, lookups as L
 from loresmith.functions import names, text
 from loresmith.operators import merge, pack
 from loresmith.plans import sql as S
@@ -189,9 +189,36 @@ def _chunks(kind, size, sql=None):
         return pack.chunks(parted, kind, size=size, overlap=200, least=500)
 
 
-_chunks("sentences", 1000, _fold(_SENTENCES, 1000, glue="' '", carry="CASE WHEN len(part) > 1 THEN [part[-1]] ELSE [] END", extra=0, whole="length(text) <= 1000"))
-_chunks("sections", 2000, _fold(_SECTIONS, 2000, glue="chr(10) || chr(10)", carry="CAST([] AS VARCHAR[])", extra=2, whole="FALSE", text="replace(text, chr(10), chr(10) || chr(10))"))
-_chunks("boundaries", 2000)
+_SENTENCE_FOLD = _fold(_SENTENCES, 1000, glue="' '", carry="CASE WHEN len(part) > 1 THEN [part[-1]] ELSE [] END", extra=0, whole="length(text) <= 1000")
+_SECTION_FOLD = _fold(_SECTIONS, 2000, glue="chr(10) || chr(10)", carry="CAST([] AS VARCHAR[])", extra=2, whole="FALSE", text="replace(text, chr(10), chr(10) || chr(10))")
+_MARKS = r"(\n---+\n|\n\n#{1,6}\s+|\n\n(?:```|~~~)|\n\n(?:\d+\.|\*|-)\s+|\n\n[\p{L}\p{N}_])"
+_BOUNDARY_FOLD = f"""
+  WITH RECURSIVE t AS (SELECT doc_id, text, string_split(regexp_replace(text, '{_MARKS}', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS l FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL)),
+  f(doc_id, i, cur, done) AS (SELECT doc_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM t WHERE len(l) > 1
+    UNION ALL SELECT f.doc_id, i + 1, CASE WHEN length(cur) + length(l[2 * i + 1]) > 2000 THEN '' ELSE coalesce(cur, '') END || l[2 * i + 1] || l[2 * i + 2], CASE WHEN length(cur) + length(l[2 * i + 1]) > 2000 THEN cur END
+    FROM f JOIN t ON t.doc_id = f.doc_id WHERE i < len(l) // 2),
+  c AS (SELECT doc_id, i, done AS text FROM f WHERE done IS NOT NULL
+    UNION ALL SELECT f.doc_id, max(i) + 1, arg_max(cur, i) || any_value(l[-1]) FROM f JOIN t ON t.doc_id = f.doc_id WHERE i > 0 GROUP BY f.doc_id
+    UNION ALL SELECT doc_id, k, CASE WHEN length(text) <= 2000 OR length(text) - 1800 * (k + 1) < 500 THEN substr(text, 1800 * k + 1) ELSE substr(text, 1800 * k + 1, 2000) END
+      FROM t, unnest(range(greatest(1, (length(text) - 500) // 1800 + 1))) AS u(k) WHERE len(l) = 1 AND (length(text) > 2000 OR k = 0))
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks, text FROM c"""
+
+_chunks("sentences", 1000, _SENTENCE_FOLD)
+_chunks("sections", 2000, _SECTION_FOLD)
+_chunks("boundaries", 2000, _BOUNDARY_FOLD)
+
+
+def _lateral(function, size, sql):
+    @query(f"sql_{function}", sql)
+    def run(spark, d):
+        """The chunker as a table function in SQL, beside each document."""
+        chunk_tables.register(spark)
+        docs = _docs(spark, d) if function == "sentence_chunks" else _docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+        return spark.sql(f"SELECT d.doc_id, c.chunk_index, c.total_chunks, c.text FROM {{docs}} d, LATERAL {function}(d.text, {size}) c", docs=docs)
+
+
+_lateral("sentence_chunks", 1000, _SENTENCE_FOLD)
+_lateral("section_chunks", 2000, _SECTION_FOLD)
 
 
 @query("headers", r"SELECT doc_id, array_to_string((regexp_extract_all(regexp_replace('# ' || text, '\n', chr(10) || '## ', 'g'), '(?m)^#{1,6}\s+(.+)$', 1))[1:5], '|') AS heads FROM documents")

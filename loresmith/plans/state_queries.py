@@ -219,7 +219,7 @@ def markdown_html(spark, d):
     return _table(spark, d, "part").select("p_partkey", render.markdown_html(md).alias("html"))
 
 
-@query("json_html", """SELECT p_partkey, '<pre class="code-block json">{<span class="json-key">"a"</span>: <span class="json-string">"&lt;' || p_name || '&gt;"</span>,<span class="json-key">"n"</span>: <span class="json-number">' || p_size || '</span>,<span class="json-key">"x"</span>: <span class="json-null">null</span>}</pre>' AS html FROM part""")
+@query("json_html", """SELECT p_partkey, replace('<pre class="code-block json">{~  <span class="json-key">"a"</span>: <span class="json-string">"&lt;' || p_name || '&gt;"</span>,~  <span class="json-key">"n"</span>: <span class="json-number">' || p_size || '</span>,~  <span class="json-key">"x"</span>: <span class="json-null">null</span>~}</pre>', '~', chr(10)) AS html FROM part""")
 def json_html(spark, d):
     j = F.concat(F.lit('{"a":"<'), "p_name", F.lit('>","n":'), F.col("p_size").cast("string"), F.lit(',"x":null}'))
     return _table(spark, d, "part").select("p_partkey", render.json_html(j).alias("html"))

@@ -47,8 +47,17 @@ def test_trees_round_trip(spark, base, tmp_path):
     want = sorted(tuple(r) for r in base.tree.select("category", "slug", "file", "content").collect())
     render.write_files(base.tree, str(tmp_path / "wide"))
     assert sorted(tuple(r) for r in render.read_files(spark, str(tmp_path / "wide")).collect()) == want
-    assert render.publish(base.tree, str(tmp_path / "models")) == len(want)
-    assert sorted(tuple(r)[:4] for r in tables.corpus(spark, str(tmp_path / "models")).collect()) == want
+    for _ in range(2):  # a second version takes the first one's place
+        assert sorted(tuple(r)[:4] for r in render.publish(base.tree, str(tmp_path / "models")).collect()) == want
+    assert sorted(tuple(r)[:4] for r in tables.corpus(spark, entry_sink.current(str(tmp_path / "models"))).collect()) == want
+    assert entry_sink.discard_old(str(tmp_path / "models")) == 1
+    names = {p.relative_to(entry_sink.current(str(tmp_path / "models"))).as_posix() for p in (tmp_path / "models").rglob("*.*") if p.is_file() and p.name[0] != "."}
+    assert names == {f"{c}/{s}/{f}" for c, s, f, _ in want}
+    bad = base.tree.select("category", "slug", "file", "content").unionByName(spark.createDataFrame([("code", "..", "x.md", "c")], "category string, slug string, file string, content string"))
+    before = entry_sink.current(str(tmp_path / "models"))
+    with pytest.raises(Exception, match="not a name"):
+        render.publish(bad, str(tmp_path / "models"))
+    assert entry_sink.current(str(tmp_path / "models")) == before and len([p for p in (tmp_path / "models").iterdir() if p.is_dir()]) == 1
 
 
 def test_parameter_arrays(spark):

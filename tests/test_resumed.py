@@ -1,12 +1,14 @@
-"""Writes that can be taken up again: the update log's partitions, replies, the entry tree."""
+"""What is taken up again where it was left: the update log's partitions, replies, pages of a search; and counters of a pass."""
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loresmith.operators import extract, incremental
+from loresmith.operators import counters, extract, incremental
+from loresmith.sources import forum_stream
 from loresmith.streaming import polls
 
 
@@ -64,3 +66,54 @@ def test_what_is_missing_is_asked_and_nothing_twice(spark, tmp_path):
         assert rows == {(n, i): ([], [], "no JSON in the reply") if n == "mute" else ([n], ["a = 1"], None) for i, n in enumerate(names)}
     asked = {p.name: len(p.read_text()) for p in folder.iterdir()}
     assert asked == {n: 2 if n in ("s5", "s6") else 3 if n == "mute" else 1 for n in names}
+
+
+def page(folder, name, ids, after):
+    posts = [{"data": {"id": i, "title": f"t{i}", "selftext": "x" * 600, "permalink": f"/p/{i}", "score": 3, "subreddit": "r", "num_comments": 1}} for i in ids]
+    (folder / f"{name}.json").write_text(json.dumps({"data": {"children": posts, "after": after}}))
+
+
+def test_pages_are_read_once_and_in_their_chain(spark, tmp_path):
+    """Runs go on from the cursor read last; pages landed out of turn wait for the one before them."""
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    spark.dataSource.register(forum_stream.ForumPages)
+
+    def run():
+        stream = spark.readStream.format("forum_pages").option("path", str(folder)).load()
+        polls.run_available(stream, f"{tmp_path}/posts", f"{tmp_path}/state")
+        return sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/posts").collect())
+
+    page(folder, "first", ["a", "b"], "t3_b")
+    page(folder, "t3_d", ["e"], "t3_e")
+    assert run() == ["a", "b"]
+    page(folder, "t3_b", ["c", "d"], "t3_d")
+    assert run() == ["a", "b", "c", "d", "e"] and run() == ["a", "b", "c", "d", "e"]
+    for k in range(5):
+        page(folder, f"t3_{'e' if not k else k}", [f"f{k}"], f"t3_{k + 1}" if k < 4 else None)
+    assert run() == ["a", "b", "c", "d", "e", *(f"f{k}" for k in range(5))]
+    page(folder, "t3_4", ["f4"], "t3_b")  # a chain that bites its tail ends
+    assert len(run()) == 10
+
+
+def test_counters_of_a_pass(spark, tmp_path):
+    rows = [("a", 1, ["p"], None, [], ["s", "t"], 4, None), ("a", 2, [], [], [], [], 2, None), ("b", 1, [], [], [], [], None, "down")]
+    df = spark.createDataFrame(rows, extract.SCHEMA)
+    run = counters.Counters("run")
+    run.on(df, counters.run_metrics()).write.parquet(f"{tmp_path}/out")
+    assert run.get() == {"batches": 3, "posts": 6, "failed": 1, "empty": 1, "n_problems": 1, "n_tips": 0, "n_cost_info": 0, "n_settings": 2}
+    total = counters.Totals("seen")
+    spark.streams.addListener(total)
+    try:
+        for k in range(2):
+            spark.createDataFrame([(i,) for i in range(5 + k)], "n int").write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("n int").parquet(f"{tmp_path}/in").observe("seen", F.count(F.lit(1)).alias("rows"), F.sum("n").alias("sum"))
+            polls.run_available(stream, f"{tmp_path}/s", f"{tmp_path}/c")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(100):
+            if total.totals.get("rows") == 11:
+                break
+            time.sleep(0.1)
+        assert total.totals == {"rows": 11, "sum": 25}
+    finally:
+        spark.streams.removeListener(total)

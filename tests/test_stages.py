@@ -124,9 +124,16 @@ def test_tokens_by_a_tokenizer(spark):
 
 
 def test_renderers(spark):
-    html = one(spark, render.markdown_html, "# T\n\n```py\nx = 1\n```\n\n*e* and _f_\n\n* a\n- b\n\nplain\nline")
-    assert html == '<h1>T</h1>\n<pre class="code-block"><code class="lang-py">x = 1\n</code></pre>\n<p><em>e</em> and <em>f</em></p>\n<ul><li>a</li>\n<li>b</li></ul>\n<p>plain<br/>line</p>'
+    html = one(spark, render.markdown_html, "# T <b>\n\n```py\nx = *1* < 2\n\ny\n```\n\n*e* and `**f** <i>`\n\n* a\n- b\n\nplain & [l](http://x.org/a)\nline `open\n\n```\nnever ends")
+    assert html == (
+        "<h1>T &lt;b&gt;</h1>\n<pre><code>x = *1* &lt; 2\n\ny\n</code></pre>\n<p><em>e</em> and <code>**f** &lt;i&gt;</code></p>\n<ul><li>a</li>\n<li>b</li></ul>\n"
+        '<p>plain &amp; <a href="http://x.org/a" target="_blank" rel="noopener">l</a><br/>line `open</p>\n<p>```<br/>never ends</p>'
+    )
     assert one(spark, render.json_html, "{broken <") == '<pre class="code-block">{broken &lt;</pre>'
+    span = lambda kind, s: f'<span class="json-{kind}">{s}</span>'
+    assert one(spark, render.json_html, '{"a": [1, "b: 2 <", null]}') == (
+        f'<pre class="code-block json">{{\n  {span("key", chr(34) + "a" + chr(34))}: [\n    {span("number", 1)},\n    {span("string", chr(34) + "b: 2 &lt;" + chr(34))},\n    {span("null", "null")}\n  ]\n}}</pre>'
+    )
     card = one(spark, lambda c: render.practice_card(F.lit("M"), c), '{"parameters": [], "pitfalls": [{"title": "t", "description": "d"}]}')
     assert card == "# M Best Practices\n\n## Common Pitfalls\n\n### t\nd\n\n"
 
