@@ -4,7 +4,7 @@ A page is a JSON file; the first is ``first.json``, and the one that follows a p
 with. The offset is the cursor of the page read last, so a run goes on where the last one ended, whatever was landed since.
 ``spark.readStream.format("forum_pages").option("path", folder).load()`` gives a row a post, in the columns of ``ForumSource``.
 
-The driver opens each new page for its cursor (after a restart those before it too); pages are read by tasks, a partition each. A page without a cursor ends
+The driver opens each new page for its cursor, after a restart those before it too, and keeps the cursors; pages are read by tasks, a partition each. A page without a cursor ends
 the chain until it is landed anew under the same name with one; a cursor that is seen again ends it too.
 """
 
@@ -26,7 +26,7 @@ class PagesReader(DataSourceStreamReader):
     def __init__(self, options):
         self.root = options["path"].rstrip("/")
         self.posts = ForumReader({**dict(options), "max_posts": options.get("max_posts", 100)})
-        self.latest: str = ""
+        self.latest, self.seen = "", {""}
 
     def _after(self, cursor: str) -> str | None:
         """The cursor that a page ends with; None where the page is not there or is the last."""
@@ -42,11 +42,10 @@ class PagesReader(DataSourceStreamReader):
         return "/" not in cursor and fs.get_file_info(os.path.join(root, f"{cursor}.json")).type == afs.FileType.File
 
     def _following(self, read: str) -> Iterator[str]:
-        """Landed pages after the one read last, in order."""
-        seen, now = {read}, FIRST if not read else self._after(read)
-        while now and now not in seen and self._landed(now):
+        """Landed pages after one, in order."""
+        now = FIRST if not read else self._after(read)
+        while now and self._landed(now):
             yield now
-            seen.add(now)
             now = self._after(now)
 
     def initialOffset(self) -> dict:
@@ -54,6 +53,9 @@ class PagesReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         for cursor in self._following(self.latest):
+            if cursor in self.seen:
+                break
+            self.seen.add(cursor)
             self.latest = cursor
         return {"read": self.latest}
 
@@ -64,14 +66,13 @@ class PagesReader(DataSourceStreamReader):
                 out.append(Page(os.path.join(file_system(self.root)[1], f"{cursor}.json")))
                 if cursor == end["read"]:
                     break
-        self.latest = end["read"]
         return out
 
     def read(self, partition: Page) -> Iterator[tuple]:
         return self.posts.read(partition)
 
     def commit(self, end: dict) -> None:
-        self.latest = end["read"]
+        pass
 
 
 class ForumPages(DataSource):
