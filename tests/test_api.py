@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loresmith import api, settings
 from loresmith.functions import lookups
 from loresmith.operators import extract, merge, render
-from loresmith.sources import state, tables
+from loresmith.sources import entry_sink, state, tables
 
 
 @pytest.fixture(scope="module")
