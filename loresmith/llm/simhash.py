@@ -10,9 +10,8 @@ that meet under a key are verified by their differing bits.
 Two forms share this. By ``distance``: fingerprints of 64 bits link at up to two differing bits,
 exactly. By ``similarity``: sketches of twice 64 bits are candidates at ``sketch_bits`` differing bits,
 the mean for shingle sets of that Jaccard similarity and a margin; a key is then a fuzzy key of a
-segment with a fuzzy key of another one of its half, which tolerates two errors in each surely and
-more of them often. A pair at the similarity itself meets with a chance of about nine in ten, a
-closer one more surely. Candidates link only if their shingle sets have the similarity, counted out.
+segment with a fuzzy key of another one of its half, or of the segment of its place in the other half. Of pairs at the
+similarity itself more than nine in ten meet, of closer ones more. Candidates link only if their shingle sets have the similarity, counted out.
 
 Equal fingerprints, or equal shingle sets, are one row before any of this. Under a key with more than ``BUCKET`` distinct
 fingerprints no pairs are formed; those fingerprints are linked exactly by the 65 points within
@@ -29,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ BUCKET = 64
 MAX_DISTANCE = 2
 #: Shingle sets in a block of a doubtful component.
 BLOCK = 256
+#: Segments of both halves of a sketch whose fuzzy keys make a key together: those of a half, and those of one place in both.
+PAIRS = tuple((i, j) for i, j in combinations(range(6), 2) if i // 3 == j // 3 or j - i == 3)
 #: Margin in standard deviations over the mean number of differing bits at a similarity.
 MARGIN = 2.5
 
@@ -285,20 +287,16 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long, a long, b long")
 
 
-def pair_keys(prints: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): half, pair of segments, a fuzzy key of each."""
-    parts = [((prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64) for low, bits in SEGMENTS]
-    fuzzy = [fuzzy_keys(p) for p in parts]
-    rows, keys = [], []
-    for i in range(3):
-        (r1, k1), (r2, k2) = fuzzy[i], fuzzy[(i + 1) % 3]
-        n2 = np.bincount(r2, minlength=len(prints))
+def pair_keys(halves: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) for each of ``PAIRS``: the pair's number, and a fuzzy key of each segment."""
+    fuzzy = [fuzzy_keys(((x >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64)) for x in halves for low, bits in SEGMENTS]
+    for number, (i, j) in enumerate(PAIRS):
+        (r1, k1), (r2, k2) = fuzzy[i], fuzzy[j]
+        n2 = np.bincount(r2, minlength=len(halves[0]))
         begin = np.cumsum(n2) - n2
         row = np.repeat(r1, n2[r1])
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n2[r1]) - n2[r1], n2[r1])
-        rows.append(row)
-        keys.append(((half * 3 + i) << 24) | (np.repeat(k1, n2[r1]) << 12) | k2[begin[row] + nth])
-    return np.concatenate(rows), np.concatenate(keys)
+        yield row, (number << 24) | (np.repeat(k1, n2[r1]) << 12) | k2[begin[row] + nth]
 
 
 def _apart(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
@@ -346,8 +344,7 @@ def candidates(distinct: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 cols = [batch.column(i).slice(at, 2000).to_numpy() for i in range(batch.num_columns)]
-                for half in (0, 1):
-                    row, key = pair_keys(cols[1 + half].view(np.uint64), half)
+                for row, key in pair_keys((cols[1].view(np.uint64), cols[2].view(np.uint64))):
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(pa.array(c[row]) for c in cols)], names=["key", "fp", "a", "b"])
 
     def pairs(key, fp, a, b) -> pa.RecordBatch:

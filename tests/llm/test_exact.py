@@ -241,6 +241,32 @@ def test_similarity_form(spark, bucket, monkeypatch):
     assert all(want[i] == want[g] for i, g in got.items())
 
 
+def test_candidates_at_the_threshold():
+    """Share of separate pairs of a similarity just over the threshold that meet under a key and within the bits, at the shipped margin."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    ends = []
+    while len(ends) < 400:
+        words = [word() for _ in range(rng.choice([120, 200, 400]))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.014, 0.026)))):
+            other[at] = word()
+        x, y = (simhash.shingle_set(" ".join(w), 5) for w in (words, other))
+        if 0.8 <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) <= 0.82:
+            ends.append((simhash.sketch(x), simhash.sketch(y)))
+
+    def keys(side):
+        out = [set() for _ in ends]
+        for row, key in simhash.pair_keys(tuple(np.array([e[side][h] for e in ends], np.uint64) for h in (0, 1))):
+            for r, k in zip(row.tolist(), key.tolist(), strict=True):
+                out[r].add(k)
+        return out
+
+    near = [sum((p ^ q).bit_count() for p, q in zip(*e, strict=True)) <= simhash.sketch_bits(0.8) for e in ends]
+    met = [bool(a & b) and n for a, b, n in zip(keys(0), keys(1), near, strict=True)]
+    assert sum(met) >= 0.93 * len(ends)
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_similar_below_the_threshold_stay_apart(spark, block, monkeypatch):
     """Families whose members are near the threshold: a group is never joined by a pair below it."""
