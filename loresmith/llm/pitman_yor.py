@@ -609,10 +609,10 @@ def score(spark: SparkSession, docs: DataFrame, *, rounds: int = ROUNDS, bucket_
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, min(MOST_BUCKETS, math.ceil(size / bucket_bytes)))
     place = Placement(buckets, heavy_contexts(docs, buckets))
-    table = f"loresmith_pitman_yor_{uuid.uuid4().hex}"
+    table, path = f"loresmith_pitman_yor_{uuid.uuid4().hex}", f"{stash.root}/buckets"
     rows = batches_of(docs, place)
     parts = F.collect_list(F.struct("batch", "uu", "un", "w", "held", "n", "at"))
-    rows.groupBy("bucket").agg(parts.alias("parts")).write.option("compression", "zstd").bucketBy(min(buckets, 10_000), "bucket").saveAsTable(table)
+    rows.groupBy("bucket").agg(parts.alias("parts")).write.option("compression", "zstd").bucketBy(min(buckets, 10_000), "bucket").option("path", path).saveAsTable(table)
     try:
         free_shuffles(spark)
         kept = spark.table(table).where("bucket >= 0")
@@ -638,7 +638,8 @@ def score(spark: SparkSession, docs: DataFrame, *, rounds: int = ROUNDS, bucket_
         stash.drop(*old)
         return stash.put(gather(headers, partials, n_train), "scores")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files lie in the shared folder, outside the warehouse
+        stash.delete(path)
 
 
 def op1_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,11 +48,13 @@ class Stash:
         return back
 
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
         for t in tables:
             if t is not None and getattr(t, "stash_path", None):
-                path = jvm.org.apache.hadoop.fs.Path(t.stash_path)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.delete(t.stash_path)
+
+    def delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mark() -> int:
