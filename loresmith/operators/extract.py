@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import queue
 import re
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -63,10 +66,13 @@ class RecordedExtractor:
 
 
 class Retrying:
-    """Another extractor, asked again after 2, 4, ... seconds at most; '{}' when all tries fail."""
+    """Another extractor, asked again after 2, 4, ... seconds, 60 at most; a refusal of the key is raised at once.
 
-    def __init__(self, inner: Extractor, tries: int = 3, sleep: Callable[[float], None] = time.sleep):
-        self.inner, self.tries, self.sleep = inner, tries, sleep
+    last: what is said when all tries fail; None raises the last try's error, as replies that are kept need.
+    """
+
+    def __init__(self, inner: Extractor, tries: int = 3, sleep: Callable[[float], None] = time.sleep, last: str | None = "{}"):
+        self.inner, self.tries, self.sleep, self.last = inner, tries, sleep, last
 
     def __call__(self, prompt: str) -> str:
         for k in range(self.tries):
@@ -77,7 +83,78 @@ class Retrying:
             except Exception:
                 if k + 1 < self.tries:
                     self.sleep(min(60, 2 ** (k + 1)))
-        return "{}"
+                elif self.last is None:
+                    raise
+        return self.last or "{}"
+
+
+class Limited:
+    """Another extractor, with so many seconds for a reply; ``TimeoutError`` beyond them.
+
+    A call that is given up goes on in its thread until it ends by itself, and what it says is lost.
+    """
+
+    def __init__(self, inner: Extractor, seconds: float = 120):
+        self.inner, self.seconds = inner, seconds
+
+    def __call__(self, prompt: str) -> str:
+        said: queue.SimpleQueue = queue.SimpleQueue()
+
+        def call() -> None:
+            try:
+                said.put((self.inner(prompt), None))
+            except BaseException as e:
+                said.put((None, e))
+
+        threading.Thread(target=call, daemon=True).start()
+        try:
+            reply, error = said.get(timeout=self.seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no reply in {self.seconds} seconds") from None
+        if error is not None:
+            raise error
+        return reply
+
+
+class Paced:
+    """Another extractor, a call of which begins so many seconds after the last one's end at the earliest. Each task keeps its own pace."""
+
+    def __init__(self, inner: Extractor, seconds: float = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.seconds, self.clock, self.sleep = inner, seconds, clock, sleep
+        self._end: float | None = None
+
+    def __call__(self, prompt: str) -> str:
+        if self._end is not None and (left := self._end + self.seconds - self.clock()) > 0:
+            self.sleep(left)
+        try:
+            return self.inner(prompt)
+        finally:
+            self._end = self.clock()
+
+
+@dataclass(frozen=True)
+class Provider:
+    """How a provider is asked: what makes its extractor, the seconds for one reply, and those between two calls of a task."""
+
+    make: Callable[[], Extractor]
+    limit: float = 120
+    pause: float = 0
+
+
+def provided(name: str, providers: Mapping[str, Provider], *, limit: float | None = None, tries: int = 3, last: str | None = "{}") -> Callable[[], Extractor]:
+    """Makes the named provider's extractor in each task, with its limit (or ``limit``), its pace and retries around it.
+
+    ``extract`` and ``extract_resumable`` take the result; the latter with ``last=None``, so that a failure is asked again and not kept.
+    """
+    if name not in providers:
+        raise ValueError(f"no provider {name!r}; there are {', '.join(sorted(providers))}")
+    p = providers[name]
+
+    def make() -> Extractor:
+        inner: Extractor = Limited(p.make(), p.limit if limit is None else limit)
+        return Retrying(Paced(inner, p.pause) if p.pause else inner, tries, last=last)
+
+    return make
 
 
 def reply_json(reply: str) -> dict | None:

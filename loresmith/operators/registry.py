@@ -86,3 +86,14 @@ def query_summary(queries: DataFrame) -> DataFrame:
     return queries.sparkSession.sql(
         "SELECT priority, category, pattern_type, count(*) AS n, count(DISTINCT service) AS n_services FROM _queries_of_a_plan GROUP BY GROUPING SETS ((priority), (category), (pattern_type))"
     )
+
+
+def coverage(queries: DataFrame, limit: int) -> DataFrame:
+    """What a run with ``limit`` queries a service covers: (service, n_queries, n_run, n_left), and the sums in a row whose service is null.
+
+    Queries of a null service belong to none and are not counted.
+    """
+    one = queries.where("service is not null").groupBy("service").agg(F.count(F.lit(1)).alias("n_queries"))
+    run = F.least("n_queries", F.lit(limit))
+    one = one.withColumns({"n_run": run, "n_left": F.col("n_queries") - run})
+    return one.rollup("service").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_queries", "n_run", "n_left")))

@@ -218,13 +218,6 @@ def context_lookup(spark, d):
     return search.context_lengths(m, spark.createDataFrame(_KNOWN, "ord int, model_id string, context_length int")).select("model", "context_length")
 
 
-@query("context_stats", f"WITH k AS (SELECT * FROM {S.values([(p, c, q) for p, c, q in (('a', 200000, 0), ('b', 128000, 5), ('c', 4096, 0), ('d', 100000, 1))], 'model_id, context_length, price')}) SELECT count(*) AS models, count(*) FILTER (WHERE context_length > 100000) AS large, count(*) FILTER (WHERE price = 0) AS free, (SELECT string_agg(model_id, ',' ORDER BY context_length DESC, model_id) FROM k) AS by_context FROM k")
-def context_stats(spark, d):
-    k = spark.createDataFrame([("a", 200000, 0), ("b", 128000, 5), ("c", 4096, 0), ("d", 100000, 1)], "model_id string, context_length int, price int")
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("context_length")).alias("c"), "model_id"))), lambda x: x["model_id"]), ",")
-    return k.agg(F.count(F.lit(1)).alias("models"), F.count_if(F.col("context_length") > 100000).alias("large"), F.count_if(F.col("price") == 0).alias("free"), top.alias("by_context"))
-
-
 @query("entry_counts_rollup", "SELECT lower(p_type) AS category, count(*) AS n FROM part GROUP BY ROLLUP (lower(p_type))")
 def entry_counts_rollup(spark, d):
     return tables.services(spark, d).rollup("category").agg(F.count(F.lit(1)).alias("n"))
@@ -483,6 +476,12 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{out}/table").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("source_cap", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS nth, (SELECT count(DISTINCT source) FROM documents) AS n FROM documents) WHERE nth <= 300 // n")
+def source_cap(spark, d):
+    """The longest texts of each source, 300 in all divided among the sources."""
+    return polls.capped(tables.table(spark, d, "documents").select("source", "doc_id", "n_chars"), 300, F.desc("n_chars"), "doc_id").select("source", "doc_id")
+
+
 @query("stream_poll", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def stream_poll(spark, d):
     """Two polling runs over the same source: the second finds nothing new."""

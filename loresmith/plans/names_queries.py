@@ -149,14 +149,21 @@ def service_match(spark, d):
     return resolve.match_services(q, spark.createDataFrame(_REG, "ord int, name string, category string"), L.variations(spark))
 
 
+_SHOWN = "CASE WHEN contains(p_name, 'ring') THEN 'LUMA LABS' WHEN contains(p_name, 'bolt') THEN 'Hey-Gen' ELSE p_name END"
+
+
 @query(
     "display_name",
-    f"""WITH {S.VARIATIONS}, {S.RESOLVE}, {_REG_SQL}, rr AS (SELECT ord, name, {S.resolved('name')} AS canonical FROM reg),
-    k AS (SELECT DISTINCT canonical FROM variations) SELECT canonical, coalesce((SELECT arg_min(name, ord) FROM rr WHERE rr.canonical = k.canonical), (SELECT arg_min(variation, ord) FROM variations v WHERE v.canonical = k.canonical), canonical) AS display_name FROM k""",
+    f"""WITH {S.VARIATIONS}, {S.RESOLVE}, reg AS (SELECT min(p_partkey) AS ord, {_SHOWN} AS name FROM part GROUP BY 2), rr AS (SELECT ord, name, {S.resolved('name')} AS canonical FROM reg),
+    k AS (SELECT DISTINCT canonical FROM variations UNION SELECT {S.normal('p_name')} FROM part) SELECT canonical, coalesce((SELECT arg_min(name, ord) FROM rr WHERE rr.canonical = k.canonical), (SELECT arg_min(variation, ord) FROM variations v WHERE v.canonical = k.canonical), canonical) AS display_name FROM k""",
 )
 def display_name(spark, d):
-    v = L.variations(spark)
-    return resolve.display_names(v.select("canonical").distinct(), spark.createDataFrame(_REG, "ord int, name string, category string"), v)
+    """Keys of the fixed spellings and of a registry of parts, as that registry shows them."""
+    v, p = L.variations(spark), tables.table(spark, d, "part")
+    name = F.col("p_name")
+    shown = F.when(F.contains(name, F.lit("ring")), "LUMA LABS").when(F.contains(name, F.lit("bolt")), "Hey-Gen").otherwise(name)
+    keys = v.select("canonical").union(p.select(names.normalise(name))).distinct()
+    return resolve.display_names(keys, p.select(F.col("p_partkey").alias("ord"), shown.alias("name")), v)
 
 
 _AGG_ALIASES = f"list_sort(list_distinct(list_concat(list(DISTINCT lower(name)), [{S.canonical('any_value(name)')}])))"
@@ -226,6 +233,16 @@ def query_plan_topn(spark, d):
     return q.where((F.col("rn") <= 2) & (F.col("priority") == "ultra"))
 
 
+@query(
+    "query_coverage",
+    f"WITH {S.SERVICES}, {S.TEMPLATES}, q AS (SELECT name AS service, count(*) AS n FROM services, templates GROUP BY name) SELECT service, CAST(sum(n) AS BIGINT) AS n_queries, CAST(sum(least(n, 20)) AS BIGINT) AS n_run, CAST(sum(n - least(n, 20)) AS BIGINT) AS n_left FROM q GROUP BY ROLLUP (service)",
+)
+def query_coverage(spark, d):
+    """The queries that all templates make of all services, and how many a limit of twenty a service leaves."""
+    q = tables.services(spark, d).select(F.col("name").alias("service")).crossJoin(F.broadcast(L.templates(spark).select("pattern")))
+    return registry.coverage(q, 20)
+
+
 @query("query_summary", f"SELECT priority, category, pattern_type, count(*) AS n, count(DISTINCT service) AS n_services FROM ({_plan_sql(210, True)}) GROUP BY GROUPING SETS ((priority), (category), (pattern_type))")
 def query_summary(spark, d):
     return registry.query_summary(query_plan_all_patterns(spark, d))

@@ -36,34 +36,53 @@ def readme_heads(spark, d):
     return state.repo_readme(f).select("repo", F.md5("content").alias("head_md5"))
 
 
-_SOURCES = "reddit:\n  sources:\n    - {name: r/One, url: 'https://reddit.com/r/One', priority: high, models: [general]}\n    - {name: Two, url: 'https://reddit.com/r/Two', priority: low, models: [gpt]}\ngithub:\n  sources:\n    - {name: guide, url: 'https://github.com/a/guide/', priority: high, focus: prompts}\n"
-_SOURCE_ROWS = [("reddit", "r/One", "https://reddit.com/r/One", "high"), ("reddit", "Two", "https://reddit.com/r/Two", "low"), ("github", "guide", "https://github.com/a/guide/", "high")]
-
-
-@query("source_config", "SELECT * FROM " + S.values(_SOURCE_ROWS, "source_type, name, url, priority"))
+#: Configurations of fifty suppliers each: forums first, then code hosts; a supplier's nation and balance name its host, priority and models.
+_CONFIG = """c AS (SELECT s_suppkey // 50 AS path, s_suppkey AS k, s_name, CASE WHEN s_nationkey % 3 = 0 THEN 'github' ELSE 'reddit' END AS source_type,
+    CASE WHEN s_acctbal > 5000 THEN 'high' WHEN s_acctbal > 0 THEN 'low' END AS priority, CASE s_nationkey % 3 WHEN 1 THEN 'general' WHEN 2 THEN CASE WHEN s_acctbal > 2000 THEN 'gpt' ELSE 'llama' END END AS model FROM supplier),
+  src AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY source_type DESC, k) - 1 AS ord, source_type, priority, model, CASE source_type WHEN 'reddit' THEN 'r/' ELSE '' END || s_name AS name,
+    CASE source_type WHEN 'reddit' THEN 'https://reddit.com/r/' ELSE 'https://github.com/acme/' END || s_name || '/' AS url FROM c)"""
+
+
+def _configs(spark, d):
+    s = _table(spark, d, "supplier")
+    lit, c = F.lit, F.concat
+    forum = F.col("s_nationkey") % 3 != 0
+    name = c(F.when(forum, "r/").otherwise(""), "s_name")
+    url = c(F.when(forum, "https://reddit.com/r/").otherwise("https://github.com/acme/"), "s_name", lit("/"))
+    priority = F.when(F.col("s_acctbal") > 5000, ", priority: high").when(F.col("s_acctbal") > 0, ", priority: low").otherwise("")
+    models = F.when(F.col("s_nationkey") % 3 == 1, ", models: [general]").when(forum & (F.col("s_acctbal") > 2000), ", models: [gpt]").when(forum, ", models: [llama]").otherwise("")
+    line = c(lit("    - {name: '"), name, lit("', url: '"), url, lit("'"), priority, models, lit("}\n"))
+    lines = lambda mine: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("s_suppkey", line.alias("line"))))), lambda x: x["line"]), "")
+    text = c(lit("reddit:\n  sources:\n"), lines(forum), lit("github:\n  sources:\n"), lines(~forum))
+    return tables.source_configs(s.groupBy(F.floor(F.col("s_suppkey") / 50).alias("path")).agg(text.alias("content")))
+
+
+@query("source_config", f"WITH {_CONFIG} SELECT path, ord, source_type, name, url, priority, model AS models FROM src")
 def source_config(spark, d):
-    return tables.source_config(spark, _SOURCES).select("source_type", "name", "url", "priority")
+    """YAML files of the suppliers as sources, parsed in tasks."""
+    return _configs(spark, d).select("path", "ord", "source_type", "name", "url", "priority", F.get("models", F.lit(0)).alias("models"))
 
 
-@query("source_priority", "SELECT name FROM " + S.values(_SOURCE_ROWS, "source_type, name, url, priority") + " WHERE priority = 'high'")
+@query("source_priority", f"WITH {_CONFIG} SELECT name FROM src WHERE priority = 'high'")
 def source_priority(spark, d):
-    return state.by_priority(tables.source_config(spark, _SOURCES)).select("name")
+    return state.by_priority(_configs(spark, d)).select("name")
 
 
-@query("source_models", "SELECT name FROM " + S.values(_SOURCE_ROWS, "source_type, name, url, priority") + " WHERE source_type = 'github' OR name = 'Two' OR name = 'r/One'")
+@query("source_models", f"WITH {_CONFIG} SELECT name FROM src WHERE source_type = 'github' OR model IN ('general', 'gpt')")
 def source_models(spark, d):
-    return state.for_model(tables.source_config(spark, _SOURCES), "gpt").select("name")
+    return state.for_model(_configs(spark, d), "gpt").select("name")
 
 
-@query("default_sources", "SELECT * FROM (VALUES ('reddit:One'), ('github:a/guide/')) AS t(source)".replace("guide/", "guide"))
+@query("default_sources", f"WITH {_CONFIG}, t AS (SELECT * FROM src WHERE priority = 'high' ORDER BY path, ord LIMIT 5) SELECT CASE source_type WHEN 'reddit' THEN 'reddit:' || substr(name, 3) ELSE 'github:' || regexp_extract(url, 'github\\.com/(.*)/', 1) END AS source FROM t")
 def default_sources(spark, d):
-    return spark.createDataFrame([(n,) for n in state.default_sources(tables.source_config(spark, _SOURCES))], "source string")
+    return spark.createDataFrame([(n,) for n in state.default_sources(_configs(spark, d))], "source string")
 
 
-@query("source_lookup", "SELECT source AS query, CASE source WHEN 'wiki' THEN 'https://w.org' END AS url FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT 'one', 'https://reddit.com/r/One'")
+@query("source_lookup", f"WITH {_CONFIG}, a AS (SELECT DISTINCT s_name AS query FROM supplier UNION SELECT DISTINCT source FROM documents), s AS (SELECT lower(regexp_replace(name, '^r/', '')) AS k, arg_min(url, path * 100 + ord) AS url FROM src GROUP BY 1) SELECT query, url FROM a LEFT JOIN s ON k = lower(query)")
 def source_lookup(spark, d):
-    known = tables.source_config(spark, _SOURCES).select(F.lit(0).alias("ord"), "name", "url").union(spark.createDataFrame([(1, "r/wiki", "https://w.org")], "ord int, name string, url string"))
-    asked = _table(spark, d, "documents").select(F.col("source").alias("query")).distinct().union(spark.createDataFrame([("one",)], "query string"))
+    """Addresses of the suppliers' sources, by their names without "r/", and of names that no configuration has."""
+    known = _configs(spark, d).select((F.col("path") * 100 + F.col("ord")).alias("ord"), "name", "url")
+    asked = _table(spark, d, "supplier").select(F.col("s_name").alias("query")).union(_table(spark, d, "documents").select("source")).distinct()
     return state.source_of(known, asked).select("query", "url")
 
 
@@ -80,15 +99,41 @@ def hub_services(spark, d):
     return state.hub_services(spark).select("name")
 
 
-_CATALOGUE = {"data": [{"id": "a/x", "context_length": 8000, "pricing": {"prompt": "0"}}, {"id": "b/y"}, {"id": "c/z", "context_length": 200000, "name": "Z"}]}
+#: A catalogue's models: parts by brand and name, so that many come several times; some without length or name.
+_MODELS = """m AS (SELECT p_partkey // 100 AS page, p_partkey AS k, p_brand || '/' || p_name AS model_id, CASE WHEN p_size % 5 <> 0 THEN p_size * 4096 END AS len, CASE WHEN p_size % 2 = 0 THEN p_type END AS name,
+    CASE WHEN p_size % 3 = 0 THEN '0' ELSE CAST(p_size AS VARCHAR) END AS price FROM part),
+  k AS (SELECT model_id, min(k) AS first, coalesce(arg_max_null(len, k), 4096) AS context_length, coalesce(arg_max_null(name, k), model_id) AS name, arg_max(price, k) AS price FROM m GROUP BY model_id)"""
+
+
+def _contexts(spark, d):
+    """Contexts of a catalogue of parts, in pages of a hundred."""
+    size = F.col("p_size")
+    price = F.create_map(F.lit("prompt"), F.when(size % 3 == 0, "0").otherwise(size.cast("string")))
+    model = F.struct(
+        F.concat("p_brand", F.lit("/"), "p_name").alias("id"), F.when(size % 5 != 0, size * 4096).alias("context_length"), F.when(size % 2 == 0, F.col("p_type")).alias("name"), price.alias("pricing")
+    )
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json(model).alias("m")))), lambda x: x["m"]), ",")
+    pages = _table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("page")).agg(F.concat(F.lit('{"data": ['), rows, F.lit("]}")).alias("content"))
+    return state.catalogue_contexts(pages)
 
 
-@query("model_contexts", "SELECT * FROM (VALUES ('a/x', 8000, 'a/x', '0'), ('b/y', 4096, 'b/y', NULL), ('c/z', 200000, 'Z', NULL)) AS t(model_id, context_length, name, price)")
+@query("model_contexts", f"WITH {_MODELS} SELECT model_id, context_length, name, price FROM k")
 def model_contexts(spark, d):
-    """A catalogue's answer, saved as a context file and read back."""
-    path = shared.folder(spark, "contexts") + ".json"
-    state.save_contexts(state.fetch_contexts(spark, lambda: _CATALOGUE), path, DAY)
-    return state.model_contexts(spark, path).select("model_id", "context_length", "name", F.element_at("pricing", "prompt").alias("price"))
+    """A catalogue's pages as contexts, written from the tasks as a file of rows and read back."""
+    path = shared.folder(spark, "contexts")
+    found = _contexts(spark, d).select("model_id", "context_length", "name", "pricing")
+    found.write.json(path)
+    return spark.read.schema(found.schema).json(path).select("model_id", "context_length", "name", F.element_at("pricing", "prompt").alias("price"))
+
+
+@query("context_stats", f"WITH {_MODELS} SELECT count(*) AS models, count(*) FILTER (WHERE context_length > 100000) AS large, count(*) FILTER (WHERE price = '0') AS free FROM k")
+def context_stats(spark, d):
+    return state.context_stats(_contexts(spark, d))
+
+
+@query("largest_contexts", f"WITH {_MODELS} SELECT model_id, context_length FROM k WHERE context_length > 100000 ORDER BY context_length DESC, model_id LIMIT 5")
+def largest_contexts(spark, d):
+    return state.largest_contexts(_contexts(spark, d)).select("model_id", "context_length")
 
 
 def _results(spark, d):

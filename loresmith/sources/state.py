@@ -24,7 +24,8 @@ def default_sources(sources: DataFrame, limit: int = 5) -> list[str]:
     """Names to scan of the first high-priority sources; two forums where none fits."""
     path = F.regexp_replace(F.regexp_extract("url", r"github\.com/(.*)", 1), "/+$", "")
     name = F.when(F.col("source_type") == "reddit", F.concat(F.lit("reddit:"), F.element_at(F.split("name", "/"), -1))).when((F.col("source_type") == "github") & (path != ""), F.concat(F.lit("github:"), path))
-    rows = by_priority(sources).limit(limit).select(name.alias("n")).where("n is not null").collect()
+    order = [c for c in ("path", "ord") if c in sources.columns]
+    rows = by_priority(sources).orderBy(*order).limit(limit).select(name.alias("n")).where("n is not null").collect()
     return [r["n"] for r in rows] or ["reddit:LocalLLaMA", "reddit:OpenAI"]
 
 
@@ -48,6 +49,33 @@ def fetch_contexts(spark: SparkSession, get: Callable[[], dict]) -> DataFrame:
     return spark.createDataFrame([(i, k, *v) for i, (k, v) in enumerate(rows.items())], "ord int, model_id string, context_length int, max_completion_tokens int, name string, pricing map<string,string>")
 
 
+#: A page of a catalogue's answer.
+_PAGE = "data array<struct<id:string, context_length:int, max_completion_tokens:int, name:string, pricing:map<string,string>>>"
+
+
+def catalogue_contexts(pages: DataFrame) -> DataFrame:
+    """The contexts of landed pages of a catalogue's answers (page, content); ord is (page, place).
+
+    An id that comes again keeps its first place and takes the later values. A page that is no such JSON lists nothing.
+    """
+    m = pages.select("page", F.posexplode(F.from_json("content", _PAGE)["data"]).alias("pos", "m"))
+    at = F.struct("page", "pos")
+    m = m.withColumn("_id", F.coalesce("m.id", F.lit(""))).groupBy("_id").agg(F.min(at).alias("ord"), F.max_by("m", at).alias("m"))
+    length = F.coalesce("m.context_length", F.lit(4096)).alias("context_length")
+    return m.select("ord", F.col("_id").alias("model_id"), length, "m.max_completion_tokens", F.coalesce("m.name", "_id").alias("name"), "m.pricing")
+
+
+def context_stats(contexts: DataFrame, large: int = 100_000) -> DataFrame:
+    """One row (models, large, free) of the contexts; free: the prompt's price is the text "0"."""
+    free = F.count_if(F.coalesce(F.element_at("pricing", "prompt") == "0", F.lit(False)))
+    return contexts.agg(F.count(F.lit(1)).alias("models"), F.count_if(F.col("context_length") > large).alias("large"), free.alias("free"))
+
+
+def largest_contexts(contexts: DataFrame, n: int = 5, large: int = 100_000) -> DataFrame:
+    """The n largest of the large contexts (a top-k), ties by id."""
+    return contexts.where(F.col("context_length") > large).orderBy(F.desc("context_length"), "model_id").limit(n)
+
+
 def save_contexts(contexts: DataFrame, path: str, now: str) -> None:
     """A context file that ``model_contexts`` reads: models by id, and when they were fetched. A catalogue is small."""
     rows = contexts.orderBy("ord").collect()

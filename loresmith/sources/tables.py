@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,15 +75,42 @@ def registry_file(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.map_entries("services")).alias("s")).select("s.key", "s.value.*")
 
 
-def source_config(spark: SparkSession, text: str) -> DataFrame:
-    """Sources of a YAML file's text: (source_type, name, url, focus, priority, models)."""
+_SOURCE = "source_type string, name string, url string, focus string, priority string, models array<string>"
+
+
+def _sources_of(text: str | None) -> list[tuple]:
     import yaml
 
-    rows = []
-    for kind, section in (yaml.safe_load(text) or {}).items():
-        for s in (section or {}).get("sources", []) if isinstance(section, dict) else []:
+    rows, found = [], yaml.safe_load(text or "")
+    for kind, section in found.items() if isinstance(found, dict) else ():
+        for s in (section.get("sources") or []) if isinstance(section, dict) else ():
             rows.append((kind, s.get("name"), s.get("url"), s.get("focus"), s.get("priority"), [str(m) for m in s.get("models") or []]))
-    return spark.createDataFrame(rows, "source_type string, name string, url string, focus string, priority string, models array<string>")
+    return rows
+
+
+def source_config(spark: SparkSession, text: str) -> DataFrame:
+    """Sources of one YAML file's text: (ord, source_type, name, url, focus, priority, models)."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(_sources_of(text))], f"ord int, {_SOURCE}")
+
+
+def source_configs(files: DataFrame) -> DataFrame:
+    """The same of many files, parsed in tasks: (path, ord, source_type, ...). files: (path, content).
+
+    A text that is no YAML fails with its path, as a file that is no configuration would: none is passed over.
+    """
+    path_type = files.schema["path"].dataType.simpleString()
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    rows += [(path, i, *r) for i, r in enumerate(_sources_of(content))]
+                except Exception as e:
+                    raise ValueError(f"no configuration: {path}") from e
+            yield pd.DataFrame(rows, columns=["path", "ord", "source_type", "name", "url", "focus", "priority", "models"])
+
+    return files.select("path", "content").mapInPandas(parse, f"path {path_type}, ord int, {_SOURCE}")
 
 
 def curated_list(lists: DataFrame) -> DataFrame:

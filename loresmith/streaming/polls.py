@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections import deque
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loresmith.operators import incremental
@@ -23,6 +27,39 @@ def every(df: DataFrame, path: str, checkpoint: str, hours: float = 6):
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{round(hours * 3600)} seconds").start()
 
 
+def keep_polling(run: Callable[[], None], *, hours: float = 6, after_error: float = 300, rounds: int | None = None, sleep: Callable[[float], None] = time.sleep) -> list[Exception]:
+    """Run a polling run again and again: the next one ``hours`` after an end, ``after_error`` seconds after a failure.
+
+    run: for instance ``run_available`` over a stream, whose checkpoint makes the run after a failure go on where the failed one stood.
+    rounds: how many runs there are; without it they never end. Returns the failures of the last hundred runs, oldest first.
+    """
+    failures: deque[tuple[int, Exception]] = deque()
+    n = 0
+    while rounds is None or n < rounds:
+        n += 1
+        try:
+            run()
+            wait = hours * 3600
+        except Exception as e:
+            failures.append((n, e))
+            wait = after_error
+        while failures and failures[0][0] <= n - 100:
+            failures.popleft()
+        if n != rounds:
+            sleep(wait)
+    return [e for _, e in failures]
+
+
+def capped(posts: DataFrame, most: int, *order: Column | str, source: str = "source") -> DataFrame:
+    """The first posts of each source by ``order``: ``most`` divided by the number of sources, rounded down. Null is a source.
+
+    Tasks cut their own rows to the cap before the shuffle, so a source with most of the posts sends few of them.
+    """
+    n = posts.select(source).distinct().count()
+    nth = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    return posts.withColumn("_nth", nth).where(F.col("_nth") <= most // max(n, 1)).drop("_nth")
+
+
 #: Partitions of the update log: a batch rewrites those that its keys fall into.
 BUCKETS = 64
 
