@@ -225,12 +225,12 @@ def entry_counts_rollup(spark, d):
 
 # --- updates
 
-_LOG = "SELECT 'svc' || user_id AS service_key, ts, CAST(round(value) AS BIGINT) AS total FROM events WHERE event_type = 'signup'"
+_LOG = "SELECT 'svc' || user_id AS service_key, ts, CAST(round(value) AS BIGINT) AS total FROM events"
 
 
 def _log(spark, d):
     e = tables.table(spark, d, "events")
-    return e.where("event_type = 'signup'").select(F.concat(F.lit("svc"), F.col("user_id").cast("string")).alias("service_key"), "ts", F.round("value").cast("long").alias("total"))
+    return e.select(F.concat(F.lit("svc"), F.col("user_id").cast("string")).alias("service_key"), "ts", F.round("value").cast("long").alias("total"))
 
 
 def _days(a: str, b: str) -> str:
@@ -252,19 +252,19 @@ def stale_services(spark, d):
 
 @query(
     "should_update",
-    f"""WITH n AS (SELECT 'svc' || user_id AS service_key, count(*) AS total FROM events WHERE event_type = 'view' GROUP BY ALL UNION ALL SELECT 'new', 3), l AS ({_LOG}), o AS (SELECT service_key, max(ts) AS ts, arg_max(total, ts) AS old FROM l GROUP BY service_key)
+    f"""WITH n AS (SELECT 'svc' || user_id AS service_key, count(*) AS total FROM events GROUP BY ALL UNION ALL SELECT 'new', 3), l AS ({_LOG}), o AS (SELECT service_key, max(ts) AS ts, arg_max(total, (ts, total)) AS old FROM l GROUP BY service_key)
     SELECT service_key, total, (ts IS NULL OR {_days('ts', f"TIMESTAMP '{AS_OF}'")} > 7 OR total > 1.3::DOUBLE * old) AS should_update FROM n LEFT JOIN o USING (service_key)""",
 )
 def should_update(spark, d):
     e = tables.table(spark, d, "events")
-    new = e.where("event_type = 'view'").groupBy(F.concat(F.lit("svc"), F.col("user_id").cast("string")).alias("service_key")).agg(F.count(F.lit(1)).alias("total"))
+    new = e.groupBy(F.concat(F.lit("svc"), F.col("user_id").cast("string")).alias("service_key")).agg(F.count(F.lit(1)).alias("total"))
     new = new.unionByName(spark.createDataFrame([("new", 3)], "service_key string, total long")).withColumn("ts", F.lit(None).cast("timestamp"))
     return incremental.should_update(new, _log(spark, d), AS_OF)
 
 
-@query("should_scrape", "WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT 'src' || (user_id % 25) AS source, max(ts) AS last FROM events WHERE event_type = 'signup' GROUP BY ALL) SELECT source, coalesce(date_diff('microsecond', last, TIMESTAMP '2024-01-31 12:00:00') > 24 * 3600000000, TRUE) AS should_scrape FROM s LEFT JOIN l USING (source)")
+@query("should_scrape", "WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT 'src' || (user_id % 25) AS source, max(ts) AS last FROM events GROUP BY ALL) SELECT source, coalesce(date_diff('microsecond', last, TIMESTAMP '2024-01-31 12:00:00') > 24 * 3600000000, TRUE) AS should_scrape FROM s LEFT JOIN l USING (source)")
 def should_scrape(spark, d):
-    state = tables.table(spark, d, "events").where("event_type = 'signup'").select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("source"), "ts")
+    state = tables.table(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("source"), "ts")
     return incremental.should_scrape(tables.table(spark, d, "documents"), state, "2024-01-31 12:00:00")
 
 
@@ -273,7 +273,7 @@ def cadence(spark, d):
     return incremental.cadence(_log(spark, d))
 
 
-@query("update_upsert", f"WITH l AS ({_LOG}), o AS (SELECT service_key, arg_max(total, ts) AS total FROM l WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL), n AS (SELECT service_key, arg_max(total, ts) AS total FROM l WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL) SELECT * FROM n UNION ALL SELECT * FROM o WHERE service_key NOT IN (SELECT service_key FROM n)")
+@query("update_upsert", f"WITH l AS ({_LOG}), o AS (SELECT service_key, arg_max(total, (ts, total)) AS total FROM l WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL), n AS (SELECT service_key, arg_max(total, (ts, total)) AS total FROM l WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL) SELECT * FROM n UNION ALL SELECT * FROM o WHERE service_key NOT IN (SELECT service_key FROM n)")
 def update_upsert(spark, d):
     log = _log(spark, d)
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
@@ -281,11 +281,17 @@ def update_upsert(spark, d):
     return incremental.upsert(old, new, "service_key")
 
 
-@query("changed_entries", "WITH a AS (SELECT p_name AS k, md5(string_agg(p_type, ',' ORDER BY p_partkey)) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_name AS k, md5(string_agg(p_type, ',' ORDER BY p_partkey)) AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v")
+@query(
+    "changed_entries",
+    """WITH a AS (SELECT p_partkey AS k, p_type AS v FROM part WHERE p_size > 5), b AS (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN p_type || ' v2' ELSE p_type END AS v FROM part WHERE p_size <> 20)
+    SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""",
+)
 def changed_entries(spark, d):
-    p = tables.table(spark, d, "part")
-    snap = lambda n: p.where(F.col("p_partkey") % n == 0).groupBy(F.col("p_name").alias("name")).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]), ",")).alias("v"))
-    return incremental.changed(snap(2), snap(3), "name", "v")
+    """Two snapshots of all parts: the smallest come later, those of one size go, the largest change."""
+    p, v = tables.table(spark, d, "part").withColumnRenamed("p_partkey", "name"), F.col("p_type")
+    before = p.where("p_size > 5").select("name", v.alias("v"))
+    after = p.where("p_size <> 20").select("name", F.when(F.col("p_size") > 40, F.concat(v, F.lit(" v2"))).otherwise(v).alias("v"))
+    return incremental.changed(before, after, "name", "v")
 
 
 # --- validation
@@ -334,10 +340,15 @@ _DATE = f"'*Last updated: {DAY}*' || chr(10) || chr(10)"
 _MONEY = f"list_filter(tips, lambda t: {S.any_of('lower(t)', L.MONEY_WORDS)})"
 
 
+_PROMPTING = f"""'# ' || service || ' Prompting Guide' || chr(10) || chr(10) || {_DATE} || {_SEC('Tips & Techniques', 'tips')} || {_SEC('Recommended Settings', 'settings')} ||
+    CASE WHEN len(tips) + len(settings) = 0 THEN '*No specific prompting tips available yet. Check back for updates.*' || chr(10) || chr(10) ELSE '' END || '## Sources' || chr(10) || chr(10) || '- Reddit community discussions' || chr(10) || '- User-reported experiences' || chr(10)"""
+_COST = f"""'# ' || service || ' - Cost Optimization Guide' || chr(10) || chr(10) || {_DATE} || {_SEC('Cost & Pricing Information', 'cost_info')} || {_SEC('Money-Saving Tips', _MONEY)} ||
+    CASE WHEN len(cost_info) + len({_MONEY}) = 0 THEN '*No cost optimization information available yet.*' || chr(10) || chr(10) ELSE '' END"""
+
+
 @query(
     "render_prompting",
-    f"""WITH {_MERGED} SELECT service_key, '# ' || service || ' Prompting Guide' || chr(10) || chr(10) || {_DATE} || {_SEC('Tips & Techniques', 'tips')} || {_SEC('Recommended Settings', 'settings')} ||
-    CASE WHEN len(tips) + len(settings) = 0 THEN '*No specific prompting tips available yet. Check back for updates.*' || chr(10) || chr(10) ELSE '' END || '## Sources' || chr(10) || chr(10) || '- Reddit community discussions' || chr(10) || '- User-reported experiences' || chr(10) AS content FROM merged""",
+    f"WITH {_MERGED} SELECT service_key, {_PROMPTING} AS content FROM merged",
 )
 def render_prompting(spark, d):
     return _merged(spark, d).select("service_key", render.prompting(F.col("service"), F.col("tips"), F.col("settings"), DAY).alias("content"))
@@ -345,8 +356,7 @@ def render_prompting(spark, d):
 
 @query(
     "render_cost",
-    f"""WITH {_MERGED} SELECT service_key, '# ' || service || ' - Cost Optimization Guide' || chr(10) || chr(10) || {_DATE} || {_SEC('Cost & Pricing Information', 'cost_info')} || {_SEC('Money-Saving Tips', _MONEY)} ||
-    CASE WHEN len(cost_info) + len({_MONEY}) = 0 THEN '*No cost optimization information available yet.*' || chr(10) || chr(10) ELSE '' END AS content FROM merged""",
+    f"WITH {_MERGED} SELECT service_key, {_COST} AS content FROM merged",
 )
 def render_cost(spark, d):
     return _merged(spark, d).select("service_key", render.cost_optimization(F.col("service"), F.col("cost_info"), F.col("tips"), DAY).alias("content"))
@@ -373,12 +383,15 @@ _KINDOF = S.first_rule("lower(x)", [(S.quoted(k), w) for k, w in L.PROBLEM_KINDS
 _PIT = lambda title, items, mark, tail: f"CASE WHEN len({items}) > 0 THEN '## {title}' || chr(10) || chr(10) || array_to_string(list_transform({items}, lambda x: '### {mark} ' || x || chr(10) || {tail}), '') ELSE '' END"
 
 
+_KINDS = f"""list_filter(problems, lambda x: {_KINDOF} = 'technical') AS t, list_filter(problems, lambda x: {_KINDOF} = 'policy') AS o,
+      list_concat(list_filter(problems, lambda x: {_KINDOF} = 'cost'), list_filter(costs, lambda x: contains(lower(x), 'limit') OR contains(lower(x), 'character'))) AS c"""
+_PITFALLS = f"""'# ' || service || ' - Common Pitfalls & Issues' || chr(10) || chr(10) || {_DATE} || {_PIT('Technical Issues', 't', '⚠️', _FIX)} || {_PIT('Policy & Account Issues', 'o', '⚠️', _NOTE)} || {_PIT('Cost & Limits', 'c', '💰', 'chr(10)')} ||
+      CASE WHEN len(t) + len(o) + len(c) = 0 THEN '*No major issues reported yet. This may indicate limited community data.*' || chr(10) || chr(10) ELSE '' END"""
+
+
 @query(
     "render_pitfalls",
-    f"""WITH {_P}, k AS (SELECT service, list_filter(problems, lambda x: {_KINDOF} = 'technical') AS t, list_filter(problems, lambda x: {_KINDOF} = 'policy') AS o,
-      list_concat(list_filter(problems, lambda x: {_KINDOF} = 'cost'), list_filter(costs, lambda x: contains(lower(x), 'limit') OR contains(lower(x), 'character'))) AS c FROM p)
-    SELECT service, '# ' || service || ' - Common Pitfalls & Issues' || chr(10) || chr(10) || {_DATE} || {_PIT('Technical Issues', 't', '⚠️', _FIX)} || {_PIT('Policy & Account Issues', 'o', '⚠️', _NOTE)} || {_PIT('Cost & Limits', 'c', '💰', 'chr(10)')} ||
-      CASE WHEN len(t) + len(o) + len(c) = 0 THEN '*No major issues reported yet. This may indicate limited community data.*' || chr(10) || chr(10) ELSE '' END AS content FROM k""",
+    f"WITH {_P}, k AS (SELECT service, {_KINDS} FROM p) SELECT service, {_PITFALLS} AS content FROM k",
 )
 def render_pitfalls(spark, d):
     return _parts(spark, d).select("service", render.pitfalls(F.col("service"), F.col("problems"), F.col("costs"), DAY).alias("content"))
@@ -394,14 +407,22 @@ def _tree(spark, d):
     return render.files(m.withColumn("category", names.fallback_category(F.col("service"), F.lit(None).cast("string"))), DAY)
 
 
-_FILES_SQL = f"""WITH {_MERGED} SELECT lower(service) AS slug, f AS file FROM merged, (VALUES ('prompting.md'), ('parameters.json'), ('pitfalls.md'), ('cost_optimization.md'), ('metadata.json')) AS t(f)
+#: The tree's files; md5 of the markdown ones' contents (the JSON ones' fields are compared in render_parameters and render_metadata).
+_FILES_SQL = f"""WITH {_MERGED}, k AS (SELECT service_key, service, {_KINDS.replace('costs', 'cost_info')} FROM merged), told AS (SELECT service_key, {_PITFALLS} AS pitfalls FROM k),
+    docs AS (SELECT *, {_PROMPTING} AS prompting, {_COST} AS cost FROM merged JOIN told USING (service_key))
+    SELECT lower(service) AS slug, f AS file, CASE f WHEN 'prompting.md' THEN md5(prompting) WHEN 'pitfalls.md' THEN md5(pitfalls) WHEN 'cost_optimization.md' THEN md5(cost) END AS md5
+    FROM docs, (VALUES ('prompting.md'), ('parameters.json'), ('pitfalls.md'), ('cost_optimization.md'), ('metadata.json')) AS t(f)
     WHERE CASE f WHEN 'prompting.md' THEN len(tips) + len(settings) > 0 WHEN 'parameters.json' THEN len(settings) + len(cost_info) > 0 WHEN 'pitfalls.md' THEN len(problems) > 0 OR len(list_filter(cost_info, lambda x: contains(lower(x), 'limit'))) > 0
       WHEN 'cost_optimization.md' THEN len(cost_info) > 0 OR len(list_filter(tips, lambda x: contains(lower(x), 'free') OR contains(lower(x), 'unlimited'))) > 0 ELSE TRUE END"""
 
 
+def _md5():
+    return F.when(F.col("file").endswith(".md"), F.md5(F.col("content").cast("binary"))).alias("md5")
+
+
 @query("entry_files", _FILES_SQL)
 def entry_files(spark, d):
-    return _tree(spark, d).select("slug", "file")
+    return _tree(spark, d).select("slug", "file", _md5())
 
 
 @query("render_metadata", f"WITH {_MERGED} SELECT lower(service) AS slug, service, 'general' AS category, batch_size AS posts_analyzed, 'medium' AS confidence FROM merged")
@@ -415,11 +436,11 @@ def manifest(spark, d):
     return render.manifest(_tree(spark, d)).select("category", "model", "title", F.size("paths").cast("long").alias("n_paths"))
 
 
-@query("export_json", f"SELECT 'general' AS category, slug, file FROM ({_FILES_SQL})")
+@query("export_json", f"SELECT 'general' AS category, slug, file, md5 FROM ({_FILES_SQL})")
 def export_json(spark, d):
     """The export, read as JSON again: what it holds by category, slug and file."""
     e = render.export_json(_tree(spark, d)).select("category", F.explode(F.from_json("content", "map<string,map<string,string>>")).alias("slug", "files"))
-    return e.select("category", "slug", F.explode("files").alias("file", "content")).where("content != ''").drop("content")
+    return e.select("category", "slug", F.explode("files").alias("file", "content")).where("content != ''").select("category", "slug", "file", _md5())
 
 
 @query("corpus_findings", f"WITH {_MERGED} SELECT 'general/' || lower(service) AS entity, 'error' AS severity, 'missing_file' AS rule, 'prompting.md' AS message FROM merged WHERE len(tips) + len(settings) = 0 UNION ALL SELECT 'general/' || lower(service), 'warning', 'outdated', 'metadata.json' FROM merged")
@@ -427,13 +448,11 @@ def corpus_findings(spark, d):
     return validate.corpus_findings(_tree(spark, d), "2025-01-01 00:00:00")
 
 
-@query("entry_tree_sink", f"SELECT 'general' AS category, slug, file FROM ({_FILES_SQL})")
+@query("entry_tree_sink", f"SELECT 'general' AS category, slug, file, md5 FROM ({_FILES_SQL})")
 def entry_tree_sink(spark, d):
-    """The tree, written by the executors under its files' own names and read again, where contents are as they were rendered."""
+    """The tree, written by the executors under its files' own names and read again."""
     tree, root = _tree(spark, d), shared.folder(spark, "entries")
-    kept = render.publish(tree, root).select("category", "slug", "file", F.md5(F.col("content").cast("binary")).alias("md5"))
-    own = tree.select("category", "slug", "file", F.md5(F.col("content").cast("binary")).alias("md5"))
-    return kept.join(own, ["category", "slug", "file", "md5"]).select("category", "slug", "file")
+    return render.publish(tree, root).select("category", "slug", "file", _md5())
 
 
 @query(
@@ -494,7 +513,7 @@ def stream_poll(spark, d):
 @query("stream_upsert", f"SELECT service_key, arg_max(total, (ts, total)) AS total FROM ({_LOG}) GROUP BY service_key")
 def stream_upsert(spark, d):
     out = _folder(spark)
-    s = _events_stream(spark, d).where("event_type = 'signup'").select(F.concat(F.lit("svc"), F.col("user_id").cast("string")).alias("service_key"), "ts", F.round("value").cast("long").alias("total"))
+    s = _events_stream(spark, d).select(F.concat(F.lit("svc"), F.col("user_id").cast("string")).alias("service_key"), "ts", F.round("value").cast("long").alias("total"))
     polls.upsert_log(spark, s, f"{out}/log", f"{out}/state")
     return polls.read_log(spark, f"{out}/log").select("service_key", "total")
 
