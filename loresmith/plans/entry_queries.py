@@ -397,7 +397,22 @@ def render_pitfalls(spark, d):
     return _parts(spark, d).select("service", render.pitfalls(F.col("service"), F.col("problems"), F.col("costs"), DAY).alias("content"))
 
 
-@query("render_parameters")
+_PARAMETERS = (
+    """x AS (SELECT service, 'setting_' AS part, unnest(settings) AS d, generate_subscripts(settings, 1) AS i FROM p UNION ALL SELECT service, 'tip_', unnest(costs), generate_subscripts(costs, 1) FROM p),
+    n AS (SELECT *, CASE part WHEN 'setting_' THEN CASE WHEN contains(lower(d), 'break') AND contains(lower(d), 'tag') THEN 'speech_pauses' WHEN contains(lower(d), 'speech rate') OR contains(lower(d), 'slower') THEN 'speech_rate' END
+      ELSE CASE WHEN contains(d, '$') THEN 'pricing' WHEN contains(lower(d), 'unlimited') THEN 'unlimited_option' END END AS kind FROM x),
+    f AS (SELECT *, kind IS NULL OR row_number() OVER (PARTITION BY service, part, kind ORDER BY i) = 1 AS opens FROM n),
+    g AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY service, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM f),
+    e AS (SELECT service, part, coalesce(kind, part || k) AS key, min(i) AS place, arg_max(d, i) AS d FROM g GROUP BY 1, 2, 3),
+    j AS (SELECT service, part, place, '"' || key || '":' AS head, CAST(to_json(d) AS VARCHAR) AS d, CASE key WHEN 'speech_pauses' THEN ',"value":"<break time=\\"1.5s\\" />"' WHEN 'speech_rate' THEN ',"value":"slower_preferred"' ELSE '' END AS v FROM e),
+    o AS (SELECT service, coalesce(string_agg(head || '{"description":' || d || v || '}', ',' ORDER BY place) FILTER (WHERE part = 'setting_'), '') AS r, coalesce(string_agg(head || d, ',' ORDER BY place) FILTER (WHERE part = 'tip_'), '') AS c FROM j GROUP BY service)
+    SELECT service, '{"service":' || CAST(to_json(service) AS VARCHAR) || ',"last_updated":"""
+    + f'"{DAY}"'
+    + ""","recommended_settings":{' || r || '},"cost_optimization":{' || c || '},"sources":["Reddit community","User reports"]}' AS content FROM o"""
+)
+
+
+@query("render_parameters", f"WITH {_P}, {_PARAMETERS}")
 def render_parameters(spark, d):
     return _parts(spark, d).select("service", render.parameters(F.col("service"), F.col("settings"), F.col("costs"), DAY).alias("content"))
 

@@ -1,11 +1,13 @@
-"""Polling with pauses and caps, providers around extractors, configurations and catalogues read in tasks, coverage of plans."""
+"""Polling with pauses and caps, providers around extractors, configurations and catalogues read in tasks, coverage of plans, keys of parameters."""
 
 import json
+import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from loresmith.operators import extract, registry
+from loresmith.operators import extract, registry, render
 from loresmith.sources import state, tables
 from loresmith.streaming import polls
 
@@ -114,3 +116,24 @@ def test_coverage(spark):
     q = spark.createDataFrame([("a",)] * 5 + [("b",), (None,)], "service string")
     assert {r["service"]: tuple(r)[1:] for r in registry.coverage(q, 2).collect()} == {"a": (5, 2, 3), "b": (1, 1, 0), None: (6, 3, 3)}
     assert [tuple(r) for r in registry.coverage(q.limit(0), 2).collect()] in ([], [(None, 0, 0, 0)])
+
+
+def test_parameter_keys_are_the_fold(spark):
+    words, r = ["a", "Break tag", "slower", "break", "speech rate", "tag", None], random.Random(5)
+    lists = [[], *([r.choice(words) for _ in range(r.randrange(1, 12))] for _ in range(200))]
+
+    def fold(items):
+        out = {}
+        for x in items:
+            low = (x or "").lower()
+            kind = "speech_pauses" if "break" in low and "tag" in low else "speech_rate" if "speech rate" in low or "slower" in low else f"setting_{len(out)}"
+            out[kind] = x
+        return list(out.items())
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "i int, items array<string>")
+    found = {r["i"]: r["k"] for r in df.select("i", render.setting_keys(F.col("items")).alias("k")).collect()}
+    assert all([tuple(e) for e in found[i]] == fold(x) for i, x in enumerate(lists)) and found[len(lists)] is None
+    start = time.monotonic()
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("v"), i.cast("string"), F.when(i % 3 == 0, " slower").otherwise(""))).alias("items"))
+    k = long.select(render.setting_keys(F.col("items")).alias("k")).select(F.size("k"), F.col("k")[2]["key"], F.element_at("k", -1)["key"]).first()
+    assert tuple(k) == (66_668, "speech_rate", "setting_66667") and time.monotonic() - start < 60
