@@ -31,6 +31,21 @@ def test_corpus_and_validation(spark, tmp_path):
     assert m["title"] == "zed" and set(m["paths"]) == {"prompting.md", "metadata.json"}
 
 
+def test_corpus_is_read_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver asks for the first level only; marks of jobs, though without bytes, are no documents."""
+    root = tmp_path / "models"
+    for i in range(40):
+        (root / "audio" / f"s{i}").mkdir(parents=True)
+        (root / "audio" / f"s{i}" / "a.md").write_text("" if i % 2 else f"täxt {i}\n")
+    (root / "_SUCCESS").write_text("")
+    (root / "audio" / ".hidden.crc").write_text("x")
+    asked, real = [], tables._seen
+    monkeypatch.setattr(tables, "_seen", lambda found, below: asked.append(below) or real(found, below))
+    rows = sorted(tuple(r) for r in tables.corpus(spark, str(root)).select("category", "slug", "file", "content").collect())
+    assert rows == sorted(("audio", f"s{i}", "a.md", "" if i % 2 else f"täxt {i}\n") for i in range(40))
+    assert asked == [str(root)]
+
+
 def test_registry_file(spark, tmp_path):
     assert tables.registry_file(spark, str(tmp_path / "none.json")).count() == 0
     f = tmp_path / "services.json"
