@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loresmith.api import KnowledgeBase, format_parameters
 from loresmith.functions import names
-from loresmith.operators import render
+from loresmith.operators import ordered, render
 from loresmith.plans import sql as S
 from loresmith.plans.catalogue import query
 from loresmith.plans.entry_queries import _MERGED, DAY, _tree
@@ -193,7 +193,7 @@ _FILES = f"""(WITH {_MERGED} SELECT lower(service) AS slug, f AS file FROM merge
 def corpus_roundtrip(spark, d):
     """The document tree written from the executors and scanned again; rows whose content came back unchanged."""
     path = shared.folder(spark, "tree")
-    tree = _tree(spark, d)
+    tree = ordered.written(spark, _tree(spark, d), f"{path}-rows")  # rendered once, as it is read twice
     render.write_files(tree, path)
     back = render.read_files(spark, path).select("slug", "file", F.md5(F.regexp_replace("content", r"\n+\z", "")).alias("m"))
     return tree.select("slug", "file", F.md5(F.regexp_replace("content", r"\n+\z", "")).alias("m")).join(back, ["slug", "file", "m"]).select("slug", "file")

@@ -60,6 +60,15 @@ def test_trees_round_trip(spark, base, tmp_path):
     assert entry_sink.current(str(tmp_path / "models")) == before and len([p for p in (tmp_path / "models").iterdir() if p.is_dir()]) == 1
 
 
+def test_written_files_have_their_own_names(spark, tmp_path):
+    rows = [("code", "cursor", "a.md", "x\n"), ("code", "o/d d", "_b.md", ""), ("code", "..", "é%.md", "y"), ("code", "null", "c.md", "z"), (None, "%null", "d.md", "w")]
+    render.write_files(spark.createDataFrame([("old", "old", "old.md", "old")], "category string, slug string, file string, content string"), str(tmp_path / "t"))
+    render.write_files(spark.createDataFrame(rows, "category string, slug string, file string, content string"), str(tmp_path / "t"))
+    assert {tuple(r) for r in render.read_files(spark, str(tmp_path / "t")).collect()} == set(rows)
+    assert sum(f.is_file() for f in (tmp_path / "t").rglob("*.md")) == 5
+    assert [f.read_text() for f in (tmp_path / "t").glob("*/code/cursor/a.md")] == ["x\n"]
+
+
 def test_parameter_arrays(spark):
     p = '[{"name": "t", "default_value": 0.7, "recommended_range": "0-1", "description": "d"}]'
     df = spark.createDataFrame([(p,)], "p string")
