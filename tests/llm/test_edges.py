@@ -114,3 +114,11 @@ def test_vectors_of_one_id(spark):
     rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.0, 1.0], "b"), (3, [1.0, 0.0], "b"), (0, [0.01, 1.0], "b")]
     got = sorted(map(tuple, embeddings.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()))
     assert got == [(0, 1, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 1, 0, False)]
+
+
+def test_lines_are_parsed_once(spark):
+    """The tokens are made in one step of the plan, and lines of white space alone, whatever it is, are no lines."""
+    docs = spark.createDataFrame([(1, "a\tb 1\n \t\r\x0b\x0c\n\n\u00a0\nc"), (2, None), (3, "")], "doc_id long, text string")
+    lines = templates.template_lines(docs)
+    assert sorted((r["doc"], r["pos"], r["n"]) for r in lines.collect()) == [(1, 0, 3), (1, 3, 1), (1, 4, 1)]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
