@@ -34,7 +34,7 @@ END_ID = 1
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 #: Words in a generation of those whose ids a worker remembers; bytes of text encoded together.
-REMEMBERED, AT_ONCE = 600_000, 6_000_000
+REMEMBERED, AT_ONCE = 600_000, 3_000_000
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 #: Pieces in a partition, sequences that a partition gives back for exchange, partitions that exchange.
 PER_PARTITION, RELEASED, FAN_IN = 50_000, 48, 8
@@ -62,7 +62,7 @@ class WordIds:
     tried on ``PROBE``, when a worker starts.
 
     Words are remembered through a worker's tasks, in two generations: when the newer one is full,
-    the older one is forgotten.
+    the older one is forgotten, and so it is at the end of a task.
     """
 
     PROBE = "It's 3.5 m\u00b2 na\u00efve -- they'll r\u00c9sum\u00e9, e-mail a_b@c.org ('tis) \u4e2d\u6587 42nd!? \U0001f600x </w> It's"
@@ -111,6 +111,12 @@ class WordIds:
         self.flat, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.older = None
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the newer words alone, and gives back what Arrow holds unused: it lives on beside the stages that follow."""
+        if self.by_pieces:
+            self.older = None
+        pa.default_memory_pool().release_unused()
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -279,6 +285,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = VOCAB
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
             n = 6 if keep_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
+        encode.rest()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE + (", ids binary" if keep_ids else ""))
 

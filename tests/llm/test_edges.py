@@ -122,3 +122,11 @@ def test_lines_are_parsed_once(spark):
     lines = templates.template_lines(docs)
     assert sorted((r["doc"], r["pos"], r["n"]) for r in lines.collect()) == [(1, 0, 3), (1, 3, 1), (1, 4, 1)]
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
+def test_packing_workers_forget_between_tasks():
+    encode = packing.WordIds(packing.vocabulary_path(packing.VOCABULARY))
+    want = encode("some words here")
+    encode.older, encode.known = (encode.known, encode.flat, encode.begin, encode.size), dict(encode.known)
+    encode.rest()
+    assert encode.older is None and encode("some words here") == want
