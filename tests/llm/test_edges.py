@@ -130,3 +130,16 @@ def test_packing_workers_forget_between_tasks():
     encode.older, encode.known = (encode.known, encode.flat, encode.begin, encode.size), dict(encode.known)
     encode.rest()
     assert encode.older is None and encode("some words here") == want
+
+
+def test_model_judges_given_roles(spark):
+    """The fitted model says of every turn how likely its role is, markers hidden; the given role stays."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "why?" if t % 2 == 0 else "because of this and that " * 9) for c in range(30) for t in range(4)]
+    rows[41] = (*rows[41][:2], "user", rows[41][3])
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_conversations(spark, turns).collect()}
+    assert all(got[c, t]["role"] == role for c, t, role, _ in rows)
+    odd = {k for k, r in got.items() if r["expected"] != r["role"]}
+    assert odd == {(10, 1)} and got[10, 1]["expected"] == "assistant" and got[10, 1]["p_role"] < 0.5
+    untaught = chat.tag(chat.observed(turns), chat.Hmm([])).collect()
+    assert {round(r["p_role"], 6) for r in untaught} == {0.333333} and all(r["p_role"] > 0.5 for k, r in got.items() if k not in odd)
