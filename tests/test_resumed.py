@@ -117,3 +117,14 @@ def test_counters_of_a_pass(spark, tmp_path):
         assert total.totals == {"rows": 11, "sum": 25}
     finally:
         spark.streams.removeListener(total)
+
+
+def test_extraction_holds_few_batches_at_once(spark, monkeypatch):
+    """What a task holds as Python objects is AT_ONCE batches, however many Arrow hands over."""
+    posts = spark.range(300).selectExpr("'s' AS service", "CAST(id AS INT) AS batch", "array(struct(id AS post_id, 'T' AS title, concat('Use x', id, '.') AS content)) AS posts").coalesce(1)
+    monkeypatch.setattr(type(posts), "mapInArrow", lambda df, run, schema: (run, schema))
+    run, _ = extract.extract(posts, extract.RuleExtractor)
+    monkeypatch.undo()
+    sent = list(run(iter(posts.toArrow().to_batches())))
+    assert [b.num_rows for b in sent] == [64, 64, 64, 64, 44]
+    assert {r["batch"]: r["tips"] for b in sent for r in b.to_pylist()} == {i: [f"Use x{i}."] for i in range(300)}
